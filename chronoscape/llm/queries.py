@@ -13,6 +13,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents")).drop("block")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import digest, quality_rules
+
+    return digest(quality_rules(read_table(spark, sf_dir, "documents")))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find
+
+    return digest(find(read_table(spark, sf_dir, "documents")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import digest, scan
 
