@@ -25,6 +25,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest, remove_lines
+
+    return digest(remove_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find
 
@@ -42,4 +54,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .line_dedup import ORACLE as lines
+
+    return {"op7_line_dedup": lines}
