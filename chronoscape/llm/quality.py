@@ -221,5 +221,14 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
     return mcd_outliers(stats, **options)
 
 
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """docs without the rows that the rules reject; texts are not shuffled while the rejected rows can be broadcast."""
+    row = F.xxhash64("doc_id", "text", "lang", "source").cast("string")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = materialize(text_stats(docs.withColumn("_row", row), "lang", "source", "_row").withColumn("base_failed", failed), "quality-stats")
+    gone = mcd_outliers(stats, **options).where("not kept").select(F.col("_row").alias("_gone")).distinct()
+    return docs.join(sized(materialize(gone, "quality-gone")), row == F.col("_gone"), "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -19,6 +19,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(quality_rules(read_table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
 
