@@ -25,6 +25,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats, repeated_spans
+
+    docs = read_table(spark, sf_dir, "documents")
+    return remove_repeats(docs, repeated_spans(docs), keep_text=False)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
 
