@@ -38,6 +38,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import digest, remove_lines
 
