@@ -115,6 +115,12 @@ class CatalogueSource(DataSource):
         return _Reader(dict(self.options), type(self).fetch)
 
 
+def register(spark, source: type[CatalogueSource] = CatalogueSource) -> None:
+    """Make the source known to the session, and let it see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+
+
 def search_places(query: str, url: str, fetch: Callable = http, limit: int = 6) -> list[tuple[str, tuple]]:
     """(name, (west, south, east, north)) of places; the service lists south, north, west, east as text."""
     from urllib.parse import urlencode

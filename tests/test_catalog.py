@@ -120,7 +120,7 @@ def test_data_source(spark):
             first, last = (x[:10] for x in body["datetime"].split("/"))
             return {"features": [item(k, d, k) for k, d in enumerate(("2026-06-01", "2026-06-15", "2026-06-30")) if first <= d <= last]}
 
-    spark.dataSource.register(Fake)
+    catalogue.register(spark, Fake)
     df = spark.read.format("fake_catalogue").options(url="http://x", bbox=json.dumps(AOI), start="2026-06-01", end="2026-07-01", partitions=3).load()
     assert [r.id for r in catalog.scenes(df).orderBy("seq").collect()] == ["S0", "S1", "S2"]
     assert df.where(F.col("day") >= dt.date(2026, 6, 10)).count() == 2
