@@ -73,6 +73,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .line_dedup import ORACLE as lines
+    from .sql import oracle_sql
 
-    return {"op7_line_dedup": lines}
+    return oracle_sql()
