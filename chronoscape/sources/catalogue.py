@@ -75,7 +75,7 @@ class _Reader(DataSourceReader):
     def pushFilters(self, filters):
         """Bounds on day narrow the request; Spark applies all filters again."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("day",):
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("day",):
                 day = str(f.value)
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.start = max(self.start, day)
