@@ -8,13 +8,15 @@ Two texts link when intersection * 100 >= 75 * union of their sets of distinct 5
 2. Two sets that link share a shingle among their first n - ceil(0.75 n) + 1. Texts with the same prefix and size form
    one group, and a group's prefix leaves a task once however many copies the task read. Shingles that only one group
    has end here.
-3. Groups expand to members (distinct sets). Within the list of a shingle each member is paired with the first member
-   of its size class and with the member before it; verified pairs are links, and their components are found. This
-   first round never looks at all pairs of a list, so large groups of near copies cost one pair or two per member.
-4. Second round: members of one list that still are in different components are paired by the size and position
+3. Groups expand to members (distinct sets). Within the list of a shingle a member may be paired with the first member
+   of its size class; each member is paired with the one it meets so most often. Verified pairs are links, and their
+   components are found. Then the same with the member before it in a list, across components. These two rounds never
+   look at all pairs of a list, so a large group of near copies costs a pair or two per member.
+4. Last round: members of one list that still are in different components are paired by the size and position
    filters, all of them, and verified. After it every link between different components has been seen.
 
-Verification fetches the texts of the members in question and compares their sets. Sets are compared as 64-bit
+Verification first bounds the intersection of two sets by their histograms (shingles per bucket of hashes), which is
+never too low, and then fetches the texts of the members in question and compares their sets. Sets are compared as 64-bit
 hashes; that two different shingles of one pair of texts collide has a chance of about size**2 / 2**64.
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; fewer than five
@@ -63,7 +65,7 @@ def set_key(s: np.ndarray) -> int:
     return key - 2**64 * (key >> 63)
 
 
-def frequent(docs: DataFrame, local_df: int = 4, heavy: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and how many distinct sets hold each (as far as blocks reported it)."""
 
     def report(parts):
@@ -108,7 +110,25 @@ def order_prefix(s: np.ndarray, token: np.ndarray, df: np.ndarray) -> np.ndarray
     return s[np.concatenate((np.flatnonzero(~known), often))[:n]]
 
 
-SIGNED = "doc_id long, size int, node long, gid long, prefix array<long>"
+def histogram(s: np.ndarray) -> bytes:
+    """Shingles per bucket, two to four on average; the number of buckets is a power of two. 255 stands for more."""
+    if not len(s):
+        return b""
+    buckets = 1 << max(4, (max(1, len(s) // 4) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether the histograms of sets of n and m shingles leave room for a link."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return True
+    k = min(len(x), len(y))
+    both = int(np.minimum(x.reshape(-1, k).sum(0), y.reshape(-1, k).sum(0)).sum())
+    return DEN * both >= NUM * (n + m - both)
+
+
+SIGNED = "doc_id long, size int, node long, gid long, hist binary, prefix array<long>"
 
 
 def signatures(docs: DataFrame, token: np.ndarray, df: np.ndarray) -> DataFrame:
@@ -134,15 +154,25 @@ def signatures(docs: DataFrame, token: np.ndarray, df: np.ndarray) -> DataFrame:
                     new.append(fresh)
                     out.append(p if fresh else p[:0])
                 size = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first : first + len(sets)], pa.int64()), size, pa.array(node, pa.int64()), pa.array(gid, pa.int64()), lists(out)], names=["doc_id", "size", "node", "gid", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first : first + len(sets)], pa.int64()), size, pa.array(node, pa.int64()), pa.array(gid, pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), lists(out)], names=["doc_id", "size", "node", "gid", "hist", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of pairs (a, b: nodes) whose sets link."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    source = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    known = signed.join(nodes(pairs), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("hist").alias("hist"))
+    known = materialize(known, "near-known")
+
+    def screen(batches):
+        for batch in batches:
+            keep = [may_link(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("hist_a", "size_a", "hist_b", "size_b")], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    about = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("hist").alias(f"hist_{c}"))
+    pairs = materialize(pairs.join(about("a"), "a").join(about("b"), "b").mapInArrow(screen, "a long, b long"), "near-screened")
+    source = known.join(nodes(pairs), "node").select("node", "doc_id")
     source = sized(materialize(source, "near-wanted"))
 
     def sets(batches):
@@ -177,7 +207,7 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, local_df: int = 4, heavy: int = 1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs (doc_id, text)."""
     token, df = frequent(docs, local_df, heavy)
     signed = materialize(signatures(docs, token, df), "near-signed")
@@ -189,31 +219,37 @@ def near_duplicates(docs: DataFrame, local_df: int = 4, heavy: int = 1 << 18) ->
     listed = materialize(shared.join(members.select("gid", "node"), "gid").select("token", "node", "size", "pos"), "near-listed")
     drop_table(shared)
 
-    # Round 1: each member with the first of its size class, and with the one before it.
+    # Round 1: each member with the hub it meets most: the first of its size class.
     group = F.floor(F.log(F.col("size")) / math.log(DEN / NUM)).cast("int")
     line = Window.partitionBy("token").orderBy("size", "node")
-    near = listed.withColumn("hub", F.first("node").over(line.partitionBy("token", group).orderBy("size", "node"))).withColumns({"prev": F.lag("node").over(line), "prev_size": F.lag("size").over(line)})
-    pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    prev = F.when(DEN * F.col("prev_size") >= NUM * F.col("size"), pair(F.col("node"), F.col("prev")))
-    first = near.select(F.explode(F.array(pair(F.col("node"), F.col("hub")), prev)).alias("p")).where("p.a <> p.b").select("p.*")
+    hubs = listed.select("node", F.first("node").over(Window.partitionBy("token", group).orderBy("size", "node")).alias("hub")).where("node <> hub")
+    most = lambda met, to: met.groupBy("node", to).agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by(to, F.struct("n", to)).alias(to)).select(F.greatest("node", to).alias("a"), F.least("node", to).alias("b"))
     alike = members.join(members.groupBy("gid").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("gid", "hub"), "gid")
     inside = alike.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    tried = materialize(first.unionByName(inside).distinct(), "near-pairs")
+    tried = materialize(most(hubs, "hub").unionByName(inside).distinct(), "near-pairs")
     links = verify(docs, signed, tried)
+    named = lambda df, root: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = lambda df: df.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo <> hi").drop("lo", "hi")
+
+    # Round 2: each member with the member before it that it meets most, across components.
+    root = materialize(components(links), "near-roots")
+    before = mixed(named(listed, root)).withColumns({"prev": F.lag("node").over(line), "prev_size": F.lag("size").over(line), "prev_root": F.lag("root").over(line)})
+    met = before.where((F.col("prev_root") != F.col("root")) & (DEN * F.col("prev_size") >= NUM * F.col("size"))).select("node", "prev")
+    again = materialize(most(met, "prev").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    links = links.unionByName(verify(docs, signed, again))
+    tried = tried.unionByName(again)
     root = materialize(components(links), "near-roots")
 
-    # Round 2: all pairs of a list, or of a group, that are still apart.
-    named = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = named(listed).withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo <> hi").drop("lo", "hi")
-    apart = materialize(apart, "near-apart")
+    # Last round: all pairs of a list, or of a group, that are still apart.
+    apart = materialize(mixed(named(listed, root)), "near-apart")
     x, y = apart.alias("x"), apart.alias("y")
     need = F.ceil(NUM * (F.col("x.size") + F.col("y.size")) / F.lit(float(NUM + DEN)))
     can = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & order & (F.col("x.root") != F.col("y.root")) & (DEN * F.col("x.size") >= NUM * F.col("y.size")) & (can >= need))
     cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    mixed = named(alike.select("gid", "node"))
-    m, n = mixed.alias("m"), mixed.alias("n")
+    grouped = named(alike.select("gid", "node"), root)
+    m, n = grouped.alias("m"), grouped.alias("n")
     inner = m.join(n, (F.col("m.gid") == F.col("n.gid")) & (F.col("m.node") > F.col("n.node")) & (F.col("m.root") != F.col("n.root"))).select(F.col("m.node").alias("a"), F.col("n.node").alias("b"))
     late = materialize(cross.unionByName(inner).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(docs, signed, late)

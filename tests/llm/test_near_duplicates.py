@@ -69,6 +69,21 @@ def test_equal_prefixes_with_different_members(spark, monkeypatch):
     assert {r[0] for r in got} == set(range(12)) and all(r[2] == r[0] % 6 for r in got)
 
 
+def test_histograms_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(24)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, int(rng.integers(0, n + 1))).astype(np.uint64))))
+        may = near.may_link(near.histogram(a), len(a), near.histogram(b), len(b)) if len(b) else False
+        assert may or not near.linked(a, b)
+        ruled_out += not may
+    assert ruled_out > 100
+
+
 def test_keep_first_and_awkward_rows(spark):
     docs = widened(awkward(spark))
     got = near.near_duplicates(docs).collect()
