@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
+from .common import BROADCAST_ROWS, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
 
 LENGTH, KMER = 200, 50
 REACH = LENGTH - KMER
@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     """doc_id, text_hash, runs: the maximal runs of bytes covered by repeated windows, for texts that have any."""
     all_anchors = materialize(anchors(docs), "suffix-anchors")
     often = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    often = sized(materialize(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "suffix-often"))
+    often = materialize(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "suffix-often")
     found = materialize(all_anchors.join(often, "anchor"), "suffix-found")
     drop_table(all_anchors)
     cells = found.where("mixed").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("one"))
@@ -219,7 +219,9 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     # The contexts that differ.
     busy = cells.groupBy("anchor").agg(F.count("*").alias("contexts"))
     wanted = cells.join(busy, "anchor").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("pos", "anchor", "n", (F.col("contexts") > bucket_rows).alias("hot"))).alias("at"))
-    wanted = sized(materialize(wanted, "suffix-wanted"), 100_000)
+    wanted = materialize(wanted, "suffix-wanted")
+    if cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # contexts, of which a row may hold many
+        wanted = F.broadcast(wanted)
 
     def fetch(batches):
         names = ["doc_id", "text_hash", "pos", "n", "anchor", "left", "raw", "hot"]
