@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BROADCAST_ROWS, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
+from .common import BROADCAST_ROWS, CHUNK, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
 
 LENGTH, KMER = 200, 50
 REACH = LENGTH - KMER
@@ -65,13 +65,14 @@ def anchors_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, h[at]
 
 
-def parts_of(offs: np.ndarray, data: np.ndarray):
+def parts_of(offs: np.ndarray, data: np.ndarray, most: int | None = None):
     """(first byte, offsets, bytes) to seek anchors in: the chunk, or overlapping parts of one long text."""
-    if len(data) <= PART:
+    most = most or PART
+    if len(data) <= most:
         yield 0, offs, data
         return
-    for i in range(0, max(1, len(data) - LENGTH + 1), PART):
-        part = data[i : i + PART + LENGTH - 1]
+    for i in range(0, max(1, len(data) - LENGTH + 1), most):
+        part = data[i : i + most + LENGTH - 1]
         yield i, np.array([0, len(part)]), part
 
 
@@ -81,16 +82,19 @@ def text_key() -> list:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, anchor, context of every anchor."""
+    """doc_id, text_hash, pos, anchor, context of every anchor, each once."""
+    most = PART
 
     def run(batches):
         for batch in batches:
             doc, key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, offs, data in text_chunks(batch.column(2)):
-                raw = data.tobytes()
-                for begin, own, part in parts_of(offs, data):
+            for first, offs, data in text_chunks(batch.column(2), min(CHUNK, most)):
+                raw, last = data.tobytes(), -1
+                for begin, own, part in parts_of(offs, data, most):
                     at, h = anchors_of(part, own)
-                    at = at + begin
+                    new = at + begin > last  # places grow with the windows: a part's first may be the last of the part before
+                    at, h = at[new] + begin, h[new]
+                    last = int(at[-1]) if len(at) else last
                     row = np.searchsorted(offs, at, "right") - 1
                     lo, hi = np.maximum(offs[row], at - REACH), np.minimum(offs[row + 1], at + LENGTH)
                     context = [signed(xxh3_64_intdigest(raw[a:b], c)) for a, b, c in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)]

@@ -60,6 +60,18 @@ def test_long_texts_are_taken_in_parts(monkeypatch):
     assert set(np.concatenate(parts)) == set(whole)
 
 
+def test_an_anchor_of_two_parts_counts_once(spark, monkeypatch):
+    rng = random.Random(44)
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    texts = [text(rng, 6000), text(rng, 3000), text(rng, 500)]
+    texts.append(texts[0][2000:2900] + text(rng, 2500))
+    docs = frame(spark, texts)
+    seen = suffix_dedup.anchors(docs).select("doc_id", "pos").collect()
+    assert len(seen) == len(set(seen))
+    got = suffix_dedup.remove_repeats(docs, suffix_dedup.repeated_spans(docs)).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute(texts)
+
+
 def test_awkward_rows(spark):
     docs = widened(awkward(spark))
     got = suffix_dedup.remove_repeats(docs, suffix_dedup.repeated_spans(docs)).collect()
