@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
-Four base patterns find protected entities. Around each mention stand terms; over the corpus, the pointwise mutual
+Four base patterns find protected entities. In the texts that hold them stand terms; over the corpus, the pointwise mutual
 information of a term and an entity, as a share of what the entity's own occurrence would tell (its information
 content), says how strongly the term reveals it: 1 for a term met with that entity alone, about 0 for common words.
 A term at or above `remove` is removed and one at or above `generalise` is replaced by its class, wherever it stands
-near that entity.
+in a text that holds that entity. Terms are whole words of three characters or more. Texts without the entity keep it.
 
 Counting is in three aggregations, all combined on the map side: documents per entity, documents and distinct
 contexts per (entity, term), and documents per term, this last only for terms with enough contexts. Distinct contexts
-keep copies of one document from making all of its words look telling. Texts are read twice and never shuffled.
+keep copies of one document from making all of its words look telling; they are counted beside mentions and over whole
+texts, and the greater count holds. Texts are read twice and never shuffled.
 
 Defined results: null text is empty; repeated rows count as documents each and get equal results; an entity that
 stands in every document has no information and hides nothing; empty tables give empty results; columns besides doc_id
@@ -18,6 +19,7 @@ and text are ignored. All patterns run in linear time on any text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,8 @@ from .common import materialize, sized
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-NEAR = "array<struct<entity:long,term:string,context:long,start:int,end:int>>"
+NEAR = "array<struct<entity:long,term:string,context:long>>"
+TERMS = "array<struct<term:string,context:long,start:int,end:int>>"
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -86,53 +89,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def terms_near(text: str, base: list, reach: int, window: int) -> list[tuple]:
-    """(entity, term, context, start, end) for up to `window` terms on each side within `reach` characters."""
+def terms_of(text: str, base: list, reach: int, window: int) -> tuple[list, list]:
+    """(entity, term, context) of the terms beside each mention, and (term, context, start, end) of all terms of the text.
+
+    Beside a mention stand up to `window` whole words on each side that begin or end within `reach` characters; their
+    context is the words themselves. Elsewhere a term's context is the `window` words on each side of its first place.
+    """
     from xxhash import xxh3_64_intdigest
 
     number = lambda b: int.from_bytes(xxh3_64_intdigest(b).to_bytes(8, "little"), "little", signed=True)
-    covered = [(s, e) for s, _, e in base]
-    out = []
+    word, start, end, last, i = [], [], [], 0, 0
+    for m in _TERM.finditer(text) if base else ():
+        while i < len(base) and base[i][0] < m.end():
+            last, i = max(last, base[i][2]), i + 1
+        if last <= m.start():  # no part of an entity
+            word.append(m[0])
+            start.append(m.start())
+            end.append(m.end())
+    low = [w.translate(_LOWER) for w in word]
+    beside = set()
     for s, kind, e in base:
-        entity = number(f"{kind}:{text[s:e].lower()}".encode())
-        before = [m for m in _TERM.finditer(text, max(0, s - reach), s)][-window:]
-        after = [m for m in _TERM.finditer(text, e, min(len(text), e + reach))][:window]
-        near = [m for m in before + after if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, b in covered if a < e + reach and b > s - reach)]
-        context = number(" ".join(m[0] for m in near).encode())
-        out += [(entity, m[0].translate(_LOWER), context, m.start(), m.end()) for m in near]
-    return out
+        p, q = bisect_right(end, s), bisect_left(start, e)
+        near = [i for i in range(max(0, p - window), p) if end[i] > s - reach] + [i for i in range(q, min(len(word), q + window)) if start[i] < e + reach]
+        near = [i for i in near if len(word[i]) >= 3]
+        entity, context = number(f"{kind}:{text[s:e].lower()}".encode()), number(" ".join(word[i] for i in near).encode())
+        beside |= {(entity, low[i], context) for i in near}
+    first: dict[str, int] = {}
+    for i, w in enumerate(low):
+        if len(w) >= 3 and w not in first:
+            first[w] = number(" ".join(word[max(0, i - window) : i + window + 1]).encode())
+    return sorted(beside), [(w, first[w], start[i], end[i]) for i, w in enumerate(low) if w in first]
+
+
+def entities_of(text: str, base: list) -> list[int]:
+    from xxhash import xxh3_64_intdigest
+
+    return sorted({int.from_bytes(xxh3_64_intdigest(f"{k}:{text[s:e].lower()}".encode()).to_bytes(8, "little"), "little", signed=True) for s, k, e in base})
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def extract(docs: DataFrame, reach: int = 60, window: int = 6) -> DataFrame:
-    """doc_id, text_hash, base (spans), near (terms beside the entities)."""
-    span, near = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """doc_id, text_hash, base (spans), entities, near (terms beside the entities), terms (of texts with entities)."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())]))
+    terms = pa.list_(pa.struct([("term", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, c, d = [], [], [], []
             for text in batch.column(2).to_pylist():
                 base = base_spans(text)
+                beside, every = terms_of(text, base, reach, window)
                 a.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base])
-                b.append([dict(zip(("entity", "term", "context", "start", "end"), x, strict=True)) for x in terms_near(text, base, reach, window)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, span), pa.array(b, near)], names=["doc_id", "text_hash", "base", "near"])
+                b.append(entities_of(text, base))
+                c.append([dict(zip(("entity", "term", "context"), x, strict=True)) for x in beside])
+                d.append([dict(zip(("term", "context", "start", "end"), x, strict=True)) for x in every])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, span), pa.array(b, pa.list_(pa.int64())), pa.array(c, near), pa.array(d, terms)], names=["doc_id", "text_hash", "base", "entities", "near", "terms"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id long, text_hash long, base {SPAN}, near {NEAR}")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id long, text_hash long, base {SPAN}, entities array<long>, near {NEAR}, terms {TERMS}")
 
 
 def disclosure(docs: DataFrame, found: DataFrame, contexts: int = 3, least: float = 0.0) -> DataFrame:
     """entity, term, disclosure of at least `least` (mutual information as a share of the entity's information content)."""
     total = found.count()
-    near = found.where(F.size("near") > 0)
-    entities = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"), x["context"].alias("context"))))).alias("p")).groupBy("p.entity", "p.term", "p.context").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_both")).where(F.col("n_contexts") >= contexts)
-    # A term stands in at least as many documents as it stands near entities in: a bound that spares counting terms
+    held = found.where(F.size("entities") > 0)
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = materialize(entities, "pii-entities")
+    beside = held.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term", "p.context").agg(F.count("*").alias("n"))
+    # A text is one context of a term and an entity, so entities in fewer texts cannot have enough.
+    often = sized(entities.where(F.col("n_entity") >= contexts).select("entity"))
+    word = F.array_distinct(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["context"].alias("context"))))
+    whole = held.select(F.explode("entities").alias("entity"), word.alias("words")).join(often, "entity", "left_semi").select("entity", F.explode("words").alias("p")).groupBy("entity", "p.term", "p.context").agg(F.count("*").alias("n"))
+    count = lambda rows: rows.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_both"))
+    pairs = count(beside).unionByName(count(whole)).groupBy("entity", "term").agg(F.max("n_contexts").alias("n_contexts"), F.max("n_both").alias("n_both")).where(F.col("n_contexts") >= contexts)
+    # A term stands in at least as many documents as it stands with entities in: a bound that spares counting terms
     # which cannot reach `least`, such as common words.
-    seen = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    seen = held.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = pairs.join(entities, "entity").join(seen, "term").where(F.col("n_entity") < total)
     share = lambda n_term: F.log(F.least("n_both", "n_entity") * F.lit(float(total)) / (n_term * F.col("n_entity"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
     pairs = materialize(pairs.where(share(F.col("n_near")) >= least), "pii-pairs")
@@ -148,12 +183,14 @@ def disclosure(docs: DataFrame, found: DataFrame, contexts: int = 3, least: floa
 def find(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, contexts: int = 3, **options) -> DataFrame:
     """doc_id, text_hash, base and telling spans of every row of docs (doc_id, text)."""
     found = materialize(extract(docs, **options), "pii-found")
-    telling = disclosure(docs, found, contexts, generalise).where(F.col("disclosure") >= generalise)
+    telling = materialize(disclosure(docs, found, contexts, generalise).where(F.col("disclosure") >= generalise), "pii-telling")
     key = ["doc_id", "text_hash"]
-    near = found.where(F.size("near") > 0).dropDuplicates(key).select(*key, F.explode("near").alias("x")).select(*key, "x.entity", "x.term", "x.start", "x.end")
-    hits = near.join(telling, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("d"))
+    # every place of a telling term in the texts that hold the entity
+    places = found.where(F.size("entities") > 0).dropDuplicates(key).select(*key, "entities", F.explode("terms").alias("x")).select(*key, "entities", "x.term", "x.start", "x.end")
+    places = places.join(sized(telling.select("term").distinct()), "term", "left_semi").select(*key, F.explode("entities").alias("entity"), "term", "start", "end")
+    hits = places.join(sized(telling), ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("d"))
     spans = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("d") >= remove, 5).otherwise(4).alias("kind"), "end"))).cast(SPAN).alias("telling"))
-    return found.drop("near").join(spans, key, "left").withColumn("telling", F.coalesce("telling", F.array().cast(SPAN)))
+    return found.drop("entities", "near", "terms").join(spans, key, "left").withColumn("telling", F.coalesce("telling", F.array().cast(SPAN)))
 
 
 def show(found: Column) -> Column:

@@ -48,6 +48,19 @@ def test_telling_terms(spark):
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10]
 
 
+def test_telling_terms_far_from_the_mention(spark):
+    rng = random.Random(9)
+    texts = [f"zorblax {prose(rng, 60, 4000)} write to zed@example.org {prose(rng, 60, 4000)} zorblax" for _ in range(6)] + [prose(rng, 60, 4000) for _ in range(60)]
+    texts += [f"{texts[0]}" for _ in range(2)] + ["a long" + "word" * 20 + " q@example.org"]
+    docs = frame(spark, texts)
+    found = pii.find(docs)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, found).collect()}
+    assert all("zorblax" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6))
+    assert all(clean[i] == texts[i] for i in range(6, 66))
+    base = pii.base_spans(texts[-1])
+    assert {w for w, *_ in pii.terms_of(texts[-1], base, 60, 6)[1]} == {"long" + "word" * 20}  # not cut at the window's edge
+
+
 def test_awkward_rows(spark):
     docs = widened(awkward(spark))
     rows = pii.digest(pii.find(docs)).collect()
