@@ -11,7 +11,8 @@ contexts per (entity, term), and documents per term, this last only for terms wi
 keep copies of one document from making all of its words look telling; they are counted beside mentions and over whole
 texts, and the greater count holds. Texts are read twice and never shuffled.
 
-Defined results: null text is empty; repeated rows count as documents each and get equal results; an entity that
+Defined results: null text is empty; repeated rows count as documents each and get equal results; rows without doc_id
+take part by their text; an entity that
 stands in every document has no information and hides nothing; empty tables give empty results; columns besides doc_id
 and text are ignored. All patterns run in linear time on any text.
 """
@@ -190,7 +191,9 @@ def find(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, contex
     places = places.join(sized(telling.select("term").distinct()), "term", "left_semi").select(*key, F.explode("entities").alias("entity"), "term", "start", "end")
     hits = places.join(sized(telling), ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("d"))
     spans = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("d") >= remove, 5).otherwise(4).alias("kind"), "end"))).cast(SPAN).alias("telling"))
-    return found.drop("entities", "near", "terms").join(spans, key, "left").withColumn("telling", F.coalesce("telling", F.array().cast(SPAN)))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "telling")
+    rows = found.drop("entities", "near", "terms")
+    return rows.join(spans, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash")), "left").drop("_id", "_hash").withColumn("telling", F.coalesce("telling", F.array().cast(SPAN)))
 
 
 def show(found: Column) -> Column:
@@ -220,5 +223,7 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = ["doc_id", "text_hash"]
-    joined = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).join(found.dropDuplicates(key), key, "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    spans = found.dropDuplicates(key).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "base", "telling")
+    joined = rows.join(spans, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash")), "left")
     return joined.select("doc_id", "text", F.coalesce(F.concat("base", "telling"), F.array().cast(SPAN))).mapInArrow(run, "doc_id long, text string")

@@ -73,15 +73,17 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     part = some.select(*key, F.explode(F.concat("base", "weak")).alias("p")).distinct().select(*key, "p.*")
     role = F.when(F.col("kind").isin(1, 3), "i").when(F.col("kind") == 5, "e").otherwise("s")
     part = part.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / scope).cast("int"))
-    near = part.select(*key, F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"), F.col("start").alias("other"), F.col("role").alias("beside"))
-    pairs = part.where("kind >= 3").join(near, [*key, "bucket"]).where((F.abs(F.col("start") - F.col("other")) <= scope) & (F.col("role") != F.col("beside")))
+    named = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))  # rows without doc_id go by their text
+    near = part.select(*named, F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("_bucket"), F.col("start").alias("other"), F.col("role").alias("beside"))
+    pairs = part.where("kind >= 3").join(near, same & (F.col("bucket") == F.col("_bucket"))).where((F.abs(F.col("start") - F.col("other")) <= scope) & (F.col("role") != F.col("beside")))
     has = {r: F.max((F.col("beside") == r).cast("int")) for r in "ise"}
     linked = (
         pairs.groupBy(*key, "start", "kind", "end", "role").agg(*[c.alias(r) for r, c in has.items()])
         .where("(role = 's' and i + e > 0) or (role = 'i' and s > 0) or (role = 'e' and s + i > 1)")
         .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).cast(SPAN).alias("linked"))
     )
-    return parsed.join(linked, key, "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
+    return parsed.join(linked.select(*named, "linked"), same, "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"))
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -61,6 +61,15 @@ def test_telling_terms_far_from_the_mention(spark):
     assert {w for w, *_ in pii.terms_of(texts[-1], base, 60, 6)[1]} == {"long" + "word" * 20}  # not cut at the window's edge
 
 
+def test_rows_without_id_are_sanitised(spark):
+    texts = [f"w{i} zorblax w{i + 1} at zed@example.org w{i + 2}" for i in range(6)] + [f"other w{i}" for i in range(60)]
+    docs = frame(spark, texts).selectExpr("IF(doc_id = 0, NULL, doc_id) AS doc_id", "text")
+    found = pii.find(docs)
+    assert found.where("doc_id IS NULL").first().telling
+    clean = next(r.text for r in pii.sanitise(docs, found).collect() if r.doc_id is None)
+    assert "zed@" not in clean and "zorblax" not in clean
+
+
 def test_awkward_rows(spark):
     docs = widened(awkward(spark))
     rows = pii.digest(pii.find(docs)).collect()

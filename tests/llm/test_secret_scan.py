@@ -38,6 +38,12 @@ def test_weak_parts_need_complements(spark):
     assert got[11] == got[12] == got[13] == got[14] == ""
 
 
+def test_rows_without_id_are_linked(spark):
+    docs = frame(spark, TEXTS[10:15]).selectExpr("CAST(NULL AS LONG) AS doc_id", "text")
+    got = sorted(r.spans for r in secret_scan.digest(secret_scan.scan(docs)).collect())
+    assert got[:4] == [""] * 4 and [x.split(":")[0] for x in got[4].split(",")] == ["identifier", "secret", "endpoint"]
+
+
 def test_redaction_and_awkward_rows(spark):
     docs = frame(spark, TEXTS)
     out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}
