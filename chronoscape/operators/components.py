@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import drop_table, materialize
 
 #: A run is named row * 2^32 + first column, so names follow raster order.
 SHIFT = 32
@@ -30,23 +30,36 @@ def touching_runs(found: DataFrame) -> DataFrame:
     return spread.join(below, ["row", "cell"]).where("f <= last + 1 and l >= first - 1").select(F.col("run").alias("a"), "b").distinct()
 
 
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
 def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root for every node of an edge (a > b), by alternating large and small stars; each round is written."""
-    now, mark = materialize(edges, "edges"), None
+    """node, root (the least node of its component) for every node of edges (a, b) that is not its own root.
+
+    Alternating large and small stars centre on least nodes, found by map-side minima; a hot centre is only ever a
+    join key whose rows Spark may split. Each round ends in a written table, and the one before is deleted.
+    """
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
     for _ in range(rounds):
         # 32-bit hashes, so that sums cannot overflow
         new = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
         if new == mark or not new[0]:
             break
-        mark = new
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        mark, before = new, now
+        now = materialize(_small_star(_large_star(now)), "edges")
+        drop_table(before)
     else:
-        raise RuntimeError(f"patches did not settle in {rounds} rounds")
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
