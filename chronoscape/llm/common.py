@@ -1,51 +1,58 @@
-"""What the operators share: shared-folder tables, sized broadcasts, and word hashing on Arrow text."""
+"""What the operators share: sized broadcasts, row keys, private names, and word hashing on Arrow text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
+
+from ..storage import drop_table, materialize, shared_dir  # noqa: F401
 
-#: A side is broadcast only when it was counted to hold at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if its written table has at most this many rows, and its columns at most this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='chronoscape-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends at files that survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/chronoscape/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def _bytes_of(field: StructField) -> Column:
+    """About what a value takes in memory."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, ArrayType):
+        width = 8 * (len(kind.elementType.fields) + 2) if isinstance(kind.elementType, StructType) else 8
+        return 24 + width * F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)).cast("long")
+    if isinstance(kind, (StringType, BinaryType)):
+        return 24 + F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    return F.lit(16 if not isinstance(kind, StructType) else 16 * len(kind.fields)).cast("long")
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small in rows and bytes; else Spark joins it by shuffle. df should be a written table."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    size = sum((_bytes_of(f) for f in df.schema.fields[1:]), _bytes_of(df.schema.fields[0]))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        out.append(own)
+    return out
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most so many rows; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of the whole row, so that rows which differ in any column can be told apart without doc_id."""
+    of = lambda f: F.to_json(F.col(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    mark = [F.col(f"`{c}`").isNull() for c in df.columns]  # else nulls leave no trace in the hash
+    return F.xxhash64(*map(of, df.schema.fields), *mark)
 
 
 def hash128(*cols: Column | str) -> list[Column]:

@@ -6,14 +6,16 @@ Two texts link when intersection * 100 >= 75 * union of their sets of distinct 5
    in blocks, and reports what reached `local_df` in a block; the sums name the (at most `heavy`) most frequent ones.
    Any order gives right results; this one keeps common passages out of the prefixes.
 2. Two sets that link share a shingle among their first n - ceil(0.75 n) + 1. Texts with the same prefix and size form
-   one group, and a group's prefix leaves a task once however many copies the task read. Shingles that only one group
-   has end here.
-3. Groups expand to members (distinct sets). Within the list of a shingle a member may be paired with the first member
-   of its size class; each member is paired with the one it meets so most often. Verified pairs are links, and their
-   components are found. Then the same with the member before it in a list, across components. These two rounds never
-   look at all pairs of a list, so a large group of near copies costs a pair or two per member.
-4. Last round: members of one list that still are in different components are paired by the size and position
-   filters, all of them, and verified. After it every link between different components has been seen.
+   one group, whose prefix is kept once. A shingle of one group only ends here. Shingles with the same groups have the
+   same list: the first of them in the order stands for all, which leaves a small part of the lists.
+3. Group pairs. In each of a few rounds every list and size class has a hub (first the group whose place for the
+   shingle is least, so that is nearest to what the list has in common), every group outside the hub's component is
+   paired with the hub that it meets most, and the pair's first members are verified. Links are joined to components.
+   A round makes at most one pair a group, however large a list is.
+4. Last round: groups of one list that still are in different components. Size and position filters are first applied
+   to (list, component, size) cells, each standing for all its groups by the least place, then to the group pairs
+   of the cells that are left, then the bound by what two prefixes share. The pairs left are expanded to members of
+   different components and verified. After it every link between different components has been seen.
 
 Verification first bounds the intersection of two sets by their histograms (shingles per bucket of hashes), which is
 never too low, and then fetches the texts of the members in question and compares their sets. Sets are compared as 64-bit
@@ -21,7 +23,7 @@ hashes; that two different shingles of one pair of texts collide has a chance of
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; fewer than five
 words are one shingle; equal sets always link; rows without doc_id take part, and a component without any doc_id has
-none; empty tables give empty results; other columns are ignored.
+none; empty tables give empty results; other columns are ignored, and `keep_first` passes them through.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, drop_table, lists, materialize, mix, shingle_sets, sized, text_chunks
-from .components import components
+from ..operators.components import connect
+from .common import drop_table, lists, materialize, mix, private, row_key, shingle_sets, sized, text_chunks
 
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 75, 100
@@ -95,19 +97,22 @@ def frequent(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19) -> tuple[
     return token[order], df[order]
 
 
-def order_prefix(s: np.ndarray, token: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """The prefix of the sorted set s under the order: shingles not known as frequent by hash, then by frequency."""
+def order_prefix(s: np.ndarray, token: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix of the sorted set s under the order, and how many frequent shingles it ends with.
+
+    Shingles that are not known as frequent come first, by hash; then the others, by frequency.
+    """
     n = prefix_size(len(s))
     if not len(token):
-        return s[:n]
+        return s[:n], 0
     at = np.searchsorted(token, s)
     at[at == len(token)] = 0
     known = token[at] == s
     if not known.any():
-        return s[:n]
+        return s[:n], 0
     often = np.flatnonzero(known)
     often = often[np.lexsort((s[often], df[at[often]]))]
-    return s[np.concatenate((np.flatnonzero(~known), often))[:n]]
+    return s[np.concatenate((np.flatnonzero(~known), often))[:n]], max(0, n - (len(s) - len(often)))
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -128,21 +133,26 @@ def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
     return DEN * both >= NUM * (n + m - both)
 
 
-SIGNED = "doc_id long, size int, node long, gid long, hist binary, prefix array<long>"
+SIGNED = "doc_id long, row long, size int, node long, gid long, hist binary, known int, prefix array<long>"
 
 
 def signatures(docs: DataFrame, token: np.ndarray, df: np.ndarray) -> DataFrame:
-    """Rows of SIGNED; prefix is null where the task gave the same group's prefix before."""
+    """Rows of SIGNED; prefix is null where the task gave the same group's prefix before.
+
+    The last `known` shingles of a prefix are among the frequent ones.
+    """
+    order = docs.sparkSession.sparkContext.broadcast((token, df))  # at most `heavy` entries
 
     def run(batches):
         seen: set[int] = set()
+        token, df = order.value
         for batch in batches:
-            doc = batch.column(0).to_pylist()
-            for first, offs, data in text_chunks(batch.column(1)):
+            doc, row = batch.column(0), batch.column(1)
+            for first, offs, data in text_chunks(batch.column(2)):
                 sets = shingle_sets(offs, data)
-                node, gid, out, new = [], [], [], []
+                node, gid, known, out = [], [], [], []
                 for s in sets:
-                    p = order_prefix(s, token, df)
+                    p, k = order_prefix(s, token, df)
                     g = set_key(np.append(np.sort(p), np.uint64(len(s)))) if len(s) else 0
                     fresh = len(s) > 0 and g not in seen
                     if fresh:
@@ -151,18 +161,19 @@ def signatures(docs: DataFrame, token: np.ndarray, df: np.ndarray) -> DataFrame:
                         seen.add(g)
                     node.append(set_key(s))
                     gid.append(g)
-                    new.append(fresh)
+                    known.append(k)
                     out.append(p if fresh else p[:0])
-                size = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first : first + len(sets)], pa.int64()), size, pa.array(node, pa.int64()), pa.array(gid, pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), lists(out)], names=["doc_id", "size", "node", "gid", "hist", "prefix"])
+                n = len(sets)
+                arrays = [doc.slice(first, n), row.slice(first, n), pa.array([len(s) for s in sets], pa.int32()), pa.array(node, pa.int64()), pa.array(gid, pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), pa.array(known, pa.int32()), lists(out)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of pairs (a, b: nodes) whose sets link."""
     nodes = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    known = signed.join(nodes(pairs), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("hist").alias("hist"))
+    known = signed.join(nodes(pairs), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("size").alias("size"), F.first("hist").alias("hist"))
     known = materialize(known, "near-known")
 
     def screen(batches):
@@ -172,19 +183,10 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
 
     about = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("hist").alias(f"hist_{c}"))
     pairs = materialize(pairs.join(about("a"), "a").join(about("b"), "b").mapInArrow(screen, "a long, b long"), "near-screened")
-    source = known.join(nodes(pairs), "node").select("node", "doc_id")
-    source = sized(materialize(source, "near-wanted"))
-
-    def sets(batches):
-        for batch in batches:
-            want = batch.column(0).to_pylist()
-            for first, offs, data in text_chunks(batch.column(1)):
-                for i, s in enumerate(shingle_sets(offs, data)):
-                    if set_key(s) == want[first + i]:  # doc_id need not be unique
-                        yield pa.RecordBatch.from_arrays([pa.array([want[first + i]], pa.int64()), pa.array([data[offs[i] : offs[i + 1]].tobytes()], pa.binary())], names=["node", "raw"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = text.withColumnRenamed("doc_id", "_id").join(source, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(sets, "node long, raw binary")
+    source = known.join(nodes(pairs), "node", "left_semi").select("node", F.col("one.doc_id").alias("_id"), F.col("one.row").alias("_row"))
+    source = materialize(source, "near-wanted")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    texts = text.join(sized(source), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("node", F.col("text").cast("binary").alias("raw"))
     texts = materialize(texts.dropDuplicates(["node"]), "near-texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("raw").alias(f"raw_{c}"))
 
@@ -204,64 +206,131 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], names=["a", "b", "ok"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b")
-    return materialize(both.mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b"), "near-links")
+    found = materialize(both.mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b"), "near-links")
+    drop_table(known, pairs, source, texts)
+    return found
 
 
-def near_duplicates(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs (doc_id, text)."""
+def shared_lists(groups: DataFrame) -> DataFrame:
+    """token, gid, size, pos: the lists of the shingles that several groups have, one for each set of groups.
+
+    Shingles that are not known as frequent stand in few texts, so a window finds those of several groups; known ones
+    may stand in any share of the corpus, so they only ever meet as sums.
+    """
+    entries = groups.select("gid", "size", (F.size("prefix") - F.col("known")).alias("rare"), F.posexplode("prefix").alias("pos", "token"))
+    own = Window.partitionBy("token")
+    few = entries.where("pos < rare").select("token", "gid", "size", "pos")
+    few = few.withColumns({"lo": F.min("gid").over(own), "hi": F.max("gid").over(own)}).where("lo <> hi").drop("lo", "hi")
+    shared = materialize(few.unionByName(entries.where("pos >= rare").select("token", "gid", "size", "pos")), "near-shared")
+    # groups are distinct within a list, so count, sum and xor of hashes name the set of groups
+    sign = shared.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.hash("gid").cast("long")).alias("s"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.min(F.struct("gid", "pos")).alias("one")).where("n > 1")
+    # all groups see the shingles in the same order, so places in any one of them tell which is first
+    first = materialize(sign.groupBy("n", "s", "x").agg(F.min_by("token", F.struct("one.pos", "token")).alias("token")).select("token"), "near-first")
+    found = materialize(shared.join(first, "token", "left_semi"), "near-lists")
+    drop_table(shared, first)
+    return found
+
+
+def need(n: Column, m: Column) -> Column:
+    """The least intersection of linked sets of n and m shingles."""
+    return F.ceil(NUM * (n + m) / F.lit(float(NUM + DEN)))
+
+
+def rooted(listed: DataFrame, members: DataFrame, root: DataFrame | None) -> DataFrame:
+    """listed with root: the component of the group's members, or the group itself where they are in several."""
+    if root is None:
+        return listed.join(members.groupBy("gid").agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "gid").withColumn("root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("gid"))).drop("lo", "hi")
+    of = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return listed.join(of.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("gid")).alias("root")), "gid")
+
+
+def hub_pairs(listed: DataFrame, turn: int) -> DataFrame:
+    """x, y: each group of listed (with root) and the hub, outside its component, that it meets in most lists."""
+    group = F.floor(F.log(F.col("size")) / math.log(DEN / NUM)).cast("int").alias("class")
+    by = F.struct("pos", "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
+    hubs = listed.groupBy("token", group).agg(F.min_by(F.struct("gid", "root", "size", "pos"), by).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "class", "hub")
+    met = listed.withColumn("class", group).join(hubs, ["token", "class"]).where(F.col("root") != F.col("hub.root"))
+    room = F.least(F.col("size") - F.col("pos"), F.col("hub.size") - F.col("hub.pos")) >= need(F.col("size"), F.col("hub.size"))
+    counted = met.where(room).groupBy("gid", F.col("hub.gid").alias("hub")).agg(F.count("*").alias("n"))
+    return counted.groupBy("gid").agg(F.max_by("hub", F.struct("n", "hub")).alias("y")).select(F.col("gid").alias("x"), "y")
+
+
+def cross_pairs(listed: DataFrame, groups: DataFrame) -> DataFrame:
+    """x, y: the pairs of groups of listed (with root) in different components that no filter rules out."""
+    mixed = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    apart = materialize(listed.join(mixed, "token", "left_semi"), "near-apart")
+    cells = apart.groupBy("token", "root", "size").agg(F.min("pos").alias("pos"))
+    side = lambda df, c: df.select("token", *[F.col(n).alias(f"{n}_{c}") for n in df.columns if n != "token"])
+    before = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("root_x") < F.col("root_y")))
+    fits = (F.col("root_x") != F.col("root_y")) & (DEN * F.col("size_x") >= NUM * F.col("size_y"))
+    room = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) >= need(F.col("size_x"), F.col("size_y"))
+    met = materialize(side(cells, "x").join(side(cells, "y"), "token").where(before & fits & room).select("token", "root_x", "size_x", "root_y", "size_y"), "near-cells")
+    one = met.join(side(apart, "x"), ["token", "root_x", "size_x"]).where(F.col("size_x") - F.col("pos_x") >= need(F.col("size_x"), F.col("size_y")))
+    both = one.join(side(apart, "y"), ["token", "root_y", "size_y"]).where(room).select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct()
+    of = lambda c: groups.select(F.col("gid").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}"))
+    share = F.size(F.array_intersect("prefix_x", "prefix_y")) + F.greatest(F.col("size_x") - F.size("prefix_x"), F.col("size_y") - F.size("prefix_y"))
+    return both.join(of("x"), "x").join(of("y"), "y").where(share >= need(F.col("size_x"), F.col("size_y"))).select("x", "y")
+
+
+def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int = 2) -> DataFrame:
+    """doc_id, row (its key), size, node (its set) and root (a node that names its component) of every row of docs."""
     token, df = frequent(docs, local_df, heavy)
     signed = materialize(signatures(docs, token, df), "near-signed")
-    entries = signed.where(F.size("prefix") > 0).select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
-    own = Window.partitionBy("token")
-    shared = entries.withColumns({"lo": F.min("gid").over(own), "hi": F.max("gid").over(own)}).where("lo <> hi").select("token", "gid", "size", "pos").distinct()
-    shared = materialize(shared, "near-shared")
-    members = materialize(signed.where("size > 0").groupBy("gid", "node").agg(F.first("size").alias("size")), "near-members")
-    listed = materialize(shared.join(members.select("gid", "node"), "gid").select("token", "node", "size", "pos"), "near-listed")
-    drop_table(shared)
-
-    # Round 1: each member with the hub it meets most: the first of its size class.
-    group = F.floor(F.log(F.col("size")) / math.log(DEN / NUM)).cast("int")
-    line = Window.partitionBy("token").orderBy("size", "node")
-    hubs = listed.select("node", F.first("node").over(Window.partitionBy("token", group).orderBy("size", "node")).alias("hub")).where("node <> hub")
-    most = lambda met, to: met.groupBy("node", to).agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by(to, F.struct("n", to)).alias(to)).select(F.greatest("node", to).alias("a"), F.least("node", to).alias("b"))
-    alike = members.join(members.groupBy("gid").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("gid", "hub"), "gid")
-    inside = alike.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    tried = materialize(most(hubs, "hub").unionByName(inside).distinct(), "near-pairs")
-    links = verify(docs, signed, tried)
-    named = lambda df, root: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = lambda df: df.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo <> hi").drop("lo", "hi")
-
-    # Round 2: each member with the member before it that it meets most, across components.
-    root = materialize(components(links), "near-roots")
-    before = mixed(named(listed, root)).withColumns({"prev": F.lag("node").over(line), "prev_size": F.lag("size").over(line), "prev_root": F.lag("root").over(line)})
-    met = before.where((F.col("prev_root") != F.col("root")) & (DEN * F.col("prev_size") >= NUM * F.col("size"))).select("node", "prev")
-    again = materialize(most(met, "prev").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.unionByName(verify(docs, signed, again))
-    tried = tried.unionByName(again)
-    root = materialize(components(links), "near-roots")
-
-    # Last round: all pairs of a list, or of a group, that are still apart.
-    apart = materialize(mixed(named(listed, root)), "near-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    need = F.ceil(NUM * (F.col("x.size") + F.col("y.size")) / F.lit(float(NUM + DEN)))
-    can = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & order & (F.col("x.root") != F.col("y.root")) & (DEN * F.col("x.size") >= NUM * F.col("y.size")) & (can >= need))
-    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    grouped = named(alike.select("gid", "node"), root)
-    m, n = grouped.alias("m"), grouped.alias("n")
-    inner = m.join(n, (F.col("m.gid") == F.col("n.gid")) & (F.col("m.node") > F.col("n.node")) & (F.col("m.root") != F.col("n.root"))).select(F.col("m.node").alias("a"), F.col("n.node").alias("b"))
-    late = materialize(cross.unionByName(inner).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    # a prefix leaves each task once; here it stays once
+    groups = materialize(signed.where(F.size("prefix") > 0).groupBy("gid").agg(F.first("size").alias("size"), F.first("known").alias("known"), F.first("prefix").alias("prefix")), "near-groups")
+    listed = shared_lists(groups)
+    members = materialize(signed.where("size > 0").select("gid", "node").distinct(), "near-members")
+    firsts = members.groupBy("gid").agg(F.min("node").alias("node"))
+    first = lambda c: firsts.select(F.col("gid").alias("x" if c == "a" else "y"), F.col("node").alias(c))
+    pair = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+    links, tried, root = None, None, None
+    for turn in range(rounds):
+        met = hub_pairs(rooted(listed, members, root), turn).join(first("a"), "x").join(first("b"), "y").select(*pair("a", "b"))
+        if turn == 0:  # the members of a group, each with its first
+            met = met.unionByName(members.join(firsts.withColumnRenamed("node", "hub"), "gid").where("node <> hub").select(*pair("node", "hub")))
+        met = met.distinct() if tried is None else met.distinct().join(tried, ["a", "b"], "left_anti")
+        met = materialize(met, "near-pairs")
+        found = verify(docs, signed, met)
+        links, tried = (found, met) if links is None else (links.unionByName(found), tried.unionByName(met))
+        if root is not None:
+            drop_table(root)
+        root = materialize(connect(links), "near-roots")
+
+    wide = cross_pairs(rooted(listed, members, root), groups)
+    inner = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
+    named = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = lambda c, node: named.select(F.col("gid").alias(c), F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+    late = wide.unionByName(inner).join(of("x", "m"), "x").join(of("y", "n"), "y").where("root_m <> root_n").select(*pair("m", "n")).distinct()
+    late = materialize(late.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(docs, signed, late)
-    root = sized(materialize(components(links.unionByName(more)), "near-roots"))
+    root = sized(materialize(connect(links.unionByName(more)), "near-roots"))
+    drop_table(groups, listed, members, late)
+    return signed.select("doc_id", "row", "size", "node").join(root, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
 
-    labelled = signed.select("doc_id", "size", "node").join(root, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs (doc_id, text)."""
+    labelled = labels(docs, **options)
     least = labelled.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "root", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: the one with its least doc_id (repeated rows of that doc_id and rows without one stay)."""
-    found = near_duplicates(docs, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(sized(materialize(gone, "near-gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: of its rows with the least doc_id (or none, where no row has one) the one
+    with the least key. Rows without words stay, as they link with nothing. A kept row that stands in the table more
+    than once, equal in all columns, stays once. Columns pass through."""
+    labelled = materialize(labels(docs, **options).where("size > 0").select("doc_id", "row", "node", "root"), "near-labelled")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "node")
+    first = labelled.groupBy("root").agg(F.min(order).alias("k"))
+    kept = labelled.groupBy("root", "doc_id", "row", "node").agg(F.count("*").alias("n")).join(first, "root").where(order.eqNullSafe(F.col("k")))
+    kept = materialize(kept.select("doc_id", "row", "n"), "near-kept")
+    gone = labelled.join(kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti").select("doc_id", "row").distinct()
+    gone = sized(materialize(gone.withColumn("n", F.lit(0).cast("long")).unionByName(kept.where("n > 1").select("doc_id", "row", "n")), "near-gone"))
+    doc, row, n = private(docs, "doc", "row", "n")
+    mark = gone.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("n").alias(n))
+    key = row_key(docs)
+    marked = docs.join(mark, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (key == F.col(row)), "left")
+    once = marked.where(F.col(n).isNull()).select(*docs.columns)
+    many = marked.where(F.col(n) > 1).dropDuplicates([doc, row]).select(*docs.columns)
+    return once.unionByName(many) if kept.where("n > 1").limit(1).count() else once

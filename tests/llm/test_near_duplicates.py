@@ -63,7 +63,7 @@ def test_equals_brute_force(spark, seed, options):
 
 
 def test_equal_prefixes_with_different_members(spark, monkeypatch):
-    monkeypatch.setattr(near, "order_prefix", lambda s, token, df: s[:1])  # groups of many members that do not link
+    monkeypatch.setattr(near, "order_prefix", lambda s, token, df: (s[:1], 0))  # groups of many members that do not link
     texts = ["a b c d e " + prose(random.Random(k), 3) for k in range(6)] * 2
     got = {tuple(r) for r in near.near_duplicates(frame(spark, texts)).collect()}
     assert {r[0] for r in got} == set(range(12)) and all(r[2] == r[0] % 6 for r in got)
