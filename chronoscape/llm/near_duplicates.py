@@ -171,7 +171,9 @@ def signatures(docs: DataFrame, token: np.ndarray, df: np.ndarray) -> DataFrame:
 
 
 def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b: nodes) whose sets link."""
+    """The rows of pairs (a, b: nodes, a written table) whose sets link."""
+    if pairs.isEmpty():
+        return pairs
     nodes = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
     known = signed.join(nodes(pairs), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("size").alias("size"), F.first("hist").alias("hist"))
     known = materialize(known, "near-known")
@@ -272,7 +274,7 @@ def cross_pairs(listed: DataFrame, groups: DataFrame) -> DataFrame:
     return both.join(of("x"), "x").join(of("y"), "y").where(share >= need(F.col("size_x"), F.col("size_y"))).select("x", "y")
 
 
-def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int = 2) -> DataFrame:
+def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int = 1) -> DataFrame:
     """doc_id, row (its key), size, node (its set) and root (a node that names its component) of every row of docs."""
     token, df = frequent(docs, local_df, heavy)
     signed = materialize(signatures(docs, token, df), "near-signed")
@@ -305,7 +307,7 @@ def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int
     late = materialize(late.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(docs, signed, late)
     root = sized(materialize(connect(links.unionByName(more)), "near-roots"))
-    drop_table(groups, listed, members, late)
+    drop_table(groups, listed, members)
     return signed.select("doc_id", "row", "size", "node").join(root, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
 
 
