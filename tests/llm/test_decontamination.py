@@ -54,6 +54,34 @@ def test_equals_brute_force(spark):
     assert {r.doc_id for r in kept} == set(range(len(texts))) - {d for d, *_ in want}
 
 
+def test_short_items_are_found_between_word_boundaries(spark):
+    items = ["a", "Paris", "42", "who is he", "is it so today", "the capital of france"]
+    texts = ["Paris", "paris-42!", "compare parisian", "WHO is  he?", "who is her", "a", "is it so todays", "so: is it so today", "the capital of frances", "the capitol of france", "", None, " a\n"]
+    want = set()
+    for d, t in enumerate(texts):
+        b = dec.normalise(t)
+        for i, item in enumerate(items):
+            a = dec.normalise(item)
+            if k := int(0.05 * len(a)):
+                if sellers(a, b) <= k:
+                    want.add((d, i))
+            elif b" " + a + b" " in b" " + b + b" ":
+                want.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = dec.leaks(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) == 9
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got if r.item_id in (2, 4)} == {(1, 1, 2), (7, 1, 5)}
+
+
+def test_long_texts_are_hashed_in_overlapping_parts(spark, monkeypatch):
+    monkeypatch.setattr(dec, "CHUNK", 50)
+    rng = random.Random(14)
+    item = prose(rng, 12, 5000)
+    for lead in range(0, 60, 7):
+        text = b" " + dec.normalise("x" * lead + " " + item + " y" * 30) + b" "
+        assert [(n, d) for n, d, *_ in dec.Matcher([(1, b" " + dec.normalise(item) + b" ")], 0.05)(text)] == [(0, 0)]
+
+
 def test_awkward_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "lorem ipsum " * 12), (None, "lorem ipsum " * 6)], "item_id long, text string")
     docs = widened(awkward(spark))
