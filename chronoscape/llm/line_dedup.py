@@ -14,7 +14,8 @@ is on the line hash against the (counted, then broadcast or else shuffled) boile
 while the set of documents that lose lines is small enough to broadcast.
 
 Defined results: null text stays null with no lines; null source is no site, but its lines can go; a repeated row gets
-the same result as its twin; an empty table gives an empty result; further columns pass through.
+the same result as its twin; an empty table gives an empty result; further columns pass through, whatever their names
+(only text and the two counts are replaced).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, sized
+from .common import hash128, materialize, private, sized
 
 #: Sketch size: 2^12 registers, a standard error of 1.6 %.
 LG_K = 12
@@ -54,23 +55,25 @@ def boilerplate(docs: DataFrame, min_sites: int = 6, min_chars: int = 2, band: f
     return materialize(sure.select("h1", "h2").unionByName(exact.select("h1", "h2")), "lines-boilerplate")
 
 
-def remove_lines(docs: DataFrame, min_sites: int = 6, min_chars: int = 2, band: float = 0.15, max_share: float = 0.5) -> DataFrame:
-    """docs (doc_id, text, source, ...) with boilerplate lines cut from text; n_lines and n_removed are added."""
+def remove_lines(docs: DataFrame, min_sites: int = 6, min_chars: int = 2, band: float = 0.15, max_share: float = 0.5, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs (doc_id, text, source, ...) with boilerplate lines cut from text; the lines that count, and those removed,
+    are added as the columns `counts`."""
     found = boilerplate(docs, min_sites, min_chars, band)
     hits = _lines(docs, min_chars).join(sized(found), ["h1", "h2"], "left_semi").dropDuplicates(["doc_id", "text_hash", "pos"])
-    drops = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("_drop"), F.sum("size").alias("_cut"))
-    drops = sized(materialize(drops.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_drop", "_cut"), "lines-drops"))
+    id_, hash_, drop, cut = private(docs, "id", "hash", "drop", "cut")
+    drops = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias(drop), F.sum("size").alias(cut))
+    drops = sized(materialize(drops.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), drop, cut), "lines-drops"))
     text = F.col("text").cast("string")
-    joined = docs.withColumn("text", text).join(drops, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64("text") == F.col("_hash")), "left")
+    joined = docs.withColumn("text", text).join(drops, (F.col("doc_id").cast("long").eqNullSafe(F.col(id_))) & (F.xxhash64("text") == F.col(hash_)), "left")
     size = lambda x: F.length(F.trim(x))
     total = F.aggregate(_split(), F.lit(0), lambda acc, x: acc + F.when(size(x) >= min_chars, size(x)).otherwise(0))
-    drop = F.when(F.col("_cut") <= max_share * total, F.col("_drop"))
-    rest = F.array_join(F.filter(_split(), lambda x, i: ~F.array_contains(F.col("_keep"), i)), "\n")
-    joined = joined.withColumn("_keep", drop)
+    joined = joined.withColumn(drop, F.when(F.col(cut) <= max_share * total, F.col(drop)))
+    stay = lambda whole: F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col(drop))
+    rest = F.transform(F.array(_split()), lambda whole: F.array_join(F.transform(stay(whole), lambda i: whole[i]), "\n"))[0]
     n_lines = F.coalesce(F.size(F.filter(_split(), lambda x: size(x) >= min_chars)), F.lit(0))
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), "n_removed": F.coalesce(F.size("_keep"), F.lit(0)).cast("long"), "text": F.when(F.col("_keep").isNull(), F.col("text")).otherwise(rest)})
-    out = out.withColumn("n_removed", F.when(F.col("_keep").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    return out.drop("_id", "_hash", "_drop", "_cut", "_keep")
+    whole = F.col(drop).isNull()
+    out = joined.withColumns({counts[0]: F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), counts[1]: F.when(whole, 0).otherwise(F.size(drop)).cast("long"), "text": F.when(whole, F.col("text")).otherwise(rest)})
+    return out.drop(id_, hash_, drop, cut)
 
 
 def digest(found: DataFrame) -> DataFrame:
