@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid
+from ..functions.grid import Grid, ring_crosses, ring_holds
 from ..functions.labels import lookback_days
 
 ITEM = (
@@ -88,46 +89,58 @@ def _cover(rings: list, bounds: tuple) -> float:
     linearly, so the width half-way times the height is the slab's area.
     """
     west, south, east, north = bounds
-    edges = [(x1, y1, x2, y2, k) for k, r in enumerate(rings) for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1], strict=True) if y1 != y2]
-    cuts = {south, north} | {y for e in edges for y in (e[1], e[3])}
-    slopes = [((e[2] - e[0]) / (e[3] - e[1]), e) for e in edges]
-    sides_ = slopes + [(0.0, (x, south, x, north, -1)) for x in (west, east)]
-    for i, (s, e) in enumerate(sides_):
-        for t, f in sides_[:i]:
-            if s != t:
-                y = ((f[0] - t * f[1]) - (e[0] - s * e[1])) / (s - t)
-                if max(min(e[1], e[3]), min(f[1], f[3])) < y < min(max(e[1], e[3]), max(f[1], f[3])):
-                    cuts.add(y)
-    levels = sorted(y for y in cuts if south <= y <= north)
+    edges = np.array([(*p, *q, k) for k, r in enumerate(rings) for p, q in zip(r, r[1:] + r[:1], strict=True) if p[1] != q[1]], float).reshape(-1, 5)
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    near = (low < north) & (high > south)
+    (x, y, x2, y2, owner), low, high = edges[near].T, low[near], high[near]
+    slope = (x2 - x) / (y2 - y)
+    # the sides of the bounds cut edges, too
+    s, base = np.concatenate((slope, [0.0, 0.0])), np.concatenate((x - slope * y, [west, east]))
+    lo, hi = np.concatenate((low, [south, south])), np.concatenate((high, [north, north]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = (base[:, None] - base[None, :]) / (s[None, :] - s[:, None])
+    cross = at[(at > np.maximum.outer(lo, lo)) & (at < np.minimum.outer(hi, hi))]
+    levels = np.unique(np.concatenate(([south, north], low, high, cross)))
+    levels = levels[(levels >= south) & (levels <= north)]
     total = 0.0
-    for lo, hi in zip(levels, levels[1:], strict=False):
-        mid = (lo + hi) / 2
-        spans: list = []
-        per: dict[int, list[float]] = {}
-        for s, e in slopes:
-            if min(e[1], e[3]) <= mid < max(e[1], e[3]):
-                per.setdefault(e[4], []).append(e[0] + s * (mid - e[1]))
-        for xs in per.values():
-            xs.sort()
-            spans += zip(xs[::2], xs[1::2], strict=False)
-        at = west
-        for a, b in sorted(spans):
-            a, b = max(a, at), min(b, east)
-            if b > a:
-                total += (b - a) * (hi - lo)
-                at = b
-    return total / ((east - west) * (north - south))
-
-
-def coverage(found: DataFrame, bounds: tuple) -> DataFrame:
-    """orbit, side, coverage of the bounds by the union of the footprints. One orbit and side is a few hundred scenes."""
+    for bottom, top in zip(levels, levels[1:], strict=False):
+        mid = (bottom + top) / 2
+        active = (low <= mid) & (mid < high)
+        places, of = x[active] + slope[active] * (mid - y[active]), owner[active]
+        places = np.clip(places[np.lexsort((places, of))], west, east)  # edges of a ring come in pairs
+        begin, end = places[::2], places[1::2]
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        total += np.maximum(end - np.maximum(begin, np.concatenate(([west], end[:-1]))), 0).sum() * (top - bottom)
+    return float(total / ((east - west) * (north - south)))
+
+
+def coverage(found: DataFrame, bounds: tuple, cells: int = 8) -> DataFrame:
+    """orbit, side, coverage of the bounds by the union of the footprints (outer rings).
+
+    The bounds are cut into cells x cells boxes. A box that one footprint covers alone is covered; only footprints
+    that cross a box which none covers alone are brought together, box by box, and their union is measured exactly.
+    """
+    west, south, east, north = bounds
+    wide, high = (east - west) / cells, (north - south) / cells
+    rings = found.where(F.size("geometry.coordinates") > 0).select("orbit", "side", F.col("geometry.coordinates")[0].alias("ring")).distinct()
+    span = lambda axis, start, step: F.explode(F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: (F.array_min(F.transform("ring", lambda p: p[axis])) <= start + (i + 1) * step) & (F.array_max(F.transform("ring", lambda p: p[axis])) >= start + i * step)))
+    dealt = rings.withColumn("cx", span(0, west, wide)).withColumn("cy", span(1, south, high))
+    box = (west + F.col("cx") * wide, south + F.col("cy") * high, west + (F.col("cx") + 1) * wide, south + (F.col("cy") + 1) * high)
+    crosses = ring_crosses(F.col("ring"), *box)
+    dealt = dealt.withColumn("crosses", crosses).where(F.col("crosses") | ring_holds(F.col("ring"), box[0], box[1]))
+    whole = dealt.where("not crosses").select("orbit", "side", "cx", "cy").distinct()
 
     def run(table: pa.Table) -> pa.Table:
-        rings = sorted([tuple(map(tuple, g["coordinates"][0])) for g in table.column("geometry").to_pylist() if g and g["coordinates"]])
-        unique = [list(r[:-1] if r[0] == r[-1] else r) for r in dict.fromkeys(rings)]
-        return pa.table({"orbit": table.column("orbit").slice(0, 1), "side": table.column("side").slice(0, 1), "coverage": pa.array([_cover(unique, bounds)])})
-
-    return found.select("orbit", "side", "geometry").groupBy("orbit", "side").applyInArrow(run, "orbit int, side string, coverage double")
+        cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
+        own = (west + cx * wide, south + cy * high, west + (cx + 1) * wide, south + (cy + 1) * high)
+        shapes = sorted(tuple(map(tuple, r)) for r in table.column("ring").to_pylist())
+        return pa.table({"orbit": table.column("orbit").slice(0, 1), "side": table.column("side").slice(0, 1), "part": pa.array([_cover([list(r[:-1] if r[0] == r[-1] else r) for r in shapes], own)])})
+
+    some = dealt.where("crosses").join(whole, ["orbit", "side", "cx", "cy"], "left_anti").select("orbit", "side", "cx", "cy", "ring").groupBy("orbit", "side", "cx", "cy").applyInArrow(run, "orbit int, side string, part double")
+    parts = some.unionByName(whole.select("orbit", "side", F.lit(1.0).alias("part")))
+    seen = found.select("orbit", "side").distinct()
+    return seen.join(parts.groupBy("orbit", "side").agg((F.sum("part") / (cells * cells)).alias("coverage")), ["orbit", "side"], "left").fillna(0.0, ["coverage"])
 
 
 def orbits(found: DataFrame, request: Request) -> DataFrame:

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,12 @@ def compare(side: DataFrame, first: tuple[int, ...], second: tuple[int, ...], lo
     return seen.withColumns({"_stat": stat, "_db": db}).select("row", "col", stats.encode_statistic(F.col("_stat"), F.col("_db")).alias("signed"), stats.encode_db(F.col("_db")).alias("change_db"), *means)
 
 
-def pixel_change(obs: DataFrame, n_before: int, looks: float, size: int, height: int, width: int, bands=("vv", "vh")) -> dict[str, DataFrame]:
-    """'change' (before and after) and, with two passes before, 'null' (even and odd before): results of `compare`."""
-    side = smoothed(group_sums(obs, n_before, bands), size, height, width, bands)
+def pixel_change(obs: DataFrame, n_before: int, looks: float, size: int, height: int, width: int, bands=("vv", "vh"), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """'change' (before and after) and, with two passes before, 'null' (even and odd before): results of `compare`.
+
+    Both come from the same window sums; keep them (written, say) where both are wanted.
+    """
+    side = keep(smoothed(group_sums(obs, n_before, bands), size, height, width, bands))
     found = {"change": compare(side, (0, 1), (2,), looks, size, bands)}
     if n_before >= 2:
         found["null"] = compare(side, (0,), (1,), looks, size, bands)

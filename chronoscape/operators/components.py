@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import drop_table, materialize
 
-#: A run is named row * 2^32 + first column, so names follow raster order.
+#: A patch is named row * 2^32 + column of its first pixel in raster order.
 SHIFT = 32
+#: Pixels are first labelled within tiles of this side, so what meets in one task is bounded.
+TILE = 1024
 
 
-def runs(flagged: DataFrame) -> DataFrame:
-    """row, first, last, run: stretches of neighbouring flagged pixels within a row."""
-    line = Window.partitionBy("row").orderBy("col")
-    gap = F.col("col") - F.row_number().over(line)
-    got = flagged.select("row", "col").withColumn("g", gap).groupBy("row", "g").agg(F.min("col").alias("first"), F.max("col").alias("last"))
-    return got.select("row", "first", "last", (F.shiftleft(F.col("row").cast("long"), SHIFT) + F.col("first")).alias("run"))
+def patches(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For pixels in raster order the name of each one's patch, by joining runs of neighbouring rows."""
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)))
+    begin = np.flatnonzero(new)
+    end = np.concatenate((begin[1:], [len(row)])) - 1
+    line, first, last = row[begin], col[begin], col[end]
+    key = lambda r, c: (r.astype(np.int64) << SHIFT) + c
+    # runs of the row above that reach from one pixel left of this run to one right of it
+    lo, hi = np.searchsorted(key(line, last), key(line - 1, first - 1)), np.searchsorted(key(line, first), key(line - 1, last + 1), "right")
+    root = list(range(len(begin)))
 
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-def touching_runs(found: DataFrame) -> DataFrame:
-    """a > b: runs of neighbouring rows that touch, also at corners.
+    for i in np.flatnonzero(hi > lo).tolist():
+        for j in range(int(lo[i]), int(hi[i])):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    top = np.array([find(i) for i in range(len(root))])
+    return key(line, first)[top][np.cumsum(new) - 1]
 
-    Each run is dealt to cells of columns, so the join is on (row, cell) and a long row is spread over many keys.
-    """
-    cell = 64
-    spread = found.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("last") + 1) / cell))))
-    below = spread.select((F.col("row") + 1).alias("row"), "cell", F.col("first").alias("f"), F.col("last").alias("l"), F.col("run").alias("b"))
-    return spread.join(below, ["row", "cell"]).where("f <= last + 1 and l >= first - 1").select(F.col("run").alias("a"), "b").distinct()
+
+def label_tiles(flagged: DataFrame) -> DataFrame:
+    """flagged with part: the name of the pixel's patch within its tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row", "ascending"), ("col", "ascending")])
+        named = patches(table.column("row").to_numpy(), table.column("col").to_numpy())
+        return table.append_column("part", pa.array(named)).select([f.name for f in schema])
+
+    schema = T.StructType([*flagged.schema.fields, T.StructField("part", T.LongType())])
+    tile = [F.floor(F.col(c) / TILE) for c in ("row", "col")]
+    return flagged.groupBy(*tile).applyInArrow(run, schema)
+
+
+def touching_parts(found: DataFrame) -> DataFrame:
+    """a, b: parts of different tiles that touch, also at corners; only pixels at tiles' edges are looked at."""
+    edge = lambda c: F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1)
+    rim = found.where(edge("row") | edge("col")).select("row", "col", "part")
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    moved = rim.withColumn("o", F.explode(steps)).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), F.col("part").alias("b"))
+    return rim.join(moved, ["row", "col"]).where("part <> b").select(F.col("part").alias("a"), "b").distinct()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -64,8 +97,7 @@ def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def label(flagged: DataFrame) -> DataFrame:
-    """flagged with label: the name of the first run, in raster order, of the pixel's patch."""
-    found = materialize(runs(flagged), "runs")
-    root = connect(touching_runs(found))
-    named = found.join(root, found.run == root.node, "left").select("row", F.coalesce("root", "run").alias("label"), F.explode(F.sequence("first", "last")).alias("col"))
-    return flagged.join(named, ["row", "col"])
+    """flagged (row, col, ...) with label: the name of the first pixel, in raster order, of the pixel's patch."""
+    found = materialize(label_tiles(flagged), "parts")
+    root = connect(touching_parts(found))
+    return found.join(root, found.part == root.node, "left").withColumn("label", F.coalesce("root", "part")).select(*flagged.columns, "label")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, stats
 from ..functions.grid import PIXEL_M, Grid
+from ..storage import materialize
 from . import components
 
 #: Share of a patch's pixels that must show a pass-to-pass change for the patch to have it.
@@ -45,7 +46,7 @@ def candidates(change: DataFrame, det: Detection, bands: int = 2) -> DataFrame:
 
 def detect(change: DataFrame, det: Detection = Detection(), bands: int = 2) -> DataFrame:
     """candidates in patches of enough pixels, with label; patches join pixels of either direction."""
-    labelled = components.label(candidates(change, det, bands))
+    labelled = materialize(components.label(candidates(change, det, bands)), "labelled")
     large = labelled.groupBy("label").count().where(F.col("count") >= det.min_pixels)
     return labelled.join(large, "label", "left_semi")
 
@@ -61,7 +62,7 @@ def spots(found: DataFrame, events: DataFrame | None, grid: Grid, pass_days: lis
     seen = found.withColumn("events", F.lit(0).cast("long")) if events is None else found.join(events, ["row", "col"], "left").fillna(0, ["events"])
     shares = [F.avg(F.expr(f"cast(shiftright(events, {i}) & 1 as int)")).alias(f"share_{i}") for i in range(pairs)]
     agg = seen.groupBy("label").agg(
-        F.count("*").alias("n_pixels"), F.sum(grid.pixel_km2(F.col("row")) * 1e6).alias("area_m2"), F.avg(F.col("change_db") / 100.0).alias("change_db"),
+        F.count("*").alias("n_pixels"), F.sum(grid.pixel_km2(F.col("row")) * 1e6).alias("area_m2"), (F.sum("change_db") / (F.count("*") * 100.0)).alias("change_db"),
         F.avg("row").alias("row"), F.avg("col").alias("col"), *shares,
     )
     kept = F.array_compact(F.array(*[F.when(F.col(f"share_{i}") >= SHARE, w) for i, w in enumerate(when)])) if pairs > 0 else F.array().cast("array<string>")

@@ -76,7 +76,7 @@ def run(obs: DataFrame, params: Params, pass_days: list, n_before: int, grid: Gr
         before = all_before if all_before is not None else obs.where(F.col("pass_idx") < n_before)
         looks = change.measure_looks(before, size, h, w, bands) or looks
     progress(0.3, "comparing passes")
-    found = {k: materialize(v, k) for k, v in change.pixel_change(obs, n_before, looks, size, h, w, bands).items()}
+    found = change.pixel_change(obs, n_before, looks, size, h, w, bands, lambda sums: materialize(sums, "sums"))
     if found["change"].isEmpty():
         raise ValueError("No pixel has data on both sides.")
     stacked = None

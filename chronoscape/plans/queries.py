@@ -23,9 +23,9 @@ def _obs(spark: SparkSession, sf_dir: str) -> tuple[Grid, DataFrame]:
     return grid, adapters.obs(spark, sf_dir, grid.width)
 
 
-def _compared(spark, sf_dir, size: int) -> tuple[Grid, dict[str, DataFrame]]:
+def _compared(spark, sf_dir, size: int, keep=lambda df: df) -> tuple[Grid, dict[str, DataFrame]]:
     grid, obs = _obs(spark, sf_dir)
-    return grid, change.pixel_change(obs, adapters.N_BEFORE, stats.NOMINAL_LOOKS * size * size, size, grid.height, grid.width, B)
+    return grid, change.pixel_change(obs, adapters.N_BEFORE, stats.NOMINAL_LOOKS * size * size, size, grid.height, grid.width, B, keep)
 
 
 STORED = ("row", "col", "signed", "change_db")
@@ -102,7 +102,8 @@ def q13_captions(spark, sf_dir):
 
 
 def q14_summary(spark, sf_dir):
-    grid, found, now = _flagged(spark, sf_dir)
+    grid, found = _compared(spark, sf_dir, 3, lambda sums: materialize(sums, "sums"))
+    now = materialize(detect.detect(found["change"], BALANCED), "flagged")
     noise = detect.detect(found["null"], BALANCED)
     got = detect.summarise(found["change"], now, found["null"], noise, grid)
     return got.select(*[F.round(c, 6).alias(c) for c in ("analysed_km2", "increase_km2", "decrease_km2", "noise_km2")], "spots", "noise_spots")
@@ -185,7 +186,7 @@ def q27_label_places(spark, sf_dir):
     spots = _flagged(spark, sf_dir, detect.PRESETS["Sensitive"])
     grid = spots[0]
     table = detect.spots(spots[2], None, grid, adapters.PASS_DAYS)
-    return spark.createDataFrame(present.place_labels(table, 20.0, 30.0), "spot_id long, x double, y double")
+    return present.place_labels(table, 20.0, 30.0).select("spot_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def q28_date_labels(spark, sf_dir):
@@ -330,7 +331,7 @@ def _spots_sql() -> str:
     when = [f"CASE WHEN s{i} >= 0.3::DOUBLE THEN {day(a)} || ' → ' || {day(b)} END" for i, (a, b) in enumerate(zip(adapters.PASS_DAYS, adapters.PASS_DAYS[1:]))]
     shares = ", ".join(f"avg((coalesce(events, 0) >> {i}) & 1) AS s{i}" for i in range(adapters.N_PASSES - 1))
     return f"""
-sp AS (SELECT label, count(*) AS n_pixels, sum({_km2('d.row')} * 1e6::DOUBLE) AS area_m2, avg(change_db / 100.0::DOUBLE) AS change_db, avg(d.row) AS row, avg(d.col) AS col, {shares}
+sp AS (SELECT label, count(*) AS n_pixels, sum({_km2('d.row')} * 1e6::DOUBLE) AS area_m2, sum(change_db) / (count(*) * 100.0::DOUBLE) AS change_db, avg(d.row) AS row, avg(d.col) AS col, {shares}
        FROM det d LEFT JOIN ev USING (row, col) GROUP BY 1),
 spots AS (SELECT *, CASE WHEN change_db < 0 THEN 'decrease' ELSE 'increase' END AS direction, concat_ws('; ', {', '.join(when)}) AS seen, concat_ws('<br>', {', '.join(when)}) AS seen_html,
        {' + '.join(f'(s{i} >= 0.3::DOUBLE)::BIGINT' for i in range(adapters.N_PASSES - 1))} AS times_changed FROM sp)"""

@@ -16,26 +16,28 @@ from ..storage import shared_dir
 STEPS = "pass_idx int, row int, col int, step_db int"
 
 
-def steps(stream: DataFrame) -> DataFrame:
+def steps(stream: DataFrame, tile: int = 64) -> DataFrame:
     """STEPS of a stream of obs (pass_idx, row, col, vv, vh) whose passes arrive in order.
 
-    State is the last pass and its summed intensity per pixel. A pass that is missing, or comes late, gives no step.
+    State is kept by tile: for each pixel seen its last pass and summed intensity, as arrays. A pass that is missing,
+    or comes late, gives no step.
     """
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState):
-        last, value = state.get if state.exists else (-2, 0.0)
-        out = []
-        rows = pd.concat(list(parts)).sort_values("pass_idx")
-        for idx, total in zip(rows["pass_idx"].tolist(), rows["total"].tolist(), strict=True):
-            if idx == last + 1:
-                out.append((last, key[0], key[1], value, total))
-            if idx > last:
-                last, value = idx, total
-        state.update((last, value))
-        yield pd.DataFrame(out, columns=["pass_idx", "row", "col", "was", "now"]).astype({"pass_idx": "int32", "row": "int32", "col": "int32", "was": "float64", "now": "float64"})
-
-    summed = stream.select("pass_idx", "row", "col", (F.col("vv") + F.col("vh")).alias("total"))
-    raw = summed.groupBy("row", "col").applyInPandasWithState(run, "pass_idx int, row int, col int, was double, now double", "last int, value double", "append", GroupStateTimeout.NoTimeout)
+        held = pd.DataFrame(dict(zip(("row", "col", "pass_idx", "total"), state.get if state.exists else ([], [], [], []), strict=True)))
+        new = pd.concat(list(parts))[["row", "col", "pass_idx", "total"]]
+        late = new.merge(held[["row", "col", "pass_idx"]].rename(columns={"pass_idx": "last"}), on=["row", "col"], how="left") if len(held) else new.assign(last=float("nan"))
+        new = late[late["last"].isna() | (late["pass_idx"] > late["last"])].drop(columns="last")
+        rows = pd.concat([held, new]) if len(held) else new
+        rows = rows.sort_values(["row", "col", "pass_idx"], kind="stable").drop_duplicates(["row", "col", "pass_idx"]).astype({"row": "int32", "col": "int32", "pass_idx": "int32", "total": "float64"})
+        same = (rows["row"] == rows["row"].shift()) & (rows["col"] == rows["col"].shift()) & (rows["pass_idx"] == rows["pass_idx"].shift() + 1)
+        out = rows.assign(was=rows["total"].shift()).rename(columns={"total": "now"})[same]
+        last = rows.drop_duplicates(["row", "col"], keep="last")
+        state.update(tuple(last[c].tolist() for c in ("row", "col", "pass_idx", "total")))
+        yield out.assign(pass_idx=(out["pass_idx"] - 1).astype("int32"))[["pass_idx", "row", "col", "was", "now"]]
+
+    summed = stream.select("pass_idx", "row", "col", (F.col("vv") + F.col("vh")).alias("total"), F.floor(F.col("row") / tile).alias("tile_row"), F.floor(F.col("col") / tile).alias("tile_col"))
+    raw = summed.groupBy("tile_row", "tile_col").applyInPandasWithState(run, "pass_idx int, row int, col int, was double, now double", "row array<int>, col array<int>, last array<int>, value array<double>", "append", GroupStateTimeout.NoTimeout)
     return raw.select("pass_idx", "row", "col", F.rint(stats.decibels(F.col("was"), F.col("now")) * 100).cast("int").alias("step_db"))
 
 

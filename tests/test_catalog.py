@@ -99,7 +99,8 @@ def test_paged_search_and_signing():
         return {"token": f"t{len(calls)}", "msft:expiry": (clock[0] + dt.timedelta(hours=1)).isoformat().replace("+00:00", "Z")}
 
     signer = catalogue.Signer("http://t", tokens, lambda: clock[0])
-    assert signer.sign("/local/file.tif") == "/local/file.tif" and not calls
+    for other in ("/local/file.tif", "file:///local/file.tif", "s3://bucket/file.tif"):
+        assert signer.sign(other) == other and not calls
     assert signer.sign("http://a") == "http://a?t1" and signer.sign("http://a?b=1") == "http://a?b=1&t1"
     clock[0] += dt.timedelta(minutes=56)
     assert signer.sign("http://a") == "http://a?t2"

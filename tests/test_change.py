@@ -177,7 +177,7 @@ def test_exports(result, tmp_path):
     assert "Field &lt;1&gt;" in page and page.count('"times"') == 2
     assert present.overlay_png(found["flagged"], GRID).startswith(b"\x89PNG")
     places = present.place_labels(found["spots"], 20, 30)
-    assert len(places) == 2 and len(present.place_labels(found["spots"], 0.01, 30)) == 1
+    assert places.count() == 2 and present.place_labels(found["spots"], 0.01, 30).count() == 1
     text = present.legend("A", "a", "b", "Balanced", detect.Detection(), 2, 1.0, 1400)
     assert text["scale"] == "250 m" and text["spots"] == "2 changed spots" and "1 in 100,000" in text["detection"]
 
