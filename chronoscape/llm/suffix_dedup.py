@@ -12,8 +12,9 @@ a corpus is out of reach of one machine, and most suffixes are unique, so the wo
    bytes, and only within ties by the precomputed rank of the sample suffix that follows and then by the tail. Contexts
    are aligned at the anchor, so two suffixes of one bucket always have the same residue and the multiples of 32 are a
    difference cover. Neighbours that agree on `length` bytes are repeats. Memory is that of one block.
-   An anchor with more than `bucket_rows` different contexts is not brought together: its windows are counted by hash,
-   with the same result.
+4. A bucket of more than `bucket_rows` contexts is split by longer prefixes before it is sorted: the windows of half as
+   many places share more bytes, and only contexts that agree on these can repeat in them. Halving goes on for buckets
+   still too large, down to single places, where the shared bytes are the whole window and equal rows are repeats.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; repeated rows repeat each other; texts
 are judged as bytes, and bytes that are left are joined even inside a character; empty tables give empty results;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BROADCAST_ROWS, CHUNK, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
+from .common import CHUNK, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
 
 LENGTH, KMER = 200, 50
 REACH = LENGTH - KMER
@@ -125,8 +126,8 @@ def ranks(cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sort_block(anchor: np.ndarray, left: np.ndarray, raws: list[bytes]) -> np.ndarray:
-    """For contexts (bytes with the anchor at left): which windows, by their place 0..REACH, repeat within an anchor."""
+def sort_block(bucket: np.ndarray, left: np.ndarray, raws: list[bytes], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For contexts (bytes with the anchor at left): which windows, by their place in [lo, hi), repeat within a bucket."""
     m = len(raws)
     text = np.zeros((m, SLOT), np.uint8)
     size = np.fromiter(map(len, raws), np.int64, m)
@@ -135,10 +136,10 @@ def sort_block(anchor: np.ndarray, left: np.ndarray, raws: list[bytes]) -> np.nd
     word = lambda j: np.ascontiguousarray(text[:, j : j + 8]).view(">u8")[:, 0].astype(np.uint64)
     r32 = {s: ranks([word(s + d) for d in range(0, STEP, 8)]) for s in range(0, SLOT, STEP)}
     sample = {s: ranks([r32[s + d] for d in range(0, 160, STEP)]) for s in range(0, SLOT - 160 + 1, STEP)}
-    _, own = np.unique(anchor, return_inverse=True)
+    _, own = np.unique(bucket, return_inverse=True)
     out = np.zeros((m, REACH + 1), bool)
-    for j in range(REACH + 1):
-        rows = np.flatnonzero((REACH - left <= j) & (REACH - left + size >= j + LENGTH))
+    for j in range(int(lo.min()), int(hi.max())):
+        rows = np.flatnonzero((lo <= j) & (j < hi) & (REACH - left <= j) & (REACH - left + size >= j + LENGTH))
         group = own[rows]
         s = -(-j // STEP) * STEP
         keys = [lambda d=d: word(j + d) for d in range(0, STEP, 8)] + [lambda: sample[s]] + [lambda d=d: word(j + d) for d in range(160, LENGTH, 8)]
@@ -159,23 +160,53 @@ def runs_of(dup: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "doc_id long, text_hash long, start long, end long"
 
 
+DEALT = "doc_id long, text_hash long, pos long, n long, anchor long, left long, raw binary, bucket long, lo int, hi int"
+_FIELDS = [c.split()[0] for c in DEALT.split(", ")]
+
+
+def split(contexts: DataFrame, width: int) -> DataFrame:
+    """Contexts (DEALT) dealt anew by runs of `width` places and the bytes that all windows of a run share.
+
+    A window that starts at a place of [f, f + width) holds the bytes from place f + width - 1 to f + LENGTH; a context
+    without all of them has no window there.
+    """
+
+    def run(batches):
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+        for batch in batches:
+            out = []
+            for row in zip(*[batch.column(c).to_pylist() for c in _FIELDS], strict=True):
+                anchor, left, raw, lo, hi = row[4], row[5], row[6], row[8], row[9]
+                shift = REACH - left  # the place of the context's first byte
+                for f in range(lo, hi, width):
+                    g = min(f + width, hi)
+                    a, b = g - 1 - shift, f + LENGTH - shift
+                    if a >= 0 and b <= len(raw):
+                        out.append((*row[:7], signed(xxh3_64_intdigest(raw[a:b], (anchor ^ (f << 20)) & (2**64 - 1))), f, g))
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_FIELDS)
+
+    return contexts.select(*_FIELDS).mapInArrow(run, DEALT)
+
+
 def settle(contexts: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """Spans (SPANS) that repeat, of contexts (doc_id, text_hash, pos, n, anchor, left, raw) dealt by anchor."""
+    """Spans (SPANS) that repeat, of contexts (DEALT), bucket by bucket."""
 
     def run(batches):
         held: list[tuple] = []
 
         def flush(rows):
-            dup = sort_block(np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), [r[6] for r in rows])
+            of = lambda k: np.array([r[k] for r in rows])
+            dup = sort_block(of(7), of(5), [r[6] for r in rows], of(8), of(9))
             out = [(r[0], r[1], r[2] - REACH + a, r[2] - REACH + b - 1 + LENGTH) for r, d in zip(rows, dup, strict=True) if r[3] == 1 and d.any() for a, b in runs_of(d)]
             cols = list(zip(*out, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "text_hash", "start", "end"])
 
         for batch in batches:
-            held += zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "pos", "n", "anchor", "left", "raw")], strict=True)
-            if len(held) > block_rows:  # all but the last anchor, which may go on
+            held += zip(*[batch.column(c).to_pylist() for c in _FIELDS], strict=True)
+            if len(held) > block_rows:  # all but the last bucket, which may go on
                 cut = len(held)
-                while cut and held[cut - 1][4] == held[-1][4]:
+                while cut and held[cut - 1][7] == held[-1][7]:
                     cut -= 1
                 if cut:
                     yield flush(held[:cut])
@@ -183,29 +214,30 @@ def settle(contexts: DataFrame, block_rows: int = 4096) -> DataFrame:
         if held:
             yield flush(held)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
-
-
-def settle_hot(contexts: DataFrame) -> DataFrame:
-    """The same spans for anchors with very many contexts, by counting the hash of every window.
-
-    As in a bucket, only windows at equal distances before their anchors are compared: a window that lies in the
-    contexts of several anchors of one text does not repeat itself.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for doc, key, pos, n, anchor, left, raw in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "pos", "n", "anchor", "left", "raw")], strict=True):
-                k = max(0, len(raw) - LENGTH + 1)
-                hashes = [signed(xxh3_64_intdigest(raw[i : i + LENGTH])) for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * k, pa.int64()) for x in (doc, key, n)] + [pa.array([pos - left + i for i in range(k)], pa.int64()), pa.array([anchor] * k, pa.int64()), pa.array([left - i for i in range(k)], pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "text_hash", "n", "start", "anchor", "before", "window"])
-
-    each = materialize(contexts.mapInArrow(run, "doc_id long, text_hash long, n long, start long, anchor long, before long, window long"), "suffix-windows")
-    often = each.groupBy("anchor", "before", "window").agg(F.count("*").alias("times")).where("times > 1")
-    return each.where("n = 1").join(often, ["anchor", "before", "window"], "left_semi").select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).alias("end"))
-
-
-def repeated_spans(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
+    return contexts.select(*_FIELDS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
+
+
+def settle_buckets(contexts: DataFrame, bucket_rows: int) -> DataFrame:
+    """Spans (SPANS) that repeat, of contexts (DEALT, a bucket an anchor): buckets that are too large are split."""
+    spans, width = None, REACH + 1
+    while True:
+        # a bucket of one context has nothing to repeat it
+        rows = contexts.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+        rows = materialize(rows, "suffix-buckets")
+        small = settle(contexts.join(rows.where(F.col("rows") <= bucket_rows), "bucket", "left_semi"))
+        spans = small if spans is None else spans.unionByName(small)
+        large = rows.where(F.col("rows") > bucket_rows)
+        if large.isEmpty():
+            return spans
+        large = contexts.join(sized(materialize(large, "suffix-large")), "bucket", "left_semi")
+        if width == 1:  # equal windows
+            start = F.col("pos") - REACH + F.col("lo")
+            return spans.unionByName(large.where("n = 1").select("doc_id", "text_hash", start.alias("start"), (start + LENGTH).alias("end")))
+        width = -(-width // 2)
+        contexts = materialize(split(large, width), "suffix-split")
+
+
+def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:
     """doc_id, text_hash, runs: the maximal runs of bytes covered by repeated windows, for texts that have any."""
     all_anchors = materialize(anchors(docs), "suffix-anchors")
     often = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
@@ -221,26 +253,24 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     whole = whole.select("doc_id", "text_hash", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
 
     # The contexts that differ.
-    busy = cells.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    wanted = cells.join(busy, "anchor").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("pos", "anchor", "n", (F.col("contexts") > bucket_rows).alias("hot"))).alias("at"))
+    wanted = cells.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("pos", "anchor", "n")).alias("at"))
     wanted = materialize(wanted, "suffix-wanted")
-    if cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # contexts, of which a row may hold many
-        wanted = F.broadcast(wanted)
+    wanted = sized(wanted)
 
     def fetch(batches):
-        names = ["doc_id", "text_hash", "pos", "n", "anchor", "left", "raw", "hot"]
-        kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             for doc, key, text, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = text.encode()
-                rows = [(doc, key, x["pos"], x["n"], x["anchor"], min(x["pos"], REACH), raw[max(0, x["pos"] - REACH) : x["pos"] + LENGTH], x["hot"]) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = [(doc, key, x["pos"], x["n"], x["anchor"], min(x["pos"], REACH), raw[max(0, x["pos"] - REACH) : x["pos"] + LENGTH], x["anchor"], 0, REACH + 1) for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FIELDS)
 
     base = docs.select(*text_key())
-    contexts = base.join(wanted, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash"))).select("doc_id", "text_hash", "text", "at").mapInArrow(fetch, "doc_id long, text_hash long, pos long, n long, anchor long, left long, raw binary, hot boolean")
+    contexts = base.join(wanted, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash"))).select("doc_id", "text_hash", "text", "at").mapInArrow(fetch, DEALT)
     # a repeated row is fetched with its twin; its anchors have n > 1, and equal contexts say nothing new
     contexts = materialize(contexts.dropDuplicates(["doc_id", "text_hash", "pos", "anchor"]), "suffix-contexts")
-    spans = whole.unionByName(settle(contexts.where("not hot"))).unionByName(settle_hot(contexts.where("hot")) if contexts.where("hot").limit(1).count() else docs.sparkSession.createDataFrame([], SPANS))
+    spans = whole.unionByName(settle_buckets(contexts, bucket_rows))
+
     def merge(batches):
         for batch in batches:
             out = []
