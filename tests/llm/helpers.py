@@ -25,7 +25,18 @@ def awkward(spark):
 
 
 def widened(df):
-    """Columns whose names clash with those the operators make inside."""
+    """Columns whose names clash with those the operators make inside: all that their sources name."""
+    import re
+    from pathlib import Path
+
+    import chronoscape.llm
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(1) for c in ("length", "piece", "start", "kind", "h1", "h2", "block", "token", "base", "key", "pos", "n", "size", "part", "role", "line", "item_id", "group_key")})
+    taken, names = {c.lower() for c in df.columns}, {}
+    for path in sorted(Path(chronoscape.llm.__path__[0]).glob("*.py")):
+        for name in re.findall(r"""["']([A-Za-z_][A-Za-z0-9_]*)["']""", path.read_text()):
+            if name.lower() not in taken and name not in ("turn", "role", "conv_id"):
+                taken.add(name.lower())
+                names[name] = F.lit(1)
+    private = {f"__{c}": F.lit(2) for c in ("gone", "doc", "row", "n", "id", "hash", "drop", "cut", "lines", "removed")}
+    return df.select("*", *[c.alias(n) for n, c in (names | private).items()])
