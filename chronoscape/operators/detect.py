@@ -73,7 +73,8 @@ def spots(found: DataFrame, events: DataFrame | None, grid: Grid, pass_days: lis
 
 
 def largest_first(found: DataFrame, most: int | None = None) -> DataFrame:
-    ordered = found.orderBy(F.desc("area_m2"), "spot_id")
+    """By falling area, to a thousandth of a square metre so that sums in another order do not tell; then by name."""
+    ordered = found.orderBy(F.desc(F.round("area_m2", 3)), "spot_id")
     return ordered if most is None else ordered.limit(most)
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import uuid
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as grids
 from ..functions import labels, stats
 from ..functions.grid import Grid
 from ..operators import catalog, change, detect, mosaic, neighbourhood, present
-from ..sources import adapters
-from ..storage import materialize
+from ..sources import adapters, catalogue
+from ..storage import Store, materialize, shared_dir
 from ..streaming import passes as streams
+from . import analysis
 
 B = ("vv", "vh")
 SMOOTH = 3
@@ -153,7 +158,7 @@ def q20_selected_days(spark, sf_dir):
 
 def q21_scene_windows(spark, sf_dir):
     box = catalog.footprint_box(F.col("geometry"))
-    scenes = _scenes(spark, sf_dir).where("orbit < 3").select("seq", *[v.alias(k) for k, v in box.items()])
+    scenes = _scenes(spark, sf_dir).select("seq", *[v.alias(k) for k, v in box.items()])
     windows = spark.range(16).select(F.col("id").alias("tile_id"), (F.col("id") % 4 * 25).cast("double").alias("west"), (F.floor(F.col("id") / 4) * 25).cast("double").alias("south")).withColumns({"east": F.col("west") + 25, "north": F.col("south") + 25})
     return mosaic.touching(scenes, windows).groupBy("tile_id").agg(F.count("*").alias("n_scenes"), F.min("seq").alias("first_seq"))
 
@@ -241,6 +246,199 @@ def q35_download(spark, sf_dir):
     return days.select("orbit", "reads", F.round(mb, 3).alias("mb"))
 
 
+def q36_tilted_windows(spark, sf_dir):
+    """Tilted footprints and windows: pairs of boxes that meet, then of polygons."""
+    box = catalog.footprint_box(F.col("geometry"))
+    corner = lambda dx, dy: F.array(F.col("west") + dx, F.col("south") + dy)
+    scenes = _scenes(spark, sf_dir).select("seq", *[v.alias(k) for k, v in box.items()]).withColumn("ring", F.array(corner(10, 0), corner(40, 10), corner(30, 40), corner(0, 30), corner(10, 0)))
+    windows = spark.range(16).select(F.col("id").alias("tile_id"), (F.col("id") % 4 * 25).cast("double").alias("west"), (F.floor(F.col("id") / 4) * 25).cast("double").alias("south")).withColumns({"east": F.col("west") + 25, "north": F.col("south") + 25})
+    return mosaic.touching(scenes, windows).groupBy("tile_id").agg(F.count("*").alias("n_scenes"), F.min("seq").alias("first_seq"))
+
+
+def q37_explicit_orbit(spark, sf_dir):
+    return catalog.sides(_scenes(spark, sf_dir), _request(orbit=7)).groupBy("orbit", "side").agg(F.count("*").alias("n_scenes"), F.count_distinct("day").alias("days"), F.min("seq").alias("first_seq"))
+
+
+def _sensitive_spots(spark, sf_dir):
+    grid, _, found = _flagged(spark, sf_dir, detect.PRESETS["Sensitive"])
+    return detect.spots(found, None, grid, adapters.PASS_DAYS)
+
+
+def q38_largest_spots(spark, sf_dir):
+    return detect.largest_first(_sensitive_spots(spark, sf_dir), 10).select("spot_id", "n_pixels", F.round("area_m2", 2).alias("area_m2"))
+
+
+def q39_full_windows(spark, sf_dir):
+    """Quartiles of log ratios of 3 x 3 means: whole windows only, and of all passes the last four."""
+    grid = adapters.grid_of(spark, sf_dir)
+    got = stats.quartiles(change.log_ratios(adapters.dense_obs(spark, sf_dir, grid.width), 3, grid.height, grid.width, B))
+    return got.select("n", F.round("q25", 9).alias("q25"), F.round("q75", 9).alias("q75"))
+
+
+def q40_finite_samples(spark, sf_dir):
+    """Quartiles of samples of which some are infinite, no number or missing."""
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    x = F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, float("inf")).when(k % 17 == 0, float("-inf")).when(k % 19 != 0, F.ln(F.col("o_totalprice") / 1e5))
+    got = stats.quartiles(o.select(x.alias("log_ratio")))
+    return got.select("n", F.round("q25", 9).alias("q25"), F.round("q75", 9).alias("q75"))
+
+
+def q41_looks_table(spark, sf_dir):
+    """The scatter of log ratios that so many looks have, and the looks told from that scatter."""
+    spread = [stats.log_ratio_iqr(float(n)) for n in range(1, 9)]
+    rows = [(n, round(x, 8), round(stats.looks_from_iqr(x), 5)) for n, x in enumerate(spread, 1)]
+    return spark.createDataFrame(rows, "n long, iqr double, looks double")
+
+
+def q42_sample_windows(spark, sf_dir):
+    grid = adapters.grid_of(spark, sf_dir)
+    return spark.createDataFrame(change.sample_windows(grid.height, grid.width), "row long, col long, height long, width long")
+
+
+def q43_measured_looks(spark, sf_dir):
+    """Looks measured on the passes before, or none where the samples are too few; no SQL for the inverse."""
+    grid = adapters.grid_of(spark, sf_dir)
+    before = adapters.dense_obs(spark, sf_dir, grid.width).where(F.col("pass_idx") < adapters.N_BEFORE)
+    return spark.createDataFrame([(change.measure_looks(before, 1, grid.height, grid.width, B),)], "looks double")
+
+
+_FIT = {"point": (30.0, 50.0, 30.0, 50.0), "fits": (30.0, 50.0, 30.2, 50.2), "wide": (20.0, 40.0, 40.0, 60.0), "thin": (30.0, 50.0, 31.0, 50.01)}
+
+
+def q44_fitted_areas(spark, sf_dir):
+    rows = [(n, *fitted, note) for n, b in _FIT.items() for fitted, note in [grids.fit_area(b)]]
+    return spark.createDataFrame(rows, "name string, west double, south double, east double, north double, note string")
+
+
+def q45_web_tiles(spark, sf_dir):
+    grid = adapters.grid_of(spark, sf_dir)
+    (width, height), _ = grids.map_size(grid)
+    zoom, tiles = grids.web_tiles(grid, width)
+    return spark.createDataFrame([(width, height, zoom, x, y) for x, y in tiles], "width long, height long, zoom long, x long, y long")
+
+
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/chronoscape/store-{uuid.uuid4().hex}")
+
+
+def _saved_params(label: str) -> analysis.Params:
+    return analysis.Params(label, (30.2, 50.5, 30.3, 50.6), "2026-07-04", "2026-08-04", looks=4.4)
+
+
+def q46_result_round_trip(spark, sf_dir):
+    """The comparison saved as a result and loaded again."""
+    store, params = _store(spark), _saved_params("round trip")
+    store.save(params, {"n_before": adapters.N_BEFORE}, {"pixel_change": q01_pixel_change(spark, sf_dir)})
+    return store.load(params)[1]["pixel_change"].select(*STORED)
+
+
+def q47_saved_results(spark, sf_dir):
+    """Saved results, newest first; one of another version is left out."""
+    store = _store(spark)
+    for label in ("first", "second"):
+        store.save(_saved_params(label), {}, {})
+    old = spark.createDataFrame([(0, "old", "{}", "{}")], "version int, label string, params string, header string")
+    old.coalesce(1).write.parquet(f"{store.root}/old/header")
+    place = F.row_number().over(Window.orderBy(F.desc("modified")))  # a row for each saved result
+    return store.saved().select(place.alias("place"), "key", "label")
+
+
+def q48_request_problems(spark, sf_dir):
+    asked = {"good": {}, "backwards": {"start": "2026-09-01"}, "early": {"start": "2014-01-01"}, "no band": {"bands": ()}, "late": {"end": "2030-01-01"}, "many": {"images": 21}, "filter": {"smooth": 2}}
+    rows = [(n, text) for n, more in asked.items() for text in analysis.problems(replace(_saved_params(n), **more), dt.date(2026, 11, 1)) or [None]]
+    return spark.createDataFrame(rows, "name string, problem string")
+
+
+class _Offline(catalogue.CatalogueSource):
+    fetch = staticmethod(adapters.offline_catalogue)
+
+    @classmethod
+    def name(cls):
+        return "offline_catalogue"
+
+
+def q49_catalogue_search(spark, sf_dir):
+    """A paged catalogue read in parts, the days narrowed by the filter."""
+    catalogue.register(spark, _Offline)
+    options = {"url": "http://offline/search", "bbox": "[0, 0, 1, 1]", "start": "2026-01-01", "end": "2026-03-01", "partitions": "3"}
+    got = spark.read.format("offline_catalogue").options(**options).load().where("day >= '2026-01-10' and day < '2026-02-20'")
+    return got.select(F.col("day").cast("string").alias("day"), F.get_json_object("item", "$.id").alias("id"))
+
+
+def q50_signed_links(spark, sf_dir):
+    """Links with a token that has to be renewed, and links of other kinds."""
+    clock = iter(dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m) for m in (0, 30, 54, 56, 60))
+    tokens = iter([{"token": f"sig={k}", "msft:expiry": f"2026-01-01T0{k}:00:00Z"} for k in (1, 2)])
+    signer = catalogue.Signer("http://token", lambda *_: next(tokens), lambda: next(clock))
+    links = ["http://h/a", "https://h/b?x=1", "/local/c.tif", "file:///d.tif", "http://h/e", "http://h/f?", "s3://bucket/g", "http://h/i"]
+    return spark.createDataFrame([(x, signer.sign(x)) for x in links], "link string, signed string")
+
+
+def q51_places(spark, sf_dir):
+    reply = [{"display_name": n, "boundingbox": [str(50.0 + k), str(50.5 + k), str(30.0 + k), str(30.25 + k)]} for k, n in enumerate(("Here", "There"))]
+    rows = [(n, *box) for n, box in catalogue.search_places("here", "http://places", lambda *_: reply)]
+    return spark.createDataFrame(rows, "name string, west double, south double, east double, north double")
+
+
+def q52_plan_gaps(spark, sf_dir):
+    """For each orbit the days chosen on each side, in words, and the longest time from a chosen day to its date."""
+    asked = _request()
+    days = catalog.select_days(catalog.sides(_scenes(spark, sf_dir), asked), None, 3).groupBy("orbit", "side").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    date = F.when(F.col("side") == "before", F.lit(asked.start)).otherwise(F.lit(asked.end)).cast("date")
+    side = lambda s: F.max(F.when(F.col("side") == s, labels.day_list(F.col("days")))).alias(s)
+    return days.groupBy("orbit").agg(F.max(F.datediff(date, F.element_at("days", -1))).cast("long").alias("gap"), side("before"), side("after"))
+
+
+def q53_newest_drawing(spark, sf_dir):
+    """Bounds of the newest ring of each orbit's footprints; null where it is a sliver."""
+    ring = F.col("geometry")["coordinates"][0]
+    drawn = F.when(F.col("seq") % 5 == 0, F.transform(ring, lambda p: F.array(ring[0][0], p[1]))).otherwise(ring)
+    newest = F.element_at(F.array_sort(F.collect_list(F.struct("day", "seq", drawn.alias("ring")))), -1)["ring"]
+    return _scenes(spark, sf_dir).groupBy("orbit").agg(newest.alias("ring")).select("orbit", grids.drawn_bounds_column(F.col("ring")).alias("b")).select("orbit", "b.*")
+
+
+def q54_unusable_pixels(spark, sf_dir):
+    """The mosaic of scenes with no numbers, zeros, infinities and no-data values in them."""
+    grid = adapters.grid_of(spark, sf_dir)
+    spot = F.col("row") * 3 + F.col("col") + F.col("scene_seq")
+    bad = F.when(spot % 5 == 0, float("nan")).when(spot % 7 == 0, 0.0).when(spot % 11 == 0, float("inf")).when(spot % 13 == 0, -1.0).when(spot % 17 == 0, 77777.0).otherwise(F.col("vv"))
+    got = mosaic.mosaic(adapters.raw_obs(spark, sf_dir, grid.width).withColumn("vv", bad), nodata=77777.0)
+    return got.select("pass_idx", "row", "col", F.round("vv", 4).alias("vv"), F.round("vh", 4).alias("vh"))
+
+
+def q55_legend(spark, sf_dir):
+    rows = []
+    for width in (800, 1400, 2400):
+        for metres in (1.0, 10.0, 37.0, 900.0):
+            got = present.legend("Area", "2026-07-04", "2026-08-04", "Balanced", BALANCED, width // 800, metres, width)
+            rows.append((width, metres, got["title"], got["dates"], got["scale"], got["detection"], got["spots"]))
+    return spark.createDataFrame(rows, "width long, metres double, title string, dates string, scale string, detection string, spots string")
+
+
+def q56_badges(spark, sf_dir):
+    got = present.badges(_spots(spark, sf_dir)[1], 2.0)
+    return got.select("spot_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("times").cast("long").alias("times"), "caption", "colour")
+
+
+def q57_backscatter(spark, sf_dir):
+    return present.backscatter(q06_overview(spark, sf_dir), "after")
+
+
+def q58_radar_background(spark, sf_dir):
+    grid = adapters.grid_of(spark, sf_dir)
+    return present.radar_background(q06_overview(spark, sf_dir), "before", 2.0, grid.height * 2, grid.width * 2)
+
+
+def q59_tile_background(spark, sf_dir):
+    """A picture of the grid from tiles, each of whose pixels is coloured by its place."""
+    grid = adapters.grid_of(spark, sf_dir)
+    zoom, tiles = grids.web_tiles(grid, 64)
+    pixel = F.explode(F.sequence(F.lit(0), F.lit(255)))
+    every = spark.createDataFrame(tiles, "x int, y int").withColumn("row", pixel).withColumn("col", pixel)
+    coloured = every.select("x", "y", "row", "col", F.col("col").alias("r"), F.col("row").alias("g"), F.pmod(F.col("x") + F.col("y"), F.lit(256)).alias("b"))
+    return present.tile_background(coloured, grid, zoom, 32, 64)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -361,7 +559,7 @@ def oracle_sql() -> dict[str, str]:
     stored = " SELECT row, col, signed, change_db FROM "
     det, sens = f"{ch(3)}, {_detected(BALANCED)}", f"{ch(3)}, {_detected(detect.PRESETS['Sensitive'])}"
     spots = f"{det}, {_events()}, {_spots_sql()}"
-    level = lambda m: f"(1 + round_even((greatest(least(10 * log10({m}), 0), -25) + 25) / 25 * 254, 0))::SMALLINT"
+    grey = lambda m: f"(1 + round_even((greatest(least(10 * log10({m}), 0), -25) + 25) / 25 * 254, 0))::SMALLINT"
     rgb = "CASE WHEN increased THEN 0 ELSE 255 END AS r, CASE WHEN increased THEN 200 ELSE 59 END AS g, CASE WHEN increased THEN 255 ELSE 48 END AS b"
     thousands = lambda n: f"format('{{:,}}', round_even({n}, 0)::BIGINT)"
     out = {
@@ -370,7 +568,7 @@ def oracle_sql() -> dict[str, str]:
         "q03_pixel_change_smooth5": ch(5) + stored + "ch",
         "q04_null_change": f"{base(3)}, {null}{stored}nl",
         "q05_pixel_events": f"{base(3)}, {_events()} SELECT * FROM ev",
-        "q06_overview": f"{ch(3)} SELECT row // 4 AS block_row, col // 4 AS block_col, {level('avg(vv1)')} AS before, {level('avg(vv2)')} AS after FROM ch GROUP BY 1, 2",
+        "q06_overview": f"{ch(3)} SELECT row // 4 AS block_row, col // 4 AS block_col, {grey('avg(vv1)')} AS before, {grey('avg(vv2)')} AS after FROM ch GROUP BY 1, 2",
         "q07_one_band": f"{base(3)}, {_change(3, _FIRST, _SECOND, bands=('vv',))}, {_detected(detect.PRESETS['Sensitive'], bands=1)} SELECT row, col, signed, change_db, increased FROM det_f",
         "q08_candidates": f"{det} SELECT row, col, signed, change_db, increased FROM det_f",
         "q09_detected": f"{det} SELECT row, col, increased, label FROM det",
@@ -385,7 +583,7 @@ def oracle_sql() -> dict[str, str]:
         "q18_orbits": f"WITH {_ITEMS}, {_SIDES}, {_ORBITS} SELECT orbit, round(coverage, 6) AS coverage, before, after, gap_days FROM orb",
         "q19_best_orbit": f"WITH {_ITEMS}, {_SIDES}, {_ORBITS} SELECT orbit, before, after FROM orb ORDER BY coverage > 0.98 DESC, CASE WHEN coverage > 0.98 THEN 0 ELSE coverage END DESC, gap_days, least(before, after) DESC, orbit LIMIT 1",
         "q20_selected_days": f"WITH {_ITEMS}, {_SIDES}, k AS (SELECT *, dense_rank() OVER (PARTITION BY orbit, side ORDER BY day DESC) AS n FROM sd WHERE side IS NOT NULL AND orbit % 2 = 0) SELECT orbit, side, day::VARCHAR AS day, count(*) AS n_scenes, min(seq) AS first_seq FROM k WHERE n <= 3 GROUP BY 1, 2, 3",
-        "q21_scene_windows": f"WITH {_ITEMS}, wn AS (SELECT i AS tile_id, (i % 4) * 25 AS x, (i // 4) * 25 AS y FROM range(16) t(i)) SELECT tile_id, count(*) AS n_scenes, min(seq) AS first_seq FROM it JOIN wn ON west <= x + 25 AND west + 40 >= x AND south <= y + 25 AND south + 40 >= y WHERE orbit < 3 GROUP BY 1",
+        "q21_scene_windows": f"WITH {_ITEMS}, wn AS (SELECT i AS tile_id, (i % 4) * 25 AS x, (i // 4) * 25 AS y FROM range(16) t(i)) SELECT tile_id, count(*) AS n_scenes, min(seq) AS first_seq FROM it JOIN wn ON west <= x + 25 AND west + 40 >= x AND south <= y + 25 AND south + 40 >= y GROUP BY 1",
         "q22_grid": f"WITH {_OBS}, g AS (SELECT (i // w)::INT AS row, (i % w)::INT AS col, w FROM dim, range(100000) t(i) WHERE i < w * h) SELECT row, col, round({_lat_sql('row')}, 8) AS latitude, round({_lon_sql('col')}, 8) AS longitude, round({_km2('row')}, 10) AS km2, row // 16 * ((w + 15) // 16) + col // 16 AS tile_id FROM g",
         "q23_tiles": f"WITH {_OBS}, t AS (SELECT i AS tile_id, (i % ((w + 15) // 16)) * 16 AS col, (i // ((w + 15) // 16)) * 16 AS row, w, h FROM dim, range(10000) t(i) WHERE i < ((w + 15) // 16) * ((h + 15) // 16)) SELECT tile_id, col, row, least(16, w - col) AS width, least(16, h - row) AS height FROM t",
         "q24_edges": f"{det} SELECT row, col FROM det d WHERE (SELECT count(*) FROM det x WHERE abs(x.row - d.row) + abs(x.col - d.col) = 1) < 4",
@@ -402,4 +600,61 @@ def oracle_sql() -> dict[str, str]:
     out["q32_areas"] = f"SELECT *, round((east - west) * 111.32::DOUBLE * cos(radians((south + north) / 2)) * (north - south) * 110.57::DOUBLE, 6) AS km2, (ceil((radians(east) - radians(west)) * 6378137 / s) * ceil(6378137 * (ln(tan(pi() / 4 + radians(north) / 2)) - ln(tan(pi() / 4 + radians(south) / 2))) / s))::BIGINT AS pixels FROM (SELECT *, 10 / cos(radians((south + north) / 2)) AS s FROM ({out['q32_areas']}))"
     out["q32_areas"] = f"SELECT * EXCLUDE (s) FROM ({out['q32_areas']})"
     out["q34_stream_events"] = out["q30_pass_history"]
+    km2_spots = f"{sens}, sp AS (SELECT label, count(*) AS n_pixels, sum({_km2('row')} * 1e6::DOUBLE) AS area, avg(row) AS r, avg(col) AS c FROM det GROUP BY 1)"
+    out["q27_label_places"] = f"""{km2_spots}, o AS (SELECT label, (c + 0.5::DOUBLE) * 20 + 6 AS x, (r + 0.5::DOUBLE) * 20 AS y, row_number() OVER (ORDER BY round(area, 3) DESC, label) AS n FROM sp QUALIFY n <= 150),
+        f(n, placed) AS (SELECT 0, []::STRUCT(spot_id BIGINT, x DOUBLE, y DOUBLE)[] UNION ALL SELECT f.n + 1, CASE WHEN len(list_filter(placed, lambda p: abs(p.x - o.x) < 66 AND abs(p.y - o.y) < 48)) = 0
+            THEN list_append(placed, {{'spot_id': o.label, 'x': o.x, 'y': o.y}}) ELSE placed END FROM f JOIN o ON o.n = f.n + 1)
+        SELECT p.spot_id AS spot_id, round(p.x, 4) AS x, round(p.y, 4) AS y FROM (SELECT unnest(placed) AS p FROM (SELECT placed FROM f ORDER BY n DESC LIMIT 1))"""
+    out["q38_largest_spots"] = f"{km2_spots} SELECT label AS spot_id, n_pixels, round(area, 2) AS area_m2 FROM sp ORDER BY round(area, 3) DESC, label LIMIT 10"
+    out["q36_tilted_windows"] = f"""WITH {_ITEMS}, wn AS (SELECT i AS tile_id, (i % 4) * 25 AS p, (i // 4) * 25 AS q FROM range(16) t(i)),
+        e AS (SELECT seq, west + a AS x, south + b AS y, west + c AS u, south + d AS v FROM it, (VALUES (10, 0, 40, 10), (40, 10, 30, 40), (30, 40, 0, 30), (0, 30, 10, 0)) z(a, b, c, d)),
+        t AS (SELECT tile_id, seq, p, q, x, y, u, v, [(u - x) * (q - y) - (v - y) * (p - x), (u - x) * (q - y) - (v - y) * (p + 25 - x), (u - x) * (q + 25 - y) - (v - y) * (p - x), (u - x) * (q + 25 - y) - (v - y) * (p + 25 - x)] AS s FROM e, wn),
+        m AS (SELECT tile_id, seq, bool_or(greatest(x, u) >= p AND least(x, u) <= p + 25 AND greatest(y, v) >= q AND least(y, v) <= q + 25 AND list_min(s) <= 0 AND list_max(s) >= 0) AS crosses,
+            count(*) FILTER ((y > q) <> (v > q) AND p < (u - x) * (q - y) / (v - y) + x) % 2 = 1 AS holds FROM t GROUP BY ALL)
+        SELECT tile_id, count(*) AS n_scenes, min(seq) AS first_seq FROM m WHERE crosses OR holds GROUP BY 1"""
+    out["q37_explicit_orbit"] = f"WITH {_ITEMS}, {_SIDES} SELECT orbit, side, count(*) AS n_scenes, count(DISTINCT day) AS days, min(seq) AS first_seq FROM sd WHERE side IS NOT NULL AND orbit = 7 GROUP BY 1, 2"
+    out["q39_full_windows"] = f"""WITH {_OBS}, dn AS (SELECT (l_linenumber - 1)::INT AS pass_idx, (l_partkey // w)::INT AS r, (l_partkey % w)::INT AS c, avg(l_extendedprice) AS vv, avg(l_quantity) AS vh FROM lineitem, wd WHERE l_linenumber >= 4 GROUP BY 1, 2, 3),
+        k AS (SELECT pass_idx, r + dr AS r, c + dc AS c, sum(vv) AS vv, sum(vh) AS vh FROM dn, range(-1, 2) a(dr), range(-1, 2) b(dc) GROUP BY 1, 2, 3 HAVING count(*) = 9),
+        p AS (SELECT a.vv AS v1, b.vv AS v2, a.vh AS h1, b.vh AS h2 FROM k a JOIN k b ON b.pass_idx = a.pass_idx + 1 AND a.r = b.r AND a.c = b.c),
+        x AS (SELECT ln(v1 / v2) AS q FROM p UNION ALL SELECT ln(h1 / h2) FROM p) SELECT count(*) AS n, round(quantile_cont(q, 0.25), 9) AS q25, round(quantile_cont(q, 0.75), 9) AS q75 FROM x"""
+    out["q40_finite_samples"] = "WITH x AS (SELECT ln(o_totalprice / 1e5::DOUBLE) AS q FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0) SELECT count(*) AS n, round(quantile_cont(q, 0.25), 9) AS q25, round(quantile_cont(q, 0.75), 9) AS q75 FROM x"
+    beta = "list_sum(list_transform(range(n, 2 * n), lambda j: factorial((2 * n - 1)::INT)::DOUBLE / (factorial(j::INT)::DOUBLE * factorial((2 * n - 1 - j)::INT)::DOUBLE) * pow(x, j) * pow(1 - x, 2 * n - 1 - j)))"
+    out["q41_looks_table"] = f"""WITH RECURSIVE b(n, k, lo, hi) AS (SELECT n, 0, 0.0::DOUBLE, 60.0::DOUBLE FROM range(1, 9) t(n) UNION ALL
+        SELECT n, k + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (SELECT n, k, lo, hi, mid, {beta} < 0.75 AS below FROM (SELECT *, (lo + hi) / 2 AS mid, 1 / (1 + exp(-(lo + hi) / 2)) AS x FROM b WHERE k < 80)))
+        SELECT n, round(lo + hi, 8) AS iqr, n::DOUBLE AS looks FROM b WHERE k = 80"""
+    out["q42_sample_windows"] = f"WITH {_OBS}, s AS (SELECT w, h, least(256, h, w) AS side FROM dim), a AS (SELECT DISTINCT greatest(0, floor(f * h)::INT - side // 2) AS r FROM s, (VALUES (0.3::DOUBLE), (0.7::DOUBLE)) t(f)), b AS (SELECT DISTINCT greatest(0, floor(f * w)::INT - side // 2) AS c FROM s, (VALUES (0.3::DOUBLE), (0.7::DOUBLE)) t(f)) SELECT r AS row, c AS col, least(side, h - r) AS height, least(side, w - c) AS width FROM a, b, s"
+    merc = lambda v: f"(6378137 * ln(tan(pi() / 4 + radians({v}) / 2)))"
+    boxes = ", ".join(f"('{n}', {', '.join(f'{v}::DOUBLE' for v in b)})" for n, b in _FIT.items())
+    out["q44_fitted_areas"] = f"""WITH a AS (SELECT *, (west + east) / 2 AS x, (south + north) / 2 AS y, (east - west) AS sx, (north - south) AS sy FROM (VALUES {boxes}) t(name, west, south, east, north)),
+        g AS (SELECT *, greatest(sx, 4 / (111.32::DOUBLE * cos(radians(y)))) AS gx, greatest(sy, 4 / 110.57::DOUBLE) AS gy, 10 / cos(radians(y)) AS s FROM a),
+        p AS (SELECT *, 3e7::DOUBLE / (ceil((radians(x + gx / 2) - radians(x - gx / 2)) * 6378137 / s) * ceil(({merc('y + gy / 2')} - {merc('y - gy / 2')}) / s)) AS room FROM g),
+        f AS (SELECT *, CASE WHEN room < 1 THEN 0.99::DOUBLE * sqrt(room) ELSE 1 END AS k FROM p)
+        SELECT name, round(x - gx * k / 2, 5) AS west, round(y - gy * k / 2, 5) AS south, round(x + gx * k / 2, 5) AS east, round(y + gy * k / 2, 5) AS north,
+            CASE WHEN room < 1 THEN 'Too big for a 10 m analysis, so trimmed to the central area.' WHEN gx > sx OR gy > sy THEN 'Enlarged to at least 4 km across.' END AS note FROM f"""
+    tiles = lambda out_width: f"""m AS (SELECT *, {out_width} AS ow, 2 * pi() * 6378137 AS world FROM sz),
+        n AS (SELECT *, 0.5::DOUBLE + {_X0} / world AS l, 0.5::DOUBLE - {_Y0} / world AS t, w * {_SC} / world AS dx, h * {_SC} / world AS dy FROM m),
+        z AS (SELECT *, unnest(range(0, least(19, greatest(0, ceil(log2(ow / 256 / dx))))::BIGINT + 1)) AS zoom FROM n),
+        r AS (SELECT *, floor(l * pow(2, zoom))::BIGINT AS x1, floor((l + dx) * pow(2, zoom) - 1e-6::DOUBLE / 256)::BIGINT AS x2, floor(t * pow(2, zoom))::BIGINT AS y1, floor((t + dy) * pow(2, zoom) - 1e-6::DOUBLE / 256)::BIGINT AS y2 FROM z),
+        best AS (SELECT * FROM r WHERE (x2 - x1 + 1) * (y2 - y1 + 1) <= 144 OR zoom = 0 ORDER BY zoom DESC LIMIT 1)"""
+    size = "sz AS (SELECT w, h, round_even(w * f, 0)::BIGINT AS width, round_even(h * f, 0)::BIGINT AS height FROM (SELECT w, h, least(greatest(w, h, 1400), 2400) / greatest(w, h)::DOUBLE AS f FROM dim))"
+    out["q45_web_tiles"] = f"WITH {_OBS}, {size}, {tiles('width')}, ux AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM best) SELECT width, height, zoom, x, unnest(range(y1, y2 + 1)) AS y FROM ux"
+    out["q46_result_round_trip"] = out["q01_pixel_change"]
+    blob = '[1, {"bands": ["vv", "vh"], "bounds": [30.2, 50.5, 30.3, 50.6], "end": "2026-08-04", "images": 3, "label": "%s", "looks": 4.4, "orbit": null, "orbit_pass": null, "smooth": 3, "start": "2026-07-04"}]'
+    out["q47_saved_results"] = "SELECT place, substr(sha1(replace('" + blob + "', '%s', label)), 1, 16) AS key, label FROM (VALUES (1, 'second'), (2, 'first')) t(place, label)"
+    out["q48_request_problems"] = "SELECT * FROM (VALUES ('good', NULL), ('backwards', 'The start must lie before the end.'), ('early', 'There are no images before October 2014.'), ('no band', 'Choose a band.'), ('late', 'The end lies in the future.'), ('many', 'Between 1 and 20 images a side.'), ('filter', 'The filter is 1, 3 or 5 pixels wide.')) t(name, problem)"
+    out["q49_catalogue_search"] = "SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d, '%Y-%m-%d') || '-' || k AS id FROM (SELECT unnest(generate_series(DATE '2026-01-10', DATE '2026-02-19', INTERVAL 1 DAY)) AS d), range(2) t(k)"
+    out["q50_signed_links"] = "SELECT * FROM (VALUES ('http://h/a', 'http://h/a?sig=1'), ('https://h/b?x=1', 'https://h/b?x=1&sig=1'), ('/local/c.tif', '/local/c.tif'), ('file:///d.tif', 'file:///d.tif'), ('http://h/e', 'http://h/e?sig=1'), ('http://h/f?', 'http://h/f?sig=2'), ('s3://bucket/g', 's3://bucket/g'), ('http://h/i', 'http://h/i?sig=2')) t(link, signed)"
+    out["q51_places"] = "SELECT * FROM (VALUES ('Here', 30.0::DOUBLE, 50.0::DOUBLE, 30.25::DOUBLE, 50.5::DOUBLE), ('There', 31.0::DOUBLE, 51.0::DOUBLE, 31.25::DOUBLE, 51.5::DOUBLE)) t(name, west, south, east, north)"
+    listed = "string_agg(strftime(day, '%-d %b'), ', ' ORDER BY day) FILTER (side = '{0}') || strftime(max(day) FILTER (side = '{0}'), ' %Y') AS {0}"
+    out["q52_plan_gaps"] = f"WITH {_ITEMS}, {_SIDES}, k AS (SELECT DISTINCT orbit, side, day, dense_rank() OVER (PARTITION BY orbit, side ORDER BY day DESC) AS n FROM sd WHERE side IS NOT NULL) SELECT orbit, greatest(DATE '1998-06-01' - max(day) FILTER (side = 'before'), DATE '1998-09-01' - max(day) FILTER (side = 'after'))::BIGINT AS gap, {listed.format('before')}, {listed.format('after')} FROM k WHERE n <= 3 GROUP BY 1"
+    out["q53_newest_drawing"] = f"WITH {_ITEMS}, n AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY orbit ORDER BY day DESC, seq DESC) = 1) SELECT orbit, CASE WHEN seq % 5 <> 0 THEN west END AS west, CASE WHEN seq % 5 <> 0 THEN south END AS south, CASE WHEN seq % 5 <> 0 THEN west + 40 END AS east, CASE WHEN seq % 5 <> 0 THEN south + 40 END AS north FROM n"
+    out["q54_unusable_pixels"] = out["q16_mosaic"].replace("WHERE vv > 0 AND vh > 0", "WHERE vv > 0 AND vh > 0 AND " + " AND ".join(f"(row * 3 + col + s) % {k} <> 0" for k in (5, 7, 11, 13, 17)))
+    scale = f"coalesce((SELECT min(v) FROM (SELECT unnest({list(labels.NICE)}) AS v) WHERE v >= width * 0.15::DOUBLE * metres), {labels.LONGEST})"
+    out["q55_legend"] = f"SELECT width, metres, 'Area' AS title, '2026-07-04 → 2026-08-04' AS dates, CASE WHEN bar >= 1000 THEN (bar // 1000) || ' km' ELSE bar || ' m' END AS scale, 'Balanced (≥3 dB, ≥400 m², noise chance < 1 in 100,000)' AS detection, (width // 800) || CASE WHEN width // 800 = 1 THEN ' changed spot' ELSE ' changed spots' END AS spots FROM (SELECT *, {scale} AS bar FROM (VALUES (800), (1400), (2400)) a(width), (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (37.0::DOUBLE), (900.0::DOUBLE)) b(metres))"
+    out["q56_badges"] = out["q13_captions"].replace("SELECT label AS spot_id, ", "SELECT label AS spot_id, round(col * 2, 4) AS x, round(row * 2, 4) AS y, times_changed AS times, ") + " ORDER BY round(area_m2, 3) DESC, label LIMIT 300"
+    level = out["q06_overview"]
+    out["q57_backscatter"] = f"SELECT block_row AS row, block_col AS col, after AS r, after AS g, after AS b, CASE WHEN after > 0 THEN 255 ELSE 0 END AS a FROM ({level})"
+    out["q58_radar_background"] = f"WITH RECURSIVE {_OBS}, px AS (SELECT (i // (w * 2))::INT AS r, (i % (w * 2))::INT AS c FROM dim, range(400000) t(i) WHERE i < w * h * 4) SELECT r AS out_row, c AS out_col, coalesce(before, 0) AS grey FROM px LEFT JOIN ({level}) o ON block_row = r // 8 AND block_col = c // 8"
+    out["q59_tile_background"] = f"""WITH {_OBS}, sz AS (SELECT w, h FROM dim), {tiles('64')}, px AS (SELECT i // 64 AS r, i % 64 AS c, floor((l + (c + 0.5::DOUBLE) * dx / 64) * 256 * pow(2, zoom))::BIGINT AS x, floor((t + (r + 0.5::DOUBLE) * dy / 32) * 256 * pow(2, zoom))::BIGINT AS y FROM best, range(2048) u(i))
+        SELECT r AS out_row, c AS out_col, x % 256 AS r, y % 256 AS g, (x // 256 + y // 256) % 256 AS b FROM px"""
     return out

@@ -63,3 +63,29 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = F.when(seq % 17 == 0, F.create_map(F.lit("vv"), href("vv"))).otherwise(F.create_map(F.lit("vv"), href("vv"), F.lit("VH"), href("vh"), F.lit("thumb"), href("t")))
     feature = F.struct(F.concat(F.lit("S"), seq.cast("string")).alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), properties.alias("properties"), assets.alias("assets"))
     return o.select(seq.alias("seq"), F.to_json(feature).alias("item"))
+
+
+def dense_obs(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """pass_idx, row, col, vv, vh from prices and quantities: present wherever a part was sold in a line of that number."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = [(F.col("l_linenumber") - 1).cast("int").alias("pass_idx"), F.floor(F.col("l_partkey") / width).cast("int").alias("row"), (F.col("l_partkey") % width).cast("int").alias("col")]
+    return items.groupBy(*key).agg(F.avg("l_extendedprice").alias("vv"), F.avg("l_quantity").alias("vh"))
+
+
+def offline_catalogue(method: str, url: str, body: dict | None) -> dict:
+    """A catalogue without a network: two items a day, three items a page; later pages come by link, the last by GET."""
+    import datetime as dt
+
+    if method == "POST":
+        first, last = (dt.date.fromisoformat(t[:10]) for t in body["datetime"].split("/"))
+        at = body.get("token", 0)
+    else:
+        first, last, at = *(dt.date.fromisoformat(t) for t in url.split("?")[1].split("/")[:2]), int(url.rsplit("/", 1)[1])
+    every = [(d, k) for d in range((last - first).days + 1) for k in (0, 1)]
+    day = lambda d: str(first + dt.timedelta(days=d))
+    features = [{"id": f"{day(d)}-{k}", "properties": {"datetime": f"{day(d)}T0{k}:00:00Z"}} for d, k in every[at : at + 3]]
+    if at + 3 >= len(every):
+        return {"features": features, "links": [{"rel": "self", "href": url}]}
+    by_get = {"rel": "next", "href": f"http://offline/items?{first}/{last}/{at + 3}"}
+    by_post = {"rel": "next", "method": "POST", "href": url, "body": {"token": at + 3}, "merge": True}
+    return {"features": features, "links": [by_get if at + 6 >= len(every) else by_post]}

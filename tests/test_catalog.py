@@ -7,6 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from chronoscape.functions import grid
 from chronoscape.operators import catalog, mosaic
 from chronoscape.sources import catalogue
 
@@ -62,6 +63,86 @@ def test_cover_of_polygons():
     assert catalog._cover(shapes, AOI) == pytest.approx(want, abs=0.01)
 
 
+def tilted(rng):
+    x, y, a, b = rng.uniform(-4, 8), rng.uniform(-4, 8), rng.uniform(2, 7), rng.uniform(-2, 2)
+    return [[x, y], [x + a, y + b], [x + a - b, y + a + b], [x - b, y + a], [x, y]]
+
+
+def test_coverage_by_cells_equals_one_sweep(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for orbit in range(6):
+        rings = [tilted(rng) for _ in range(orbit + 1)]
+        rows += [(orbit, "before", ("Polygon", [r])) for r in rings + rings[:1]]
+        want[orbit] = catalog._cover([[tuple(p) for p in r[:-1]] for r in rings], AOI)
+    rows.append((9, "before", ("Polygon", [[[20.0, 20.0], [21.0, 20.0], [21.0, 21.0], [20.0, 20.0]]])))
+    found = spark.createDataFrame(rows, "orbit int, side string, geometry struct<type:string,coordinates:array<array<array<double>>>>")
+    got = {r.orbit: r.coverage for r in catalog.coverage(found, AOI).collect()}
+    assert got.keys() == {*want, 9} and got[9] == 0
+    assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_many_rings_are_covered_fast():
+    rng = random.Random(6)
+    assert 0 < catalog._cover([[tuple(p) for p in tilted(rng)[:-1]] for _ in range(300)], AOI) <= 1 + 1e-9
+
+
+def test_polygons_meet_boxes_as_dense_points_do(spark):
+    rng = random.Random(7)
+    rows = [(i, tilted(rng), *(v for x, y in [(rng.uniform(-6, 12), rng.uniform(-6, 12))] for v in (x, y, x + rng.uniform(0.5, 3), y + rng.uniform(0.5, 3)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "i long, ring array<array<double>>, west double, south double, east double, north double")
+    got = {r.i: r.m for r in df.select("i", grid.ring_meets(F.col("ring"), *map(F.col, ("west", "south", "east", "north"))).alias("m")).collect()}
+    side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for i, ring, w, s, e, n in rows:
+        deepest = max(min(side((w + (e - w) * u / 40, s + (n - s) * v / 40), a, b) for a, b in zip(ring, ring[1:])) for u in range(41) for v in range(41))
+        if abs(deepest) > 1e-1 or got[i] != (deepest >= 0):
+            assert got[i] == (deepest >= 0) or abs(deepest) < 0.5, (i, deepest)
+    assert 20 < sum(got.values()) < 130
+
+
+def test_raster_windows_with_a_reader_in_its_place(spark, monkeypatch):
+    """The real reader is optional; what is done with its numbers is tested on a fake one."""
+    import types
+
+    import numpy as np
+    from chronoscape.sources import raster
+
+    class Source:
+        nodata = 9.0
+
+        def __init__(self, href):
+            self.href = href
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    class View(Source):
+        def __init__(self, src, crs, transform, width, height):
+            self.href, self.shape = src.href, (height, width)
+
+        def read(self, band):
+            values = np.arange(1, self.shape[0] * self.shape[1] + 1, dtype=float).reshape(self.shape)
+            if self.href == "vv":
+                values[0, 0], values[0, 1] = np.nan, 0.0
+            return values  # nine is the value that stands for no data
+
+    fake = types.SimpleNamespace(open=Source, Affine=lambda *a: a, vrt=types.SimpleNamespace(WarpedVRT=View))
+    monkeypatch.setitem(sys.modules, "rasterio", fake)
+    monkeypatch.setitem(sys.modules, "rasterio.vrt", fake.vrt)
+    seen = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: seen.update(f=f, schema=schema))
+    raster.read_windows(spark.range(1))
+    import pyarrow as pa
+
+    task = {"pass_idx": 1, "scene_seq": 7, "vv_href": "vv", "vh_href": "vh", "row": 10, "col": 20, "height": 3, "width": 4, "a": 10.0, "c": 0.0, "e": -10.0, "f": 0.0}
+    (batch,) = seen["f"]([pa.RecordBatch.from_pylist([task])])
+    got = {(r["row"], r["col"]): (r["vv"], r["vh"]) for r in batch.to_pylist()}
+    assert len(got) == 9 and (10, 20) not in got and (10, 21) not in got and (12, 20) not in got and got[10, 22] == (3.0, 3.0) and got[12, 23] == (12.0, 12.0)
+
+
 def test_mosaic_takes_the_first_whole_scene(spark):
     rows = [(0, 1, 0, 0, 1.0, None), (0, 2, 0, 0, 2.0, 2.5), (0, 3, 0, 0, 3.0, 3.5), (0, 1, 0, 1, float("nan"), 1.0), (0, 2, 0, 1, -1.0, 1.0), (0, 2, 0, 2, 5.0, 9.0), (1, 4, 0, 2, 6.0, 6.5)]
     df = spark.createDataFrame(rows, "pass_idx int, scene_seq long, row int, col int, vv double, vh double")

@@ -128,6 +128,27 @@ def test_patches_equal_flood_fill(spark, kind):
     assert [b for _, b in sorted(pairs)] == sorted(b for _, b in pairs)  # names in raster order
 
 
+def test_patches_across_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    mask = rng.random((40, 50)) < 0.42
+    points = [(int(r), int(c)) for r, c in zip(*np.nonzero(mask))]
+    want, left = {}, set(points)
+    for p in sorted(points):  # raster order, so each patch is named by its first pixel
+        if p in left:
+            left.remove(p)
+            todo = [p]
+            while todo:
+                r, c = todo.pop()
+                want[r, c] = (p[0] << 32) + p[1]
+                near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+    for side in (7, 16, 1024):
+        monkeypatch.setattr(components, "TILE", side)
+        got = {(r.row, r.col): r.label for r in components.label(spark.createDataFrame(points, "row int, col int").repartition(3)).collect()}
+        assert got == want
+
+
 def test_edges_equal_the_model(spark):
     mask = np.random.default_rng(6).random((20, 20)) < 0.7
     pad = np.pad(mask, 1)
