@@ -174,7 +174,7 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of pairs (a, b: nodes, a written table) whose sets link."""
     if pairs.isEmpty():
         return pairs
-    nodes = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    nodes = lambda p: sized(materialize(p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct(), "near-nodes"))
     known = signed.join(nodes(pairs), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("size").alias("size"), F.first("hist").alias("hist"))
     known = materialize(known, "near-known")
 
@@ -213,23 +213,28 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def shared_lists(groups: DataFrame) -> DataFrame:
+def shared_lists(signed: DataFrame) -> DataFrame:
     """token, gid, size, pos: the lists of the shingles that several groups have, one for each set of groups.
 
     Shingles that are not known as frequent stand in few texts, so a window finds those of several groups; known ones
-    may stand in any share of the corpus, so they only ever meet as sums.
+    may stand in any share of the corpus, so they only ever meet as sums. A group may come from several tasks, then
+    with all of its prefix, so that shingles of the same groups still have equal sums.
     """
-    entries = groups.select("gid", "size", (F.size("prefix") - F.col("known")).alias("rare"), F.posexplode("prefix").alias("pos", "token"))
+    entries = signed.where(F.size("prefix") > 0).select("gid", (F.size("prefix") - F.col("known")).alias("rare"), F.posexplode("prefix").alias("pos", "token"))
+    sums = {"n": F.count("*"), "s": F.sum(F.hash("gid").cast("long")), "t": F.sum(F.hash("gid", F.lit(1)).cast("long")), "one": F.min(F.struct("gid", "pos")), "hi": F.max("gid")}
     own = Window.partitionBy("token")
-    few = entries.where("pos < rare").select("token", "gid", "size", "pos")
-    few = few.withColumns({"lo": F.min("gid").over(own), "hi": F.max("gid").over(own)}).where("lo <> hi").drop("lo", "hi")
-    shared = materialize(few.unionByName(entries.where("pos >= rare").select("token", "gid", "size", "pos")), "near-shared")
-    # groups are distinct within a list, so count, sum and xor of hashes name the set of groups
-    sign = shared.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.hash("gid").cast("long")).alias("s"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.min(F.struct("gid", "pos")).alias("one")).where("n > 1")
+    few = entries.where("pos < rare").select("token", "gid", "pos").withColumns({"lo": F.min("gid").over(own), "hi": F.max("gid").over(own)}).where("lo <> hi").drop("lo", "hi")
+    few = materialize(few.withColumns({k: v.over(own) for k, v in sums.items() if k != "hi"}), "near-shared")  # in the same partitions
+    often = materialize(entries.where("pos >= rare").select("token", "gid", "pos"), "near-often")
+    known = often.groupBy("token").agg(*[v.alias(k) for k, v in sums.items()]).where("one.gid <> hi")
+    sign = few.where("gid = one.gid and pos = one.pos").select("token", "n", "s", "t", "one").unionByName(known.select("token", "n", "s", "t", "one"))
     # all groups see the shingles in the same order, so places in any one of them tell which is first
-    first = materialize(sign.groupBy("n", "s", "x").agg(F.min_by("token", F.struct("one.pos", "token")).alias("token")).select("token"), "near-first")
-    found = materialize(shared.join(first, "token", "left_semi"), "near-lists")
-    drop_table(shared, first)
+    first = sign.groupBy("n", "s", "t").agg(F.min_by("token", F.struct("one.pos", "token")).alias("token")).select("token")
+    first = materialize(first, "near-first")
+    found = few.select("token", "gid", "pos").unionByName(often).join(sized(first), "token", "left_semi").distinct()
+    size = signed.where(F.size("prefix") > 0).select("gid", "size").distinct()
+    found = materialize(found.join(size, "gid").select("token", "gid", "size", "pos"), "near-lists")
+    drop_table(few, often, first)
     return found
 
 
@@ -257,7 +262,7 @@ def hub_pairs(listed: DataFrame, turn: int) -> DataFrame:
     return counted.groupBy("gid").agg(F.max_by("hub", F.struct("n", "hub")).alias("y")).select(F.col("gid").alias("x"), "y")
 
 
-def cross_pairs(listed: DataFrame, groups: DataFrame) -> DataFrame:
+def cross_pairs(listed: DataFrame, signed: DataFrame) -> DataFrame:
     """x, y: the pairs of groups of listed (with root) in different components that no filter rules out."""
     mixed = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     apart = materialize(listed.join(mixed, "token", "left_semi"), "near-apart")
@@ -269,6 +274,10 @@ def cross_pairs(listed: DataFrame, groups: DataFrame) -> DataFrame:
     met = materialize(side(cells, "x").join(side(cells, "y"), "token").where(before & fits & room).select("token", "root_x", "size_x", "root_y", "size_y"), "near-cells")
     one = met.join(side(apart, "x"), ["token", "root_x", "size_x"]).where(F.col("size_x") - F.col("pos_x") >= need(F.col("size_x"), F.col("size_y")))
     both = one.join(side(apart, "y"), ["token", "root_y", "size_y"]).where(room).select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct()
+    both = materialize(both, "near-both")
+    gids = both.select(F.col("x").alias("gid")).unionByName(both.select(F.col("y").alias("gid"))).distinct()
+    gids = sized(materialize(gids, "near-gids"))
+    groups = materialize(signed.where(F.size("prefix") > 0).join(gids, "gid", "left_semi").select("gid", "size", "prefix").dropDuplicates(["gid"]), "near-groups")
     of = lambda c: groups.select(F.col("gid").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}"))
     share = F.size(F.array_intersect("prefix_x", "prefix_y")) + F.greatest(F.col("size_x") - F.size("prefix_x"), F.col("size_y") - F.size("prefix_y"))
     return both.join(of("x"), "x").join(of("y"), "y").where(share >= need(F.col("size_x"), F.col("size_y"))).select("x", "y")
@@ -278,9 +287,7 @@ def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int
     """doc_id, row (its key), size, node (its set) and root (a node that names its component) of every row of docs."""
     token, df = frequent(docs, local_df, heavy)
     signed = materialize(signatures(docs, token, df), "near-signed")
-    # a prefix leaves each task once; here it stays once
-    groups = materialize(signed.where(F.size("prefix") > 0).groupBy("gid").agg(F.first("size").alias("size"), F.first("known").alias("known"), F.first("prefix").alias("prefix")), "near-groups")
-    listed = shared_lists(groups)
+    listed = shared_lists(signed)
     members = materialize(signed.where("size > 0").select("gid", "node").distinct(), "near-members")
     firsts = members.groupBy("gid").agg(F.min("node").alias("node"))
     first = lambda c: firsts.select(F.col("gid").alias("x" if c == "a" else "y"), F.col("node").alias(c))
@@ -299,7 +306,7 @@ def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int
             drop_table(root)
         root = materialize(connect(links), "near-roots")
 
-    wide = cross_pairs(rooted(listed, members, root), groups)
+    wide = cross_pairs(rooted(listed, members, root), signed)
     inner = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     named = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = lambda c, node: named.select(F.col("gid").alias(c), F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
@@ -307,7 +314,7 @@ def labels(docs: DataFrame, local_df: int = 2, heavy: int = 1 << 19, rounds: int
     late = materialize(late.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = verify(docs, signed, late)
     root = sized(materialize(connect(links.unionByName(more)), "near-roots"))
-    drop_table(groups, listed, members)
+    drop_table(listed, members)
     return signed.select("doc_id", "row", "size", "node").join(root, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
 
 
