@@ -89,7 +89,7 @@ def test_many_rings_are_covered_fast():
 
 def test_polygons_meet_boxes_as_dense_points_do(spark):
     rng = random.Random(7)
-    rows = [(i, tilted(rng), *(v for x, y in [(rng.uniform(-6, 12), rng.uniform(-6, 12))] for v in (x, y, x + rng.uniform(0.5, 3), y + rng.uniform(0.5, 3)))) for i in range(150)]
+    rows = [(i, tilted(rng), *(v for x, y in [(rng.uniform(-6, 12), rng.uniform(-6, 12))] for v in (x, y, x + rng.uniform(1, 8), y + rng.uniform(1, 8)))) for i in range(150)]
     df = spark.createDataFrame(rows, "i long, ring array<array<double>>, west double, south double, east double, north double")
     got = {r.i: r.m for r in df.select("i", grid.ring_meets(F.col("ring"), *map(F.col, ("west", "south", "east", "north"))).alias("m")).collect()}
     side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
