@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -48,6 +50,63 @@ def test_telling_terms(spark):
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10]
 
 
+def brute_telling(texts, contexts=3, generalise=0.75, remove=0.95, window=6, reach=60):
+    """For each text its telling spans, from the definitions alone."""
+    term = re.compile(pii.TERM_CLASS)
+    low = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    total, held = len(texts), []
+    for t in texts:
+        base = brute(t)
+        words = [(m.start(), m.end(), m[0]) for m in term.finditer(t) if base and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        beside, first = set(), {}
+        for s, k, e in base:
+            left = [w for w in words if w[1] <= s][-window:]
+            right = [w for w in words if w[0] >= e][:window]
+            near = [w[2] for w in left if w[1] > s - reach and len(w[2]) >= 3] + [w[2] for w in right if w[0] < e + reach and len(w[2]) >= 3]
+            beside |= {((k, t[s:e].lower()), low(w), tuple(near)) for w in near}
+        for i, (_, _, w) in enumerate(words):
+            if len(w) >= 3:
+                first.setdefault(low(w), tuple(x[2] for x in words[max(0, i - window) : i + window + 1]))
+        held.append(({(k, t[s:e].lower()) for s, k, e in base}, beside, first, words))
+    entities = Counter(x for e, *_ in held for x in e)
+    near, whole = Counter(x for _, b, *_ in held for x in b), Counter((x, w, c) for e, _, f, _ in held for x in e if entities[x] >= contexts for w, c in f.items())
+    n_term = Counter(w for t in texts for w in {low(m[0]) for m in term.finditer(t)})
+    told = {}
+    for x, w in {(x, w) for x, w, _ in (*near, *whole)}:
+        sides = [[n for (a, b, _), n in table.items() if (a, b) == (x, w)] for table in (near, whole)]
+        n_contexts, n_both = max(map(len, sides)), max(map(sum, sides))
+        if n_contexts >= contexts and entities[x] < total:
+            share = math.log(min(n_both, entities[x]) * total / (max(n_term[w], n_both) * entities[x])) / math.log(total / entities[x])
+            if share >= generalise:
+                told[x, w] = share
+    out = []
+    for e, _, _, words in held:
+        best = [(s, max((told.get((x, low(w)), 0) for x in e), default=0), t) for s, t, w in words]
+        out.append([f"{'removed' if d >= remove else 'general'}:{s}:{t}" for s, d, t in best if d >= generalise])
+    return out
+
+
+def test_telling_spans_equal_brute_force(spark):
+    rng = random.Random(77)
+    people = [("zed@example.org", "Zorblax", "quuxish"), ("+1 555 010 2345", "blorp", "grault"), ("10.0.0.7", "fnord", "plugh")]
+    texts = []
+    for i in range(70):
+        t = prose(rng, rng.randrange(5, 40), 60)
+        for mail, a, b in people:
+            if rng.random() < 0.25:
+                t += f" {a if rng.random() < 0.9 else ''} {'x' * rng.randrange(50)} {mail} {b if rng.random() < 0.7 else ''} {prose(rng, rng.randrange(9), 60)}"
+            elif rng.random() < 0.06:
+                t += f" {b} alone {a.upper()}remarkable"
+        texts.append(t + (" unforgettable remarkable" * rng.randrange(2)))
+    texts += [texts[0], texts[1], None, "", "only zed@example.org"]
+    want = brute_telling([t or "" for t in texts])
+    found = pii.find(frame(spark, texts))
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("general", "removed"))] for r in pii.digest(found).collect()}
+    assert [sorted(got[i]) for i in range(len(texts))] == [sorted(w) for w in want]
+    kinds = Counter(x.split(":")[0] for w in want for x in w)
+    assert kinds["removed"] > 10 and kinds["general"] > 0
+
+
 def test_telling_terms_far_from_the_mention(spark):
     rng = random.Random(9)
     texts = [f"zorblax {prose(rng, 60, 4000)} write to zed@example.org {prose(rng, 60, 4000)} zorblax" for _ in range(6)] + [prose(rng, 60, 4000) for _ in range(60)]
