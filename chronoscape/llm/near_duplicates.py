@@ -199,12 +199,14 @@ def verify(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
             if node not in held:
                 if len(held) > 64:
                     held.clear()
-                held[node] = shingle_sets(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))[0]
+                data = np.frombuffer(raw.as_buffer(), np.uint8)
+                held[node] = shingle_sets(np.array([0, len(data)]), data)[0]
             return held[node]
 
         for batch in batches:
-            a, b, ra, rb = (batch.column(c).to_pylist() for c in ("a", "b", "raw_a", "raw_b"))
-            keep = [linked(of(x, p), of(y, q)) for x, y, p, q in zip(a, b, ra, rb, strict=True)]
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            ra, rb = (batch.column(c) for c in ("raw_a", "raw_b"))  # texts are looked at where they are
+            keep = [linked(of(x, ra[i]), of(y, rb[i])) for i, (x, y) in enumerate(zip(a, b, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], names=["a", "b", "ok"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b")
