@@ -64,6 +64,34 @@ SELECT doc_id, length(t) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(
 FROM d LEFT JOIN q USING (rid) LEFT JOIN c USING (rid)
 """
 
+_FEATURES = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FEATURES} AS ws FROM documents),
+f AS (SELECT rid, unnest(ws) AS w FROM d), g AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM g)),
+b AS (SELECT w, xor(list_reduce(range(length(x) // 2), lambda c, i: xor(c >> 8, t[1 + (xor(c, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) & 255)]), 4294967295), 4294967295) % 10000 AS b FROM h, t),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (w) GROUP BY 1), u AS (SELECT b, count(*) AS t FROM g JOIN b USING (w) GROUP BY 1),
+k AS (SELECT b, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t, coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS ss, coalesce((SELECT sum(t) FROM u), 0)::DOUBLE AS tt FROM s FULL JOIN u USING (b)),
+n AS (SELECT b, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM k),
+w AS (SELECT rid, sum(gain)::BIGINT AS weight FROM f JOIN b USING (w) JOIN n USING (b) GROUP BY 1),
+r AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (rid)),
+q AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM r),
+p AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, rid) END AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM p
+"""
+
+NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER o AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW o AS (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid) QUALIFY row_number() OVER o <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": NEAR_DUPLICATES, "op4_suffix_array_dedup": REPEATS, "op7_line_dedup": line_dedup.ORACLE, "op10_secret_scan": SECRETS}
+    own = {"op11_importance_resampling": RESAMPLING, "op12_hard_negatives": NEGATIVES}
+    return own | {"op3_ngram_jaccard_join": NEAR_DUPLICATES, "op4_suffix_array_dedup": REPEATS, "op7_line_dedup": line_dedup.ORACLE, "op10_secret_scan": SECRETS}
