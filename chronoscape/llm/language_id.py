@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flush():
             for lang, words in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
             sums.clear()
 
         for batch in batches:
@@ -106,7 +106,7 @@ def gram_counts(words: DataFrame, longest: int = LONGEST) -> DataFrame:
 
         def flush():
             keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys]), pa.array(list(sums.values()), pa.int64())], names=["lang", "size", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "size", "key", "n"])
             sums.clear()
 
         for batch in batches:
