@@ -34,18 +34,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@dataclass(frozen=True)
+class Words:
+    """Ids of words in flat arrays: sorted hashes, and where each word's ids begin and how many there are."""
+
+    key: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Words:
+        return cls(key, np.cumsum(size) - size, size, ids)
+
+    def take(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the words at i."""
+        size = self.size[i]
+        return size, self.ids[np.repeat(self.at[i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are here, and where."""
+        i = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        return (self.key[i] == key if len(self.key) else np.zeros(len(key), bool)), i
+
+    def with_(self, other: Words) -> Words:
+        """Both, which have no word in common."""
+        key, size = np.concatenate((self.key, other.key)), np.concatenate((self.size, other.size))
+        both = Words(key, np.concatenate((self.at, other.at + len(self.ids))), size, np.concatenate((self.ids, other.ids)))
+        order = np.argsort(key, kind="stable")
+        return Words.of(key[order], *both.take(order))
+
+
 class WordTokenizer:
     """Ids of whole texts through a bounded cache of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. A
     word of plain Latin letters, digits and punctuation goes to the BPE model piece by piece; any other word goes
-    through the whole tokenizer.
+    through the whole tokenizer. What is known lies in flat arrays, about 24 bytes a word: a small part that new words
+    are merged into, and a large one.
     """
 
-    #: Words kept; beyond, the cache starts anew.
-    KEEP = 1_000_000
+    #: Words kept, new words until they are merged into the others, and parts of words kept; beyond, each starts anew.
+    KEEP, RECENT, PARTS = 1_000_000, 50_000, 100_000
     PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    NONE = Words.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,7 +86,7 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.cache: dict[int, bytes] = {}
+        self.known, self.recent = self.NONE, self.NONE
         self.parts: dict[str, bytes] = {}
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         shown = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
@@ -67,10 +100,28 @@ class WordTokenizer:
             ids = self.parts.get(part)
             if ids is None:
                 ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.shown))])
+                if len(self.parts) >= self.PARTS:
+                    self.parts.clear()
                 self.parts[part] = ids
             out.append(ids)
         return b"".join(out)
 
+    def look_up(self, key: np.ndarray, word) -> Words:
+        """The words of these sorted hashes; word(i) is the i-th as text."""
+        found, left = [], np.ones(len(key), bool)
+        for part in (self.known, self.recent):
+            there, i = part.find(key)
+            found.append(Words.of(key[there], *part.take(i[there])))
+            left &= ~there
+        raw = [self.word(word(i)) for i in np.flatnonzero(left).tolist()]
+        new = Words.of(key[left], np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.frombuffer(b"".join(raw), "<u4"))
+        if len(raw):
+            self.recent = self.recent.with_(new)
+            if len(self.recent.key) > self.RECENT:
+                whole = len(self.known.key) + len(self.recent.key) > self.KEEP
+                self.known, self.recent = self.recent if whole else self.known.with_(self.recent), self.NONE
+        return found[0].with_(found[1]).with_(new)
+
     def __call__(self, offs: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit arrays."""
         start, end, row, h = words(offs, data, lower=False)
@@ -78,22 +129,10 @@ class WordTokenizer:
         if not len(h):
             return [np.zeros(0, "<u4")] * n
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = key.tolist()
-        if len(self.cache) + len(keys) > self.KEEP:
-            self.cache.clear()
-            self.parts.clear()
-        got = list(map(self.cache.get, keys))
-        raw = data.tobytes()
-        for i in [i for i, x in enumerate(got) if x is None]:
-            w = first[i]
-            got[i] = self.cache[keys[i]] = self.word(raw[start[w] : end[w]].decode())
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat = np.frombuffer(b"".join(got), "<u4")
-        at = np.cumsum(size) - size
-        each = size[back]
-        total = np.cumsum(each)
-        ids = flat[np.repeat(at[back] - (total - each), each) + np.arange(total[-1])]
-        cut = np.concatenate(([0], total))[np.searchsorted(row, np.arange(n + 1))]
+        raw = memoryview(data)
+        got = self.look_up(key, lambda i: bytes(raw[start[first[i]] : end[first[i]]]).decode())
+        size, ids = got.take(back)
+        cut = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(row, np.arange(n + 1))]
         return [ids[cut[i] : cut[i + 1]] for i in range(n)]
 
 
