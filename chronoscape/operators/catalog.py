@@ -1,24 +1,25 @@
 """Catalogue items to scenes, and the plan: which passes of which orbit an analysis uses.
 
 scenes: id string, day date, orbit int, orbit_state string, seq long (catalogue order), geometry
-struct<type string, coordinates array<array<array<double>>>>, hrefs map<string,string>.
+struct<type string, coordinates array<array<array<array<double>>>>> (polygons of rings, whether type is Polygon or
+MultiPolygon; null for others), hrefs map<string,string>.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, ring_crosses, ring_holds
+from ..functions.grid import Grid
 from ..functions.labels import lookback_days
+from ..storage import materialize
+from . import cover
 
 ITEM = (
-    "id string, geometry struct<type:string,coordinates:array<array<array<double>>>>, "
+    "id string, geometry struct<type:string,coordinates:string>, "
     "properties struct<datetime:string,`sat:relative_orbit`:int,`sat:orbit_state`:string,`sar:instrument_mode`:string>, assets map<string,struct<href:string>>"
 )
 BANDS = ("VV", "VH")
@@ -28,19 +29,27 @@ PIXEL_BYTES = 3.2
 FULL = 0.98
 
 
+def once(df: DataFrame, value: Column, *keep: str) -> DataFrame:
+    """df's columns `keep` and the fields of the struct `value`, which is made once a row: filters on its fields, which
+    would otherwise each repeat what makes them, stay above the generator."""
+    return df.select(*keep, F.explode(F.array(value)).alias("_one")).select(*keep, "_one.*")
+
+
 def scenes(items: DataFrame) -> DataFrame:
     """items (seq long, item string: a catalogue feature as JSON) to scenes; other modes and single bands go."""
-    parsed = items.select("seq", F.from_json("item", ITEM).alias("i")).select("seq", "i.*")
+    parsed = once(items, F.from_json("item", ITEM), "seq")
     upper = F.transform_keys("assets", lambda k, v: F.upper(k))
     hrefs = F.map_filter(F.transform_values(upper, lambda k, v: v["href"]), lambda k, v: k.isin(*BANDS))
     p = F.col("properties")
     got = parsed.withColumn("hrefs", hrefs).where((F.coalesce(p["sar:instrument_mode"], F.lit("IW")) == "IW") & (F.size("hrefs") == len(BANDS)))
     state = F.lower(F.coalesce(p["sat:orbit_state"], F.lit("")))
-    return got.select("id", F.to_date(F.substring(p["datetime"], 1, 10)).alias("day"), p["sat:relative_orbit"].alias("orbit"), state.alias("orbit_state"), "seq", "geometry", "hrefs")
+    shape = F.struct(F.col("geometry.type").alias("type"), cover.polygons_of(F.col("geometry.type"), F.col("geometry.coordinates")).alias("coordinates"))
+    fields = F.struct("id", F.to_date(F.substring(p["datetime"], 1, 10)).alias("day"), p["sat:relative_orbit"].alias("orbit"), state.alias("orbit_state"), "seq", shape.alias("geometry"), "hrefs")
+    return once(got, fields)
 
 
 def footprint_box(geometry: Column) -> dict[str, Column]:
-    ring = F.flatten(geometry["coordinates"])
+    ring = F.flatten(F.flatten(geometry["coordinates"]))
     x, y = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
     return {"west": F.array_min(x), "south": F.array_min(y), "east": F.array_max(x), "north": F.array_max(y)}
 
@@ -82,72 +91,17 @@ def sides(found: DataFrame, request: Request) -> DataFrame:
     return got
 
 
-def _cover(rings: list, bounds: tuple) -> float:
-    """Share of the bounds covered by the union of polygons (outer rings), exactly, by horizontal slabs.
-
-    Between two neighbouring heights at which an edge begins, ends or crosses another, the union's width changes
-    linearly, so the width half-way times the height is the slab's area.
-    """
-    west, south, east, north = bounds
-    edges = np.array([(*p, *q, k) for k, r in enumerate(rings) for p, q in zip(r, r[1:] + r[:1], strict=True) if p[1] != q[1]], float).reshape(-1, 5)
-    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-    near = (low < north) & (high > south)
-    (x, y, x2, y2, owner), low, high = edges[near].T, low[near], high[near]
-    slope = (x2 - x) / (y2 - y)
-    # the sides of the bounds cut edges, too
-    s, base = np.concatenate((slope, [0.0, 0.0])), np.concatenate((x - slope * y, [west, east]))
-    lo, hi = np.concatenate((low, [south, south])), np.concatenate((high, [north, north]))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (base[:, None] - base[None, :]) / (s[None, :] - s[:, None])
-    cross = at[(at > np.maximum.outer(lo, lo)) & (at < np.minimum.outer(hi, hi))]
-    levels = np.unique(np.concatenate(([south, north], low, high, cross)))
-    levels = levels[(levels >= south) & (levels <= north)]
-    total = 0.0
-    for bottom, top in zip(levels, levels[1:], strict=False):
-        mid = (bottom + top) / 2
-        active = (low <= mid) & (mid < high)
-        places, of = x[active] + slope[active] * (mid - y[active]), owner[active]
-        places = np.clip(places[np.lexsort((places, of))], west, east)  # edges of a ring come in pairs
-        begin, end = places[::2], places[1::2]
-        order = np.argsort(begin)
-        begin, end = begin[order], np.maximum.accumulate(end[order])
-        total += np.maximum(end - np.maximum(begin, np.concatenate(([west], end[:-1]))), 0).sum() * (top - bottom)
-    return float(total / ((east - west) * (north - south)))
-
-
 def coverage(found: DataFrame, bounds: tuple, cells: int = 8) -> DataFrame:
-    """orbit, side, coverage of the bounds by the union of the footprints (outer rings).
-
-    The bounds are cut into cells x cells boxes. A box that one footprint covers alone is covered; only footprints
-    that cross a box which none covers alone are brought together, box by box, and their union is measured exactly.
-    """
-    west, south, east, north = bounds
-    wide, high = (east - west) / cells, (north - south) / cells
-    rings = found.where(F.size("geometry.coordinates") > 0).select("orbit", "side", F.col("geometry.coordinates")[0].alias("ring")).distinct()
-    span = lambda axis, start, step: F.explode(F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: (F.array_min(F.transform("ring", lambda p: p[axis])) <= start + (i + 1) * step) & (F.array_max(F.transform("ring", lambda p: p[axis])) >= start + i * step)))
-    dealt = rings.withColumn("cx", span(0, west, wide)).withColumn("cy", span(1, south, high))
-    box = (west + F.col("cx") * wide, south + F.col("cy") * high, west + (F.col("cx") + 1) * wide, south + (F.col("cy") + 1) * high)
-    crosses = ring_crosses(F.col("ring"), *box)
-    dealt = dealt.withColumn("crosses", crosses).where(F.col("crosses") | ring_holds(F.col("ring"), box[0], box[1]))
-    whole = dealt.where("not crosses").select("orbit", "side", "cx", "cy").distinct()
-
-    def run(table: pa.Table) -> pa.Table:
-        cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
-        own = (west + cx * wide, south + cy * high, west + (cx + 1) * wide, south + (cy + 1) * high)
-        shapes = sorted(tuple(map(tuple, r)) for r in table.column("ring").to_pylist())
-        return pa.table({"orbit": table.column("orbit").slice(0, 1), "side": table.column("side").slice(0, 1), "part": pa.array([_cover([list(r[:-1] if r[0] == r[-1] else r) for r in shapes], own)])})
-
-    some = dealt.where("crosses").join(whole, ["orbit", "side", "cx", "cy"], "left_anti").select("orbit", "side", "cx", "cy", "ring").groupBy("orbit", "side", "cx", "cy").applyInArrow(run, "orbit int, side string, part double")
-    parts = some.unionByName(whole.select("orbit", "side", F.lit(1.0).alias("part")))
-    seen = found.select("orbit", "side").distinct()
-    return seen.join(parts.groupBy("orbit", "side").agg((F.sum("part") / (cells * cells)).alias("coverage")), ["orbit", "side"], "left").fillna(0.0, ["coverage"])
+    """orbit, side, coverage of the bounds by the union of the footprints: holes and all parts count."""
+    return cover.covered(found.select("orbit", "side", F.col("geometry.coordinates").alias("polygons")), ["orbit", "side"], bounds, cells)
 
 
 def orbits(found: DataFrame, request: Request) -> DataFrame:
     """orbit, coverage (the lesser of the sides), before, after (days) and gap_days of orbits seen on both sides.
 
-    All days and scenes of the windows count, not only those that will be selected.
+    All days and scenes of the windows count, not only those that will be selected. The items are read once.
     """
+    found = materialize(found.select("orbit", "side", "day", "geometry"), "sides")
     days = found.groupBy("orbit").pivot("side", ["before", "after"]).agg(F.count_distinct("day").alias("n"), F.max("day").alias("last")).where("before_n > 0 and after_n > 0")
     cover = coverage(found, request.bounds).groupBy("orbit").agg(F.min("coverage").alias("coverage"))
     gap = F.datediff(F.lit(request.start).cast("date"), "before_last") + F.datediff(F.lit(request.end).cast("date"), "after_last")

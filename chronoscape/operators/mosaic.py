@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, ring_meets
+from ..functions.grid import Grid, polygons_meet, ring_meets
 
 
 def valid(value: Column, nodata: Column | None = None) -> Column:
@@ -26,7 +26,7 @@ def mosaic(raw: DataFrame, bands: tuple[str, ...] = ("vv", "vh"), nodata: float
 
 def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     """Pairs of scenes and windows (west, south, east, north each) whose boxes meet; touching counts. Scenes with a column
-    ring (array<array<double>>) meet a window only if that polygon does.
+    ring (array<array<double>>) or polygons (arrays of rings, holes after the outer one) meet a window only if these do.
 
     Boxes are dealt to one-degree cells, so the join is on cells; a pair found in several cells is reported once,
     from the cell that holds the south-west corner of what the boxes share. The scene side is narrow metadata.
@@ -41,6 +41,8 @@ def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     keep = [F.col(f"s.{c}") for c in scenes.columns if c not in windows.columns] + [F.col(f"w.{c}") for c in windows.columns if c not in ("west", "south", "east", "north")]
     if "ring" in scenes.columns:
         meet = meet & ring_meets(F.col("s.ring"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
+    if "polygons" in scenes.columns:
+        meet = meet & polygons_meet(F.col("s.polygons"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
     return s.join(w, (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet & own).select(*keep)
 
 

@@ -229,7 +229,7 @@ def q32_areas(spark, sf_dir):
 
 def q33_drawn_bounds(spark, sf_dir):
     """Bounds of drawn rings: here, the footprints."""
-    ring = F.col("geometry")["coordinates"][0]
+    ring = F.col("geometry")["coordinates"][0][0]
     return _scenes(spark, sf_dir).select("seq", grids.drawn_bounds_column(ring).alias("b")).select("seq", "b.*")
 
 
@@ -391,7 +391,7 @@ def q52_plan_gaps(spark, sf_dir):
 
 def q53_newest_drawing(spark, sf_dir):
     """Bounds of the newest ring of each orbit's footprints; null where it is a sliver."""
-    ring = F.col("geometry")["coordinates"][0]
+    ring = F.col("geometry")["coordinates"][0][0]
     drawn = F.when(F.col("seq") % 5 == 0, F.transform(ring, lambda p: F.array(ring[0][0], p[1]))).otherwise(ring)
     newest = F.element_at(F.array_sort(F.collect_list(F.struct("day", "seq", drawn.alias("ring")))), -1)["ring"]
     return _scenes(spark, sf_dir).groupBy("orbit").agg(newest.alias("ring")).select("orbit", grids.drawn_bounds_column(F.col("ring")).alias("b")).select("orbit", "b.*")
@@ -439,6 +439,24 @@ def q59_tile_background(spark, sf_dir):
     return present.tile_background(coloured, grid, zoom, 32, 64)
 
 
+def _polygon_scenes(spark, sf_dir):
+    return catalog.scenes(adapters.polygon_items(spark, sf_dir))
+
+
+def q60_polygon_cover(spark, sf_dir):
+    """Cover by the areas of each orbit: tilted, with holes, in parts."""
+    found = _polygon_scenes(spark, sf_dir).withColumn("side", F.lit("before"))
+    return catalog.coverage(found, adapters.AOI).select("orbit", F.round("coverage", 8).alias("coverage"))
+
+
+def q61_polygon_windows(spark, sf_dir):
+    """Windows and the areas that have a point in common with them; a window within a hole has none."""
+    box = catalog.footprint_box(F.col("geometry"))
+    scenes = _polygon_scenes(spark, sf_dir).select("seq", F.col("geometry.coordinates").alias("polygons"), *[v.alias(k) for k, v in box.items()])
+    windows = spark.range(400).select(F.col("id").alias("tile_id"), (F.col("id") % 20 * 5).cast("double").alias("west"), (F.floor(F.col("id") / 20) * 5).cast("double").alias("south")).withColumns({"east": F.col("west") + 4, "north": F.col("south") + 4})
+    return mosaic.touching(scenes, windows).groupBy("tile_id").agg(F.count("*").alias("n_scenes"), F.min("seq").alias("first_seq"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -551,6 +569,21 @@ ob AS (SELECT orbit, count(DISTINCT day) FILTER (side = 'before') AS before, cou
        (DATE '1998-06-01' - max(day) FILTER (side = 'before')) + (DATE '1998-09-01' - max(day) FILTER (side = 'after')) AS gap_days FROM bb GROUP BY 1),
 orb AS (SELECT ob.orbit, cover AS coverage, before, after, gap_days FROM ob JOIN (SELECT orbit, min(cover) AS cover FROM cv GROUP BY 1) k ON k.orbit = ob.orbit WHERE before > 0 AND after > 0)"""
 
+_EDGES = [(k, p, *a, *b) for k, shape in adapters.SHAPES.items() for p, part in enumerate(shape) for ring in part for a, b in zip(ring, ring[1:] + ring[:1])]
+_AREAS = f"""
+sup AS (SELECT s_suppkey AS seq, s_nationkey AS orbit, ((s_suppkey * 37) % 100 - 20)::DOUBLE AS west, ((s_suppkey * 53) % 100 - 20)::DOUBLE AS south FROM supplier),
+ed AS (SELECT seq, orbit, part, west + a AS x, south + b AS y, west + c AS u, south + d AS v FROM sup JOIN (VALUES {', '.join(map(str, _EDGES))}) z(k, part, a, b, c, d) ON seq % 3 = k)"""
+#: Heights at which edges end or cross; between two of them edges in order of place, in and out of each area by turns.
+_COVER = """
+up AS (SELECT orbit, seq, part, CASE WHEN y < v THEN x ELSE u END AS x, least(y, v) AS y, CASE WHEN y < v THEN u ELSE x END AS u, greatest(y, v) AS v FROM ed WHERE y <> v),
+ln AS (SELECT *, (u - x) / (v - y) AS m, x - (u - x) / (v - y) * y AS c FROM up),
+lv AS (SELECT orbit, unnest([y, v, 0, 100]) AS h FROM ln UNION SELECT a.orbit, (b.c - a.c) / (a.m - b.m) FROM ln a JOIN ln b ON a.orbit = b.orbit AND a.m <> b.m AND (b.c - a.c) / (a.m - b.m) BETWEEN greatest(a.y, b.y) AND least(a.v, b.v)
+       UNION SELECT orbit, (side - c) / m FROM ln, (VALUES (0), (100)) t(side) WHERE m <> 0 AND (side - c) / m BETWEEN y AND v),
+sb AS (SELECT orbit, h, lead(h) OVER (PARTITION BY orbit ORDER BY h) AS h2 FROM lv WHERE h BETWEEN 0 AND 100),
+ac AS (SELECT s.orbit, h, h2, seq, part, least(greatest(m * (h + h2) / 2 + c, 0), 100) AS x, m * (h + h2) / 2 + c AS raw FROM sb s JOIN ln l ON l.orbit = s.orbit AND l.y <= (h + h2) / 2 AND l.v > (h + h2) / 2),
+st AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY orbit, h, seq, part ORDER BY raw) % 2 = 1 THEN 1 ELSE -1 END AS step FROM ac),
+wd AS (SELECT orbit, h2 - h AS high, sum(step) OVER o AS n, lead(x, 1, 100) OVER o - x AS wide FROM st WINDOW o AS (PARTITION BY orbit, h ORDER BY x, seq, part, raw ROWS UNBOUNDED PRECEDING))"""
+
 
 def oracle_sql() -> dict[str, str]:
     base = lambda k: f"WITH RECURSIVE {_OBS}, {_box(k)}"
@@ -657,4 +690,10 @@ def oracle_sql() -> dict[str, str]:
     out["q58_radar_background"] = f"WITH RECURSIVE {_OBS}, px AS (SELECT (i // (w * 2))::INT AS r, (i % (w * 2))::INT AS c FROM dim, range(400000) t(i) WHERE i < w * h * 4) SELECT r AS out_row, c AS out_col, coalesce(before, 0) AS grey FROM px LEFT JOIN ({level}) o ON block_row = r // 8 AND block_col = c // 8"
     out["q59_tile_background"] = f"""WITH {_OBS}, sz AS (SELECT w, h FROM dim), {tiles('64')}, px AS (SELECT i // 64 AS r, i % 64 AS c, floor((l + (c + 0.5::DOUBLE) * dx / 64) * 256 * pow(2, zoom))::BIGINT AS x, floor((t + (r + 0.5::DOUBLE) * dy / 32) * 256 * pow(2, zoom))::BIGINT AS y FROM best, range(2048) u(i))
         SELECT r AS out_row, c AS out_col, x % 256 AS r, y % 256 AS g, (x // 256 + y // 256) % 256 AS b FROM px"""
+    out["q60_polygon_cover"] = f"WITH {_AREAS}, {_COVER}, k AS (SELECT orbit, sum(wide * high) FILTER (n > 0) / 10000 AS c FROM wd GROUP BY 1) SELECT orbit, round(coalesce(c, 0), 8) AS coverage FROM (SELECT DISTINCT orbit FROM sup) LEFT JOIN k USING (orbit)"
+    out["q61_polygon_windows"] = f"""WITH {_AREAS}, wn AS (SELECT i AS tile_id, (i % 20) * 5 AS p, (i // 20) * 5 AS q FROM range(400) t(i)),
+        s AS (SELECT *, [(u - x) * (q - y) - (v - y) * (p - x), (u - x) * (q - y) - (v - y) * (p + 4 - x), (u - x) * (q + 4 - y) - (v - y) * (p - x), (u - x) * (q + 4 - y) - (v - y) * (p + 4 - x)] AS s FROM ed, wn),
+        m AS (SELECT tile_id, seq, part, bool_or(greatest(x, u) >= p AND least(x, u) <= p + 4 AND greatest(y, v) >= q AND least(y, v) <= q + 4 AND list_min(s) <= 0 AND list_max(s) >= 0) AS crosses,
+            count(*) FILTER ((y > q) <> (v > q) AND p < (u - x) * (q - y) / (v - y) + x) % 2 = 1 AS holds FROM s GROUP BY tile_id, seq, part)
+        SELECT tile_id, count(DISTINCT seq) AS n_scenes, min(seq) AS first_seq FROM m WHERE crosses OR holds GROUP BY 1"""
     return out

@@ -51,6 +51,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, item: orders as catalogue features in JSON; some lack a band or have another mode."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     o = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.repartition(spark.sparkContext.defaultParallelism)  # one file is read by one task, which would also write and parse all JSON
     west, south = (((F.col("o_custkey") * k) % 100 - 20).cast("double") for k in (37, 53))
     ring = F.array(*[F.array(west + dx, south + dy) for dx, dy in ((0, 0), (40, 0), (40, 40), (0, 40), (0, 0))])
     seq = F.col("o_orderkey")
@@ -65,6 +66,28 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(seq.alias("seq"), F.to_json(feature).alias("item"))
 
 
+#: Parts of the areas of `polygon_items` by supplier number modulo 3, about their south-west corner; rings after a part's first are holes.
+SHAPES = {
+    0: [[[(10, 0), (40, 10), (30, 40), (0, 30)], [(15, 15), (25, 15), (25, 25), (15, 25)]]],
+    1: [[[(0, 0), (30, 5), (5, 30)]], [[(50, 20), (70, 25), (65, 45), (45, 40)], [(55, 30), (60, 30), (58, 36)]]],
+    2: [[[(0, 0), (40, 0), (20, 15), (40, 40), (0, 40)]]],
+}
+
+
+def polygon_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, item: suppliers as catalogue features with areas that are tilted, have holes or consist of parts."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    seq = F.col("s_suppkey")
+    west, south = (((seq * k) % 100 - 20).cast("double") for k in (37, 53))
+    ring = lambda points: F.array(*[F.array(west + x, south + y) for x, y in [*points, points[0]]])
+    parts = {k: F.array(*[F.array(*map(ring, part)) for part in shape]) for k, shape in SHAPES.items()}
+    geometry = F.when(seq % 3 == 1, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts[1].alias("coordinates"))))
+    for k in (0, 2):
+        geometry = geometry.when(seq % 3 == k, F.to_json(F.struct(F.lit("Polygon").alias("type"), parts[k][0].alias("coordinates"))))
+    text = F.format_string('{"id": "S%d", "geometry": %s, "properties": {"datetime": "1998-05-01T00:00:00Z", "sat:relative_orbit": %d, "sat:orbit_state": "ascending"}, "assets": {"vv": {"href": "v"}, "vh": {"href": "h"}}}', seq, geometry, F.col("s_nationkey"))
+    return s.select(seq.alias("seq"), text.alias("item"))
+
+
 def dense_obs(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     """pass_idx, row, col, vv, vh from prices and quantities: present wherever a part was sold in a line of that number."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from chronoscape.functions import grid
-from chronoscape.operators import catalog, mosaic
+from chronoscape.operators import catalog, cover, mosaic
 from chronoscape.sources import catalogue
 
 AOI = (0.0, 0.0, 10.0, 10.0)
@@ -53,14 +53,22 @@ def test_plan(spark):
 def test_cover_of_polygons():
     rng = random.Random(3)
     tri = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]
-    assert catalog._cover([tri], AOI) == pytest.approx(0.5)
-    assert catalog._cover([tri, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]], AOI) == pytest.approx(0.75)
+    assert cover.share([[tri]], AOI) == pytest.approx(0.5)
+    assert cover.share([[tri], [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]]], AOI) == pytest.approx(0.75)
+    assert cover.share([], AOI) == 0 and cover.share([[], [[]], [tri[:2]]], AOI) == 0
+    square = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    assert cover.share([[square(0, 0, 10, 10), square(2, 2, 8, 8)]], AOI) == pytest.approx(0.64)
+    assert cover.share([[square(0, 0, 10, 10)[::-1], square(2, 2, 8, 8)], [square(4, 4, 5, 5)]], AOI) == pytest.approx(0.65)
+    assert cover.share([[square(-9, -9, 19, 19), square(-1, -1, 11, 11)]], AOI) == 0 and cover.share([[square(-9, -9, 19, 19)]], AOI) == 1
     shapes = [[(rng.uniform(-3, 13), rng.uniform(-3, 13)) for _ in range(3)] for _ in range(6)]
-    side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-    inside = lambda p, t: len({side(p, t[i], t[(i + 1) % 3]) > 0 for i in range(3)}) == 1
-    points = [(10 * (i + 0.5) / 150, 10 * (j + 0.5) / 150) for i in range(150) for j in range(150)]
-    want = sum(any(inside(p, t) for t in shapes) for p in points) / len(points)
-    assert catalog._cover(shapes, AOI) == pytest.approx(want, abs=0.01)
+    assert cover.share([[t] for t in shapes], AOI) == pytest.approx(dense([[t] for t in shapes]), abs=0.01)
+
+
+def dense(polygons, n=150):
+    """Share of points that lie in a polygon, by rays."""
+    points = [(10 * (i + 0.5) / n, 10 * (j + 0.5) / n) for i in range(n) for j in range(n)]
+    crossed = lambda p, rings: sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for r in rings for a, b in zip(r, r[1:] + r[:1]))
+    return sum(any(crossed(p, rings) % 2 for rings in polygons) for p in points) / len(points)
 
 
 def tilted(rng):
@@ -68,23 +76,58 @@ def tilted(rng):
     return [[x, y], [x + a, y + b], [x + a - b, y + a + b], [x - b, y + a], [x, y]]
 
 
-def test_coverage_by_cells_equals_one_sweep(spark):
+def holed(rng):
+    ring = tilted(rng)
+    (x, y), m = [sum(p[i] for p in ring[:4]) / 4 for i in (0, 1)], rng.uniform(0.2, 0.8)
+    return [ring, [[x + (p - x) * m, y + (q - y) * m] for p, q in ring]]
+
+
+def test_few_edges_or_many_give_the_same_area(monkeypatch):
+    rng = random.Random(4)
+    for n in (1, 5, 40):
+        shapes = [holed(rng) for _ in range(n)]
+        monkeypatch.setattr(cover, "FEW", 10**9)
+        want = cover.share(shapes, AOI)
+        assert want == pytest.approx(dense(shapes, 60), abs=0.02)
+        for few in (4, 30):
+            monkeypatch.setattr(cover, "FEW", few)
+            assert cover.share(shapes, AOI) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [cover.MOST, 12])
+def test_coverage_by_boxes_equals_one_sweep(spark, monkeypatch, most):
+    monkeypatch.setattr(cover, "MOST", most)
     rng = random.Random(5)
     rows, want = [], {}
     for orbit in range(6):
-        rings = [tilted(rng) for _ in range(orbit + 1)]
-        rows += [(orbit, "before", ("Polygon", [r])) for r in rings + rings[:1]]
-        want[orbit] = catalog._cover([[tuple(p) for p in r[:-1]] for r in rings], AOI)
-    rows.append((9, "before", ("Polygon", [[[20.0, 20.0], [21.0, 20.0], [21.0, 21.0], [20.0, 20.0]]])))
-    found = spark.createDataFrame(rows, "orbit int, side string, geometry struct<type:string,coordinates:array<array<array<double>>>>")
+        polygons = [holed(rng) if k % 2 else [tilted(rng)] for k in range(orbit + 1)]
+        rows += [(orbit, "before", ("Polygon", [p])) for p in polygons + polygons[:1]] + [(orbit, "before", ("MultiPolygon", polygons[:2])), (orbit, "before", (None, None))]
+        want[orbit] = cover.share(polygons, AOI)
+    rows.append((9, "before", ("Polygon", [[[[20.0, 20.0], [21.0, 20.0], [21.0, 21.0], [20.0, 20.0]]]])))
+    found = spark.createDataFrame(rows, f"orbit int, side string, geometry struct<type:string,coordinates:{cover.POLYGONS}>")
     got = {r.orbit: r.coverage for r in catalog.coverage(found, AOI).collect()}
     assert got.keys() == {*want, 9} and got[9] == 0
     assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
 
 
 def test_many_rings_are_covered_fast():
+    """Forty thousand edges, in memory that grows with their number."""
     rng = random.Random(6)
-    assert 0 < catalog._cover([[tuple(p) for p in tilted(rng)[:-1]] for _ in range(300)], AOI) <= 1 + 1e-9
+    small = [[[[x, y], [x + 0.1, y + 0.02], [x + 0.08, y + 0.12], [x - 0.02, y + 0.1]]] for x, y in ((rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(10_000))]
+    assert 0.5 < cover.share(small, AOI) < 0.75
+
+
+def test_parts_and_holes_of_catalogue_items(spark):
+    square = lambda w, s, e, n: [[w, s], [e, s], [e, n], [w, n], [w, s]]
+    shapes = [("Polygon", [square(0, 0, 10, 10), square(2, 2, 8, 8)]), ("MultiPolygon", [[square(0, 0, 4, 4)], [square(6, 6, 10, 10)]]), ("Point", [1, 2]), ("Polygon", [square(30, 30, 31, 31)])]
+    found = catalog.scenes(table(spark, [item(k, "2026-07-01", 5) | {"geometry": {"type": t, "coordinates": c}} for k, (t, c) in enumerate(shapes)])).withColumn("side", F.lit("before"))
+    assert [r.id for r in catalog.search(found, AOI, "2026-01-01", "2027-01-01").orderBy("seq").collect()] == ["S0", "S1"]
+    one = lambda k: catalog.coverage(found.where(F.col("seq") == k), AOI).first().coverage
+    assert [one(k) for k in range(4)] == pytest.approx([0.64, 0.32, 0, 0])
+    windows = [((3, 3, 7, 7), [1]), ((1, 1, 3, 3), [0, 1]), ((4.5, 4.5, 5.5, 5.5), []), ((9, 9, 12, 12), [0, 1]), ((30.2, 30.2, 30.4, 30.4), [3])]
+    for box, want in windows:
+        meets = found.where(grid.polygons_meet(F.col("geometry.coordinates"), *[F.lit(float(v)) for v in box]))
+        assert [r.seq for r in meets.orderBy("seq").collect()] == want, box
 
 
 def test_polygons_meet_boxes_as_dense_points_do(spark):
