@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop_table, materialize
+
 # Storage scale, cap and no-data code of the statistic; nominal looks; single-pass thresholds.
 SCALE, CAP, NODATA = 100, 320, -32768
 DB_CAP = 300
@@ -100,11 +102,53 @@ def looks_from_iqr(iqr: float, least: float = 0.5, most: float = 200.0) -> float
     return (least + most) / 2
 
 
+def order_values(samples: DataFrame, column: str, ranks: list[int], bins: int = 1 << 12, few: int = 1 << 14) -> list[float]:
+    """The values at the given places (from 0) of the samples in order, exactly, without a sort.
+
+    Each round counts the values of an interval in `bins` equal parts and goes on with the parts that hold a wanted
+    place, until at most `few` values are left there, which are looked at as they are. What reaches the driver is
+    counts and those few; samples should be a written table, as it is read once a round."""
+    x, found = F.col(column), {}
+    ends = samples.agg(F.min(x).alias("low"), F.max(x).alias("high")).first()
+    open_ = [(ends.low, ends.high, 0, sorted(set(ranks)))]  # the interval, the number of values below it, its places
+    while open_:
+        flat = [o for o in open_ if o[0] == o[1]]
+        found |= {r: low for low, _, _, own in flat for r in own}
+        open_ = [o for o in open_ if o[0] != o[1]]
+        parts = None
+        for k, (low, high, _, _) in enumerate(open_):
+            at = F.least(F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * bins), F.lit(bins - 1)).cast("int")  # halves: no overflow
+            one = samples.where(x.between(low, high)).groupBy(F.lit(k).alias("k"), at.alias("part")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+            parts = one if parts is None else parts.unionByName(one)
+        rows = sorted(parts.collect(), key=lambda r: (r.k, r.part)) if parts is not None else []
+        following = []
+        for k, (_, _, below, own) in enumerate(open_):
+            for r in (r for r in rows if r.k == k):
+                inside = [p for p in own if below <= p < below + r.n]
+                if inside and r.n <= few and r.low != r.high:
+                    values = sorted(v[0] for v in samples.where(x.between(r.low, r.high)).select(x).collect())
+                    found |= {p: values[p - below] for p in inside}
+                elif inside:
+                    following.append((r.low, r.high, below, inside))
+                below += r.n
+        open_ = following
+    return [found[r] for r in ranks]
+
+
 def quartiles(samples: DataFrame, column: str = "log_ratio") -> DataFrame:
-    """n, q25, q75 (exact, interpolated) of the finite values."""
-    x = F.col(column)
-    finite = samples.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return finite.agg(F.count("*").alias("n"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"))
+    """n, q25, q75 (exact, interpolated) of the finite values; null quartiles where there are none."""
+    x = F.col(column).cast("double")
+    finite = materialize(samples.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))).select(x.alias("x")), "samples")
+    n = finite.count()
+    row: tuple = (n, None, None)
+    if n:
+        # between two neighbours: rank (n - 1) p lies a share of the way from one to the next
+        exact = [(n - 1) * p for p in (0.25, 0.75)]
+        low, high = [math.floor(p) for p in exact], [math.ceil(p) for p in exact]
+        v = dict(zip(low + high, order_values(finite, "x", low + high)))
+        row = (n, *[v[a] if v[a] == v[b] else (b - p) * v[a] + (p - a) * v[b] for p, a, b in zip(exact, low, high)])
+    drop_table(finite)
+    return samples.sparkSession.createDataFrame([row], "n long, q25 double, q75 double")
 
 
 def estimate_looks(samples: DataFrame, column: str = "log_ratio", least_samples: int = 100) -> float:

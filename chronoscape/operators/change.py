@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .neighbourhood import moving_sum, scatter
+from .neighbourhood import window_sums
 
 
 def number_passes(days_before: list, days_after: list) -> list[tuple]:
@@ -35,10 +35,9 @@ def smoothed(sums: DataFrame, size: int, height: int, width: int, bands: tuple[s
     The window mean is linear, so passes are added up before the windows are: one neighbour shuffle whatever the
     number of passes.
     """
-    values = [f"{b}_{g}" for g in range(3) for b in bands] + [f"n_{g}" for g in range(3)]
-    got = scatter(sums, size, height, width).groupBy("row", "col")
-    own = [F.sum(F.when(F.col("_centre"), F.col(f"n_{g}")).otherwise(0)).alias(f"own_{g}") for g in range(3)]
-    return got.agg(*[F.sum(v).alias(v) for v in values], *own)
+    counts = [f"n_{g}" for g in range(3)]
+    got = window_sums(sums, [f"{b}_{g}" for g in range(3) for b in bands] + counts, size, height, width, own=counts)
+    return got.drop("centre").withColumnsRenamed({f"own_n_{g}": f"own_{g}" for g in range(3)})
 
 
 def compare(side: DataFrame, first: tuple[int, ...], second: tuple[int, ...], looks: float, size: int, bands: tuple[str, ...]) -> DataFrame:
@@ -72,7 +71,7 @@ def pixel_events(obs: DataFrame, n_before: int, looks: float, size: int, height:
 
     Only neighbours in the list of passes are compared, and only where the pixel itself was seen in both.
     """
-    each = moving_sum(obs.withColumn("n", F.lit(1)), [*bands, "n"], size, height, width, ["pass_idx"]).where("centre > 0").drop("centre")
+    each = window_sums(obs.withColumn("n", F.lit(1)), [*bands, "n"], size, height, width, ["pass_idx"]).drop("centre")
     later = each.select((F.col("pass_idx") - 1).alias("pass_idx"), "row", "col", *[F.col(c).alias(f"{c}_next") for c in (*bands, "n")])
     pairs = each.join(later, ["pass_idx", "row", "col"])
     scale = looks / (size * size)
@@ -107,7 +106,7 @@ def log_ratios(obs: DataFrame, size: int, height: int, width: int, bands=("vv",
     if latest is None:
         return obs.sparkSession.createDataFrame([], "log_ratio double")
     recent = obs.where(F.col("pass_idx") > latest - last)
-    each = moving_sum(recent.withColumn("n", F.lit(1)), [*bands, "n"], size, height, width, ["pass_idx"]).where(F.col("n") == size * size)
+    each = window_sums(recent.withColumn("n", F.lit(1)), [*bands, "n"], size, height, width, ["pass_idx"]).where(F.col("n") == size * size)
     later = each.select((F.col("pass_idx") - 1).alias("pass_idx"), "row", "col", *[F.col(b).alias(f"{b}_next") for b in bands])
     pairs = each.join(later, ["pass_idx", "row", "col"])
     return pairs.select(F.explode(F.array(*[F.ln(F.col(b) / F.col(f"{b}_next")) for b in bands])).alias("log_ratio"))

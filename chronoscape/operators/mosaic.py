@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, polygons_meet, ring_meets
+from ..storage import drop_table, materialize
 
 
 def valid(value: Column, nodata: Column | None = None) -> Column:
@@ -24,6 +27,42 @@ def mosaic(raw: DataFrame, bands: tuple[str, ...] = ("vv", "vh"), nodata: float
     return whole.groupBy("pass_idx", "row", "col").agg(best).select("pass_idx", "row", "col", *[f"best.{b}" for b in bands])
 
 
+def mosaic_in_rounds(tasks: DataFrame, read: Callable[[DataFrame], DataFrame], grid: Grid, tile: int = 1024, bands: tuple[str, ...] = ("vv", "vh"), nodata: float | None = None) -> DataFrame:
+    """The rows of `mosaic`, reading no scene for a tile that earlier scenes have filled.
+
+    tasks: pass_idx, scene_seq, tile_id (of `grid.tile_id`) of scenes that meet a tile; `read` gives the pixels
+    (pass_idx, row, col, bands) of such tasks. Round n reads the n-th scene of each tile that still has holes; only
+    pixels that no round before filled are added. There are as many rounds as scenes lie over one tile at most."""
+    place = F.row_number().over(Window.partitionBy("pass_idx", "tile_id").orderBy("scene_seq"))
+    queue = materialize(tasks.select("pass_idx", "scene_seq", "tile_id").distinct().withColumn("place", place), "mosaic-tasks")
+    last = queue.agg(F.max("place")).first()[0] or 0
+    missing = F.lit(nodata) if nodata is not None else None
+    sizes = grid.tiles(queue.sparkSession, tile).select("tile_id", (F.col("width") * F.col("height")).alias("size"))
+    done, holes = None, None
+    for turn in range(1, last + 1):
+        todo = queue.where(F.col("place") == turn)
+        if holes is not None:
+            todo = todo.join(holes, ["pass_idx", "tile_id"], "left_semi")
+            if todo.isEmpty():
+                break
+        got = read(todo.select("pass_idx", "scene_seq", "tile_id"))
+        for b in bands:
+            got = got.where(valid(F.col(b), missing))
+        got = got.select("pass_idx", "row", "col", *bands, grid.tile_id(F.col("row"), F.col("col"), tile).alias("tile_id"))
+        if done is not None:
+            got = got.join(done.join(holes, ["pass_idx", "tile_id"], "left_semi").select("pass_idx", "row", "col"), ["pass_idx", "row", "col"], "left_anti")
+        own = materialize(got, "mosaic-round")
+        done = own if done is None else done.unionByName(own)
+        filled = done.groupBy("pass_idx", "tile_id").agg(F.count("*").alias("n"))
+        before = holes
+        holes = materialize(queue.select("pass_idx", "tile_id").distinct().join(filled, ["pass_idx", "tile_id"], "left").join(sizes, "tile_id").where(F.coalesce("n", F.lit(0)) < F.col("size")).select("pass_idx", "tile_id"), "mosaic-holes")
+        if before is not None:
+            drop_table(before)
+    if done is None:
+        return read(queue.select("pass_idx", "scene_seq", "tile_id")).select("pass_idx", "row", "col", *bands)
+    return done.select("pass_idx", "row", "col", *bands)
+
+
 def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     """Pairs of scenes and windows (west, south, east, north each) whose boxes meet; touching counts. Scenes with a column
     ring (array<array<double>>) or polygons (arrays of rings, holes after the outer one) meet a window only if these do.

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as grids
-from ..functions import labels, stats
+from ..functions import labels, projection, stats
 from ..functions.grid import Grid
-from ..operators import catalog, change, detect, mosaic, neighbourhood, present
-from ..sources import adapters, catalogue
+from ..functions.projection import Raster
+from ..operators import catalog, change, detect, mosaic, neighbourhood, present, resample
+from ..sources import adapters, catalogue, geotiff
 from ..storage import Store, materialize, shared_dir
 from ..streaming import passes as streams
 from . import analysis
@@ -457,6 +458,45 @@ def q61_polygon_windows(spark, sf_dir):
     return mosaic.touching(scenes, windows).groupBy("tile_id").agg(F.count("*").alias("n_scenes"), F.min("seq").alias("first_seq"))
 
 
+def _utm_raster(grid: Grid) -> Raster:
+    """The grid's pixels laid out in zone 36 north, ten metres each, from the place of the grid's north-west corner."""
+    return Raster(32636, 301_400.0, 5_598_000.0, 10.0, -10.0, grid.width, grid.height)
+
+
+def q62_utm_and_back(spark, sf_dir):
+    """Pixels of a UTM image moved onto the grid and from there onto the image's own pixels again, by nearest neighbour."""
+    grid, obs = _obs(spark, sf_dir)
+    image, own = _utm_raster(grid), Raster.of_grid(grid)
+    there = resample.warp_nearest(obs, image, own)
+    return resample.warp_nearest(there, own, image).select("pass_idx", "row", "col", F.round("vv", 4).alias("vv"), F.round("vh", 4).alias("vh"))
+
+
+def q63_image_windows(spark, sf_dir):
+    """The passes written as tiled images, an image a band, and a window of them read again."""
+    grid, obs = _obs(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/chronoscape/images-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    path = F.concat(F.lit(f"{folder}/"), F.col("pass_idx"), F.lit("-"), F.col("x.band"), F.lit(".tif"))
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in B])).alias("x")
+    pixels = obs.select("pass_idx", "row", "col", bands).select(path.alias("path"), "row", "col", "x.value")
+    paths = [r.path for r in geotiff.write_images(pixels, _utm_raster(grid), 16, predictor=3).collect()]
+    h, w = grid.height, grid.width
+    got = geotiff.read_images(spark, paths, 4).where(f"row >= {h // 4} and row < {3 * h // 4} and col >= {w // 4} and col < {3 * w // 4}")
+    name = F.split(F.element_at(F.split("path", "/"), -1), "[-.]")
+    return got.select(name[0].cast("int").alias("pass_idx"), name[1].alias("polarisation"), "row", "col", F.round("value", 4).alias("value"))
+
+
+def q64_mosaic_rounds(spark, sf_dir):
+    """The mosaic once more, scene by scene, each read only for tiles that those before it left holes in."""
+    grid = adapters.grid_of(spark, sf_dir)
+    raw = adapters.raw_obs(spark, sf_dir, grid.width)
+    tile = grid.tile_id(F.col("row"), F.col("col"), 16).alias("tile_id")
+    read = lambda tasks: raw.withColumn("tile_id", tile).join(tasks, ["pass_idx", "scene_seq", "tile_id"], "left_semi")
+    got = mosaic.mosaic_in_rounds(raw.select("pass_idx", "scene_seq", tile), read, grid, 16)
+    return got.select("pass_idx", "row", "col", F.round("vv", 4).alias("vv"), F.round("vh", 4).alias("vh"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -585,6 +625,27 @@ st AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY orbit, h, seq, part O
 wd AS (SELECT orbit, h2 - h AS high, sum(step) OVER o AS n, lead(x, 1, 100) OVER o - x AS wide FROM st WINDOW o AS (PARTITION BY orbit, h ORDER BY x, seq, part, raw ROWS UNBOUNDED PRECEDING))"""
 
 
+def _utm_sql() -> str:
+    """there: the image's pixel (r, c) under each cell of the grid; back: the grid's cell (r, c) under each pixel of the image."""
+    image = _utm_raster(Grid(0, 0, 1, 1, 1))
+    k, a = 0.9996, projection.RECTIFYING
+    series = lambda table, f, g, sign: " ".join(f"{sign} {c!r}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(table, 1))
+    chi = " ".join(f"+ {c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(projection.TRUE_LATITUDE, 1))
+    ecc = f"{projection.ECCENTRICITY!r}::DOUBLE"
+    return f"""
+every AS (SELECT (i // w)::INT AS row, (i % w)::INT AS col, w, h FROM dim, range(100000) t(i) WHERE i < w * h),
+f1 AS (SELECT *, radians(({_lon_sql('col')}) - 33) AS lam, radians({_lat_sql('row')}) AS phi FROM every),
+f2 AS (SELECT *, sinh(atanh(sin(phi)) - {ecc} * atanh({ecc} * sin(phi))) AS t FROM f1),
+f3 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM f2),
+f4 AS (SELECT row, col, w, h, 500000 + {k * a!r}::DOUBLE * (eta {series(projection.TO_PLANE, 'cos', 'sinh', '+')}) AS x, {k * a!r}::DOUBLE * (xi {series(projection.TO_PLANE, 'sin', 'cosh', '+')}) AS y FROM f3),
+there AS (SELECT * FROM (SELECT row, col, w, h, floor(({image.y0!r}::DOUBLE - y) / 10)::INT AS r, floor((x - {image.x0!r}::DOUBLE) / 10)::INT AS c FROM f4) WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND w - 1),
+i1 AS (SELECT *, ({image.y0!r}::DOUBLE - (row + 0.5::DOUBLE) * 10) / {k * a!r}::DOUBLE AS xi, ({image.x0!r}::DOUBLE + (col + 0.5::DOUBLE) * 10 - 500000) / {k * a!r}::DOUBLE AS eta FROM every),
+i2 AS (SELECT row, col, w, h, xi {series(projection.FROM_PLANE, 'sin', 'cosh', '-')} AS xi, eta {series(projection.FROM_PLANE, 'cos', 'sinh', '-')} AS eta FROM i1),
+i3 AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi, radians(33) + atan2(sinh(eta), cos(xi)) AS lam FROM i2),
+i4 AS (SELECT row, col, w, h, lam, chi {chi} AS phi FROM i3),
+back AS (SELECT * FROM (SELECT row, col, w, h, floor(({_Y0} - 6378137 * ln(tan(pi() / 4 + phi / 2))) / {_SC})::INT AS r, floor((lam * 6378137 - {_X0}) / {_SC})::INT AS c FROM i4) WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND w - 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     base = lambda k: f"WITH RECURSIVE {_OBS}, {_box(k)}"
     ch = lambda k: f"{base(k)}, {_change(k, _FIRST, _SECOND)}"
@@ -696,4 +757,8 @@ def oracle_sql() -> dict[str, str]:
         m AS (SELECT tile_id, seq, part, bool_or(greatest(x, u) >= p AND least(x, u) <= p + 4 AND greatest(y, v) >= q AND least(y, v) <= q + 4 AND list_min(s) <= 0 AND list_max(s) >= 0) AS crosses,
             count(*) FILTER ((y > q) <> (v > q) AND p < (u - x) * (q - y) / (v - y) + x) % 2 = 1 AS holds FROM s GROUP BY tile_id, seq, part)
         SELECT tile_id, count(DISTINCT seq) AS n_scenes, min(seq) AS first_seq FROM m WHERE crosses OR holds GROUP BY 1"""
+    out["q64_mosaic_rounds"] = out["q16_mosaic"]
+    out["q62_utm_and_back"] = f"""WITH {_OBS}, {_utm_sql()}
+        SELECT o.pass_idx, b.row, b.col, round(o.vv, 4) AS vv, round(o.vh, 4) AS vh FROM back b JOIN there t ON t.row = b.r AND t.col = b.c JOIN obs o ON o.r = t.r AND o.c = t.c"""
+    out["q63_image_windows"] = f"WITH {_OBS} SELECT pass_idx, polarisation, r AS row, c AS col, round(value, 4) AS value FROM (SELECT pass_idx, r, c, unnest(['vv', 'vh']) AS polarisation, unnest([vv, vh]) AS value FROM obs), dim WHERE r >= h // 4 AND r < 3 * h // 4 AND c >= w // 4 AND c < 3 * w // 4"
     return out

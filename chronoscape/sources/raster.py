@@ -1,39 +1,41 @@
-"""Rasters to pixel tables. Reading GeoTIFF windows needs rasterio; without it, tables of pixels are the input."""
+"""Scenes' images to observations on the grid: windows of tiled images, moved by nearest neighbour."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-OBS = "pass_idx int, scene_seq long, row int, col int, vv double, vh double"
-
-
-def read_windows(tasks: DataFrame, crs: str = "EPSG:3857") -> DataFrame:
-    """Rows of OBS for tasks (pass_idx, scene_seq, vv_href, vh_href, row, col, height, width, a, c, e, f).
-
-    One task is one window of one scene: both bands are read by range requests, resampled to the grid by nearest
-    neighbour, and pixels without data in either band are left out.
-    """
-
-    def run(batches):
-        import rasterio
-        from rasterio.vrt import WarpedVRT
-
-        for batch in batches:
-            for t in batch.to_pylist():
-                bands = []
-                for href in (t["vv_href"], t["vh_href"]):
-                    transform = rasterio.Affine(t["a"], 0.0, t["c"], 0.0, t["e"], t["f"])
-                    with rasterio.open(href) as src, WarpedVRT(src, crs=crs, transform=transform, width=t["width"], height=t["height"]) as view:
-                        values = view.read(1).astype(np.float32)
-                        bad = ~np.isfinite(values) | (values <= 0)
-                        bands.append(np.where(bad | (values == src.nodata) if src.nodata is not None else bad, np.nan, values))
-                row, col = np.nonzero(np.isfinite(bands[0]) & np.isfinite(bands[1]))
-                n = len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t["pass_idx"], np.int32)), pa.array(np.full(n, t["scene_seq"], np.int64)), pa.array((row + t["row"]).astype(np.int32)), pa.array((col + t["col"]).astype(np.int32)), *[pa.array(b[row, col].astype(np.float64)) for b in bands]],
-                    names=[c.split()[0] for c in OBS.split(", ")],
-                )
-
-    return tasks.mapInArrow(run, OBS)
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.grid import Grid
+from ..functions.projection import Raster
+from ..operators.mosaic import valid
+from ..operators.resample import cells_of, places, warp_nearest
+from .geotiff import GeoTiffSource, read_header, read_images
+
+
+def observations(spark: SparkSession, images: list[tuple[int, int, str, str]], grid: Grid, bands: tuple[str, ...] = ("vv", "vh"), cells: DataFrame | None = None, tiles: int = 4, source: type[GeoTiffSource] = GeoTiffSource) -> DataFrame:
+    """pass_idx, scene_seq, row, col and bands on the grid, for images (pass_idx, scene_seq, band, path).
+
+    Images that lie alike are moved together. Of each, only tiles within the window that the wanted cells (row, col;
+    all by default) need are fetched. Pixels that lack a band, or that are not above zero in one, are left out."""
+    alike: dict[Raster, list] = {}
+    for pass_idx, scene, band, path in images:
+        header = read_header(path, source.fetch)
+        if header.raster is None or header.raster.epsg == 0:
+            raise ValueError(f"the image does not say where it lies: {path.split('?')[0]}")
+        alike.setdefault(header.raster, []).append((pass_idx, scene, band, path))
+    target, parts = Raster.of_grid(grid), []
+    wanted = cells if cells is not None else cells_of(spark, target)
+    for raster, own in alike.items():
+        box = places(wanted, raster, target).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("s_row", "s_col")]).first()
+        if box.min_s_row is None:
+            continue
+        pixels = read_images(spark, [x[3] for x in own], tiles, source)
+        pixels = pixels.where(F.col("row").between(box.min_s_row, box.max_s_row) & F.col("col").between(box.min_s_col, box.max_s_col) & (F.col("band") == 0))
+        names = F.broadcast(spark.createDataFrame(own, "pass_idx int, scene_seq long, name string, path string"))  # a row an image
+        values = [F.max(F.when(F.col("name") == b, F.col("value"))).alias(b) for b in bands]
+        whole = pixels.where(valid(F.col("value"))).join(names, "path").groupBy("pass_idx", "scene_seq", "row", "col").agg(*values).dropna()
+        parts.append(warp_nearest(whole, raster, target, wanted).select("pass_idx", "scene_seq", "row", "col", *bands))
+    empty = spark.createDataFrame([], "pass_idx int, scene_seq long, row int, col int, " + ", ".join(f"{b} double" for b in bands))
+    return reduce(DataFrame.unionByName, parts, empty)

@@ -143,48 +143,6 @@ def test_polygons_meet_boxes_as_dense_points_do(spark):
     assert 20 < sum(got.values()) < 130
 
 
-def test_raster_windows_with_a_reader_in_its_place(spark, monkeypatch):
-    """The real reader is optional; what is done with its numbers is tested on a fake one."""
-    import types
-
-    import numpy as np
-    from chronoscape.sources import raster
-
-    class Source:
-        nodata = 9.0
-
-        def __init__(self, href):
-            self.href = href
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *_):
-            return None
-
-    class View(Source):
-        def __init__(self, src, crs, transform, width, height):
-            self.href, self.shape = src.href, (height, width)
-
-        def read(self, band):
-            values = np.arange(1, self.shape[0] * self.shape[1] + 1, dtype=float).reshape(self.shape)
-            if self.href == "vv":
-                values[0, 0], values[0, 1] = np.nan, 0.0
-            return values  # nine is the value that stands for no data
-
-    fake = types.SimpleNamespace(open=Source, Affine=lambda *a: a, vrt=types.SimpleNamespace(WarpedVRT=View))
-    monkeypatch.setitem(sys.modules, "rasterio", fake)
-    monkeypatch.setitem(sys.modules, "rasterio.vrt", fake.vrt)
-    seen = {}
-    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: seen.update(f=f, schema=schema))
-    raster.read_windows(spark.range(1))
-    import pyarrow as pa
-
-    task = {"pass_idx": 1, "scene_seq": 7, "vv_href": "vv", "vh_href": "vh", "row": 10, "col": 20, "height": 3, "width": 4, "a": 10.0, "c": 0.0, "e": -10.0, "f": 0.0}
-    (batch,) = seen["f"]([pa.RecordBatch.from_pylist([task])])
-    got = {(r["row"], r["col"]): (r["vv"], r["vh"]) for r in batch.to_pylist()}
-    assert len(got) == 9 and (10, 20) not in got and (10, 21) not in got and (12, 20) not in got and got[10, 22] == (3.0, 3.0) and got[12, 23] == (12.0, 12.0)
-
 
 def test_mosaic_takes_the_first_whole_scene(spark):
     rows = [(0, 1, 0, 0, 1.0, None), (0, 2, 0, 0, 2.0, 2.5), (0, 3, 0, 0, 3.0, 3.5), (0, 1, 0, 1, float("nan"), 1.0), (0, 2, 0, 1, -1.0, 1.0), (0, 2, 0, 2, 5.0, 9.0), (1, 4, 0, 2, 6.0, 6.5)]
