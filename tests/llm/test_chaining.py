@@ -123,3 +123,55 @@ def test_awkward_rows(spark):
     got = chaining.repeated_passages(docs).collect()
     assert {r.doc_id for r in got} <= {4}
     assert chaining.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_unlike_text_parts_a_chain(spark):
+    """Texts with the same head and tail, and other words between them in one: both are found, however long the gap."""
+    rng = random.Random(21)
+    texts, want = [], {}
+    for k, gap in enumerate((0, 60, 150, 200, 400, 1000, 5000)):
+        head, tail = prose(rng, 300, 3000), prose(rng, 300, 3000)
+        texts += [f"{prose(rng, 30, 3000)} {head} {prose(rng, gap, 3000)} {tail}", f"{head} {prose(rng, gap, 3000)} {tail}"]
+        want[2 * k] = {30 + i for i in range(300)} | {330 + gap + i for i in range(300)}
+    found = {}
+    for r in chaining.repeated_passages(frame(spark, texts)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for doc, words in want.items():
+        assert len(words - found[doc]) <= 8, doc
+
+
+def test_align_parts_at_the_dearest_stretch():
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(10**6, 10**9, n)
+    a, b = word(80), word(90)
+    x, y = np.concatenate((a, word(100), b)), np.concatenate((a, word(120), b))
+    seeds = [(0, 0), (40, 40), (76, 76), (180, 200), (266, 286)]
+    got = sorted(chaining.align(x, y, seeds, 0.8, 50))
+    assert [(p, q) for p, _, q, _, _ in got] == [(0, 0), (180, 200)] and all(e - s >= 80 for s, e, *_ in got)
+    assert chaining.align(x, y, seeds, 0.8, 100) == []
+    assert chaining.align(x[:80], y[:80], [(0, 0), (30, 30)], 0.8, 50) == [(0, 80, 0, 80, 0)]
+
+
+def test_recall_at_random_edits():
+    """The share of pairs found, with a fifth of the words replaced at random places, by the steps of one pair of texts."""
+    rng = random.Random(6)
+    keys = np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64)
+
+    def passages(x, y):
+        (sx, px), (sy, py) = (chaining.seeds_of(h, np.zeros(len(h), np.int64), 1)[0] for h in (x, y))
+        places = {s: p for s, p in zip(sy.tolist(), py.tolist())}
+        met = [(p, places[s]) for s, p in zip(sx.tolist(), px.tolist()) if s in places]
+        runs = chaining.chain(np.array([m[0] for m in met]), np.array([m[1] for m in met])) if len(met) > 1 else []
+        return [q for run in runs if len(run) > 1 for q in chaining.align(x, y, [met[i] for i in run], 0.8, 50)]
+
+    draw = lambda n: keys[[rng.randrange(2000) for _ in range(n)]]
+    for n, least in ((60, 0.85), (80, 0.95), (120, 0.98)):
+        hits = 0
+        for _ in range(100):
+            p = draw(n)
+            q = p.copy()
+            for i in rng.sample(range(n), n // 5):
+                q[i] = keys[2000 + rng.randrange(1000)]
+            hits += bool(passages(np.concatenate((draw(200), p, draw(150))), np.concatenate((draw(100), q, draw(200)))))
+        assert hits / 100 >= least, (n, hits)
+    assert not any(passages(draw(600), draw(600)) for _ in range(30))
