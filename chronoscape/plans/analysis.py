@@ -88,7 +88,7 @@ def run(obs: DataFrame, params: Params, pass_days: list, n_before: int, grid: Gr
         tables["overview"] = change.overview(found["change"])
     progress(0.8, "storing")
     if store:
-        store.save(params, {"grid": grid.__dict__, "days": [str(d) for d in pass_days], "n_before": n_before, "looks": looks}, tables)
+        store.save(params, {"grid": grid.__dict__, "days": [str(d) for d in pass_days], "n_before": n_before, "looks": looks}, tables, grid)
         return run(obs, params, pass_days, n_before, grid, store)
     tables = {k: materialize(v, k) for k, v in tables.items()}
     return Result(params, grid, [str(d) for d in pass_days], n_before, looks, tables["pixel_change"], tables["pixel_events"], tables.get("overview"))

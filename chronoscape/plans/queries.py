@@ -497,6 +497,16 @@ def q64_mosaic_rounds(spark, sf_dir):
     return got.select("pass_idx", "row", "col", F.round("vv", 4).alias("vv"), F.round("vh", 4).alias("vh"))
 
 
+def q65_result_windows(spark, sf_dir):
+    """Two windows of a saved result that is laid out by tile; other tiles' files are not listed."""
+    grid, found = _compared(spark, sf_dir, 1)
+    store, params = _store(spark), _saved_params("tiles")
+    store.save(params, {}, {"pixel_change": found["change"].select(*STORED)}, grid, 8)
+    h, w = grid.height, grid.width
+    windows = spark.createDataFrame([("middle", h // 3, w // 3, 9, 9), ("corner", h - 4, w - 5, 100, 100), ("outside", h, 0, 5, 5)], "part string, row int, col int, height int, width int")
+    return store.load_windows(params, "pixel_change", windows)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -758,6 +768,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER ((y > q) <> (v > q) AND p < (u - x) * (q - y) / (v - y) + x) % 2 = 1 AS holds FROM s GROUP BY tile_id, seq, part)
         SELECT tile_id, count(DISTINCT seq) AS n_scenes, min(seq) AS first_seq FROM m WHERE crosses OR holds GROUP BY 1"""
     out["q64_mosaic_rounds"] = out["q16_mosaic"]
+    out["q65_result_windows"] = out["q01_pixel_change"].replace(" SELECT row, col, signed, change_db FROM ch", " SELECT part, row, col, signed, change_db FROM ch, (SELECT 'middle' AS part, h // 3 AS a, w // 3 AS b, 9 AS n FROM dim UNION ALL SELECT 'corner', h - 4, w - 5, 100 FROM dim) WHERE row >= a AND row < a + n AND col >= b AND col < b + n")
     out["q62_utm_and_back"] = f"""WITH {_OBS}, {_utm_sql()}
         SELECT o.pass_idx, b.row, b.col, round(o.vv, 4) AS vv, round(o.vh, 4) AS vh FROM back b JOIN there t ON t.row = b.r AND t.col = b.c JOIN obs o ON o.r = t.r AND o.c = t.c"""
     out["q63_image_windows"] = f"WITH {_OBS} SELECT pass_idx, polarisation, r AS row, c AS col, round(value, 4) AS value FROM (SELECT pass_idx, r, c, unnest(['vv', 'vh']) AS polarisation, unnest([vv, vh]) AS value FROM obs), dim WHERE r >= h // 4 AND r < 3 * h // 4 AND c >= w // 4 AND c < 3 * w // 4"

@@ -8,12 +8,18 @@ import re
 import tempfile
 import uuid
 from dataclasses import asdict
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .functions.grid import Grid
+
 VERSION = 1
 TABLES = ("pixel_change", "pixel_events", "overview")
+#: The partition column of tables laid out by tile.
+TILE = "tile"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,11 +66,20 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def save(self, params, header: dict, tables: dict[str, DataFrame]) -> str:
-        """The header goes last: a result without one was never finished and is not listed."""
+    def save(self, params, header: dict, tables: dict[str, DataFrame], grid: Grid | None = None, tile: int = 1024) -> str:
+        """The header goes last: a result without one was never finished and is not listed.
+
+        With a grid, tables of pixels (row, col) are laid out by tile (a folder and a file each, which a tile's pixels
+        bound), so that windows can be loaded on their own; `layout` in the header says so."""
         path = f"{self.root}/{cache_key(params)}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            if grid is not None and {"row", "col"} <= set(df.columns):
+                laid = df.withColumn(TILE, grid.tile_id(F.col("row"), F.col("col"), tile))
+                laid.repartition(TILE).write.mode("overwrite").partitionBy(TILE).parquet(f"{path}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if grid is not None:
+            header = header | {"layout": asdict(grid) | {"tile": tile}}
         row = (VERSION, params.label, json.dumps(asdict(params), default=str), json.dumps(header, default=str))
         self.spark.createDataFrame([row], "version int, label string, params string, header string").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
         return path
@@ -82,9 +97,34 @@ class Store:
         for name in TABLES:
             fs, p = self._fs(f"{path}/{name}")
             if fs.exists(p):
-                found[name] = self.spark.read.parquet(f"{path}/{name}")
+                found[name] = self.spark.read.parquet(f"{path}/{name}").drop(TILE)
         return json.loads(head.header), found
 
+    def load_windows(self, params, name: str, windows: DataFrame) -> DataFrame:
+        """The pixels of a table laid out by tile that lie in the windows (row, col, height, width and other columns, which
+        are kept), once a window.
+
+        Windows are turned into the tiles they meet and joined on the tile, which the table is partitioned by: Spark
+        learns the tiles from the windows and lists no other folder."""
+        path = f"{self.root}/{cache_key(params)}"
+        layout = json.loads(self.spark.read.parquet(f"{path}/header").first().header).get("layout")
+        if layout is None:
+            raise ValueError("the result is not laid out by tile")
+        size = layout["tile"]
+        across = -(-layout["width"] // size)
+        span = lambda start, length, most: F.explode(F.sequence(F.greatest(F.floor(F.col(start) / size), F.lit(0)), F.least(F.floor((F.col(start) + F.col(length) - 1) / size), F.lit((most - 1) // size))))
+        meets = (F.col("height") > 0) & (F.col("width") > 0) & (F.col("row") < layout["height"]) & (F.col("col") < layout["width"]) & (F.col("row") + F.col("height") > 0) & (F.col("col") + F.col("width") > 0)
+        met = windows.where(meets).withColumn("_tr", span("row", "height", layout["height"])).withColumn("_tc", span("col", "width", layout["width"]))
+        others = [c for c in windows.columns if c not in ("row", "col", "height", "width")]
+        met = met.select(*others, *[F.col(c).alias(f"_{c}") for c in ("row", "col", "height", "width")], (F.col("_tr") * across + F.col("_tc")).alias("_tile")).where("_tile >= 0")  # a filter on the windows' side is what tells Spark to prune by it
+        tiles = met.select(F.col("_tile").alias(TILE)).distinct()
+        if across * -(-layout["height"] // size) <= 100_000:  # as many rows at most, of a number each
+            tiles = F.broadcast(tiles)
+        pixels = self.spark.read.parquet(f"{path}/{name}")
+        inside = (F.col("row") >= F.col("_row")) & (F.col("row") < F.col("_row") + F.col("_height")) & (F.col("col") >= F.col("_col")) & (F.col("col") < F.col("_col") + F.col("_width"))
+        got = pixels.join(tiles, TILE, "left_semi").join(met, F.col(TILE) == F.col("_tile")).where(inside)
+        return got.select(*others, *[c for c in pixels.columns if c != TILE and c not in others])
+
     def saved(self) -> DataFrame:
         """key, label, params, modified of readable results of this version, newest first."""
         empty = self.spark.createDataFrame([], "key string, label string, params string, modified timestamp")

@@ -248,3 +248,37 @@ def test_quartiles_equal_the_built_in_ones(spark):
         want = fine.agg(F.count("*"), F.percentile("log_ratio", F.lit(0.25)), F.percentile("log_ratio", F.lit(0.75))).first()
         assert tuple(stats.quartiles(df).first()) == tuple(want)
     assert tuple(stats.quartiles(df.limit(0)).first()) == (0, None, None)
+
+
+def files_read(node):
+    """Files that each scan of a partitioned table has read, of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return files_read(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return files_read(node.plan())
+    if kind == "FileSourceScanExec":
+        return [node.metrics().get("numFiles").get().value()] if node.relation().partitionSchema().length() else []
+    return [n for i in range(node.children().size()) for n in files_read(node.children().apply(i))]
+
+
+def test_windows_of_a_result_list_their_tiles_only(spark, tmp_path):
+    from chronoscape.plans.analysis import Params
+    from chronoscape.storage import Store
+
+    grid = Grid(0.0, 0.0, 10.0, 50, 40)
+    pixels = spark.range(2000).select(F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"), F.col("id").alias("v"))
+    store, params = Store(spark, f"file://{tmp_path}"), Params("a", (1.0, 1.0, 2.0, 2.0), "2026-01-01", "2026-02-01")
+    store.save(params, {"x": 1}, {"pixel_change": pixels, "overview": pixels.select(F.col("v").alias("block"))}, grid, 8)
+    header, tables = store.load(params)
+    assert header["x"] == 1 and tables["pixel_change"].columns == ["row", "col", "v"] and tables["pixel_change"].count() == 2000
+    windows = spark.createDataFrame([(1, 7, 9, 3, 2), (2, -5, 45, 6, 90), (3, 40, 0, 1, 1), (4, 3, 3, 0, 5)], "w int, row int, col int, height int, width int")
+    got = store.load_windows(params, "pixel_change", windows)
+    inside = lambda w, r, c, h, n: {(w, i, j, i * 50 + j) for i in range(r, r + h) for j in range(c, c + n) if 0 <= i < 40 and 0 <= j < 50}
+    assert {tuple(r) for r in got.collect()} == inside(1, 7, 9, 3, 2) | inside(2, -5, 45, 6, 90)
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString().lower()
+    assert files_read(plan) == [2 + 2]
+    store.save(params, {}, {"pixel_change": pixels})
+    with pytest.raises(ValueError):
+        store.load_windows(params, "pixel_change", windows)
