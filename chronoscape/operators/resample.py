@@ -1,8 +1,11 @@
-"""Rasters moved onto other grids: for each pixel wanted, the source pixel under its centre."""
+"""Rasters moved onto other grids: by nearest neighbour, or with a kernel that weights the neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.projection import Raster, from_plane, to_plane
@@ -34,3 +37,46 @@ def warp_nearest(pixels: DataFrame, source: Raster, target: Raster, cells: DataF
     others = [c for c in pixels.columns if c not in ("row", "col")]
     own = pixels.withColumnsRenamed({"row": "s_row", "col": "s_col"})
     return own.join(at, ["s_row", "s_col"]).select(*[c for c in pixels.columns if c in others], "row", "col")
+
+
+def _box(x: Column) -> Column:
+    return F.when((x > -0.5) & (x <= 0.5), 1.0).otherwise(0.0)
+
+
+def _bilinear(x: Column) -> Column:
+    return F.greatest(1 - F.abs(x), F.lit(0.0))
+
+
+def _lanczos(x: Column) -> Column:
+    y = x * math.pi
+    return F.when(x == 0, 1.0).when(F.abs(x) < 3, F.sin(y) / y * (F.sin(y / 3) / (y / 3))).otherwise(0.0)
+
+
+#: Kernels and how far they reach.
+KERNELS = {"box": (_box, 0.5), "bilinear": (_bilinear, 1.0), "lanczos": (_lanczos, 3.0)}
+
+
+def taps(spark: SparkSession, kernel: str, n_out: int, n_in: int, start: float, step: float) -> DataFrame:
+    """out, at, weight: the source places that a place of the output draws on along one axis, with weights that add up to 1.
+
+    Output place k lies over the source from start + k * step on. Where the output is coarser than the source, the
+    kernel is stretched, so that no source pixel is passed over; what would reach beyond the source's ends is left out."""
+    shape, reach = KERNELS[kernel]
+    stretch = max(step, 1.0)
+    centre = (F.col("id") + 0.5) * step + start
+    first = F.greatest(F.floor(centre - reach * stretch + 0.5), F.lit(0))
+    last = F.least(F.floor(centre + reach * stretch + 0.5), F.lit(n_in)) - 1
+    each = spark.range(n_out).where(last >= first).select(F.col("id").cast("int").alias("out"), centre.alias("_c"), F.explode(F.sequence(first, last)).alias("_at"))
+    each = each.select("out", F.col("_at").cast("int").alias("at"), shape((F.col("_at") - F.col("_c") + 0.5) / stretch).alias("weight"))
+    total = each.groupBy("out").agg(F.sum("weight").alias("_all"))
+    return each.join(total, "out").select("out", "at", (F.col("weight") / F.col("_all")).alias("weight")).where("weight <> 0")
+
+
+def resize(pixels: DataFrame, values: Sequence[str], rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """out_row, out_col and the weighted sums of the values: pixels (row, col) through the taps of both axes.
+
+    One axis after the other, so a pixel meets a row's taps and then a column's, not their product; sums combine before
+    they are shuffled. Pixels that are not there count as zero; output pixels over nothing are not there."""
+    weighted = lambda: [F.sum(F.col(v) * F.col("weight")).alias(v) for v in values]
+    down = pixels.join(rows.select(F.col("out").alias("out_row"), F.col("at").alias("row"), "weight"), "row").groupBy("out_row", "col").agg(*weighted())
+    return down.join(cols.select(F.col("out").alias("out_col"), F.col("at").alias("col"), "weight"), "col").groupBy("out_row", "out_col").agg(*weighted())

@@ -13,7 +13,7 @@ from ..functions import grid as grids
 from ..functions import labels, projection, stats
 from ..functions.grid import Grid
 from ..functions.projection import Raster
-from ..operators import catalog, change, detect, mosaic, neighbourhood, present, resample
+from ..operators import catalog, change, detect, mosaic, neighbourhood, picture, present, resample
 from ..sources import adapters, catalogue, geotiff
 from ..storage import Store, materialize, shared_dir
 from ..streaming import passes as streams
@@ -427,7 +427,8 @@ def q57_backscatter(spark, sf_dir):
 
 def q58_radar_background(spark, sf_dir):
     grid = adapters.grid_of(spark, sf_dir)
-    return present.radar_background(q06_overview(spark, sf_dir), "before", 2.0, grid.height * 2, grid.width * 2)
+    got = present.radar_background(q06_overview(spark, sf_dir), "before", grid, grid.height * 2, grid.width * 2)
+    return got.select("out_row", "out_col", F.round("grey", 6).alias("grey"))
 
 
 def q59_tile_background(spark, sf_dir):
@@ -437,7 +438,8 @@ def q59_tile_background(spark, sf_dir):
     pixel = F.explode(F.sequence(F.lit(0), F.lit(255)))
     every = spark.createDataFrame(tiles, "x int, y int").withColumn("row", pixel).withColumn("col", pixel)
     coloured = every.select("x", "y", "row", "col", F.col("col").alias("r"), F.col("row").alias("g"), F.pmod(F.col("x") + F.col("y"), F.lit(256)).alias("b"))
-    return present.tile_background(coloured, grid, zoom, 32, 64)
+    got = present.tile_background(coloured, grid, zoom, tiles, 32, 64)
+    return got.select("out_row", "out_col", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
 def _polygon_scenes(spark, sf_dir):
@@ -507,6 +509,13 @@ def q65_result_windows(spark, sf_dir):
     return store.load_windows(params, "pixel_change", windows)
 
 
+def q66_picture(spark, sf_dir):
+    """The composed picture: radar background, changes, arrow and the panel below, at twice the grid's size."""
+    grid, found, flagged = _flagged(spark, sf_dir)
+    drawn = present.radar_background(change.overview(found["change"]), "after", grid, 2 * grid.height, 2 * grid.width)
+    return picture.picture(flagged, drawn, grid, 2 * grid.height, 2 * grid.width)[0]
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -635,6 +644,14 @@ st AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY orbit, h, seq, part O
 wd AS (SELECT orbit, h2 - h AS high, sum(step) OVER o AS n, lead(x, 1, 100) OVER o - x AS wide FROM st WINDOW o AS (PARTITION BY orbit, h ORDER BY x, seq, part, raw ROWS UNBOUNDED PRECEDING))"""
 
 
+def _taps(kernel: str, reach: int) -> str:
+    """tp (a, out, src, weight) of axes ax (a, n_out, n_in, start, step)."""
+    return f"""ct AS (SELECT *, (k + 0.5::DOUBLE) * step + start AS c, greatest(step, 1) AS s FROM (SELECT *, unnest(range(n_out)) AS k FROM ax)),
+        tr AS (SELECT a, k, c, s, unnest(range(greatest(floor(c - {reach} * s + 0.5::DOUBLE), 0)::BIGINT, least(floor(c + {reach} * s + 0.5::DOUBLE), n_in)::BIGINT)) AS src FROM ct),
+        tx AS (SELECT a, k, src, (src - c + 0.5::DOUBLE) / s AS x FROM tr), tk AS (SELECT a, k, src, {kernel} AS v FROM tx),
+        tp AS (SELECT a, k AS out, src, v / sum(v) OVER (PARTITION BY a, k) AS weight FROM tk)"""
+
+
 def _utm_sql() -> str:
     """there: the image's pixel (r, c) under each cell of the grid; back: the grid's cell (r, c) under each pixel of the image."""
     image = _utm_raster(Grid(0, 0, 1, 1, 1))
@@ -758,9 +775,32 @@ def oracle_sql() -> dict[str, str]:
     out["q56_badges"] = out["q13_captions"].replace("SELECT label AS spot_id, ", "SELECT label AS spot_id, round(col * 2, 4) AS x, round(row * 2, 4) AS y, times_changed AS times, ") + " ORDER BY round(area_m2, 3) DESC, label LIMIT 300"
     level = out["q06_overview"]
     out["q57_backscatter"] = f"SELECT block_row AS row, block_col AS col, after AS r, after AS g, after AS b, CASE WHEN after > 0 THEN 255 ELSE 0 END AS a FROM ({level})"
-    out["q58_radar_background"] = f"WITH RECURSIVE {_OBS}, px AS (SELECT (i // (w * 2))::INT AS r, (i % (w * 2))::INT AS c FROM dim, range(400000) t(i) WHERE i < w * h * 4) SELECT r AS out_row, c AS out_col, coalesce(before, 0) AS grey FROM px LEFT JOIN ({level}) o ON block_row = r // 8 AND block_col = c // 8"
-    out["q59_tile_background"] = f"""WITH {_OBS}, sz AS (SELECT w, h FROM dim), {tiles('64')}, px AS (SELECT i // 64 AS r, i % 64 AS c, floor((l + (c + 0.5::DOUBLE) * dx / 64) * 256 * pow(2, zoom))::BIGINT AS x, floor((t + (r + 0.5::DOUBLE) * dy / 32) * 256 * pow(2, zoom))::BIGINT AS y FROM best, range(2048) u(i))
-        SELECT r AS out_row, c AS out_col, x % 256 AS r, y % 256 AS g, (x // 256 + y // 256) % 256 AS b FROM px"""
+    out["q58_radar_background"] = f"""WITH RECURSIVE {_OBS}, ov AS ({level}), ax AS (SELECT 'r' AS a, h * 2 AS n_out, (h + 3) // 4 AS n_in, 0.0::DOUBLE AS start, h / 4.0::DOUBLE / (h * 2) AS step FROM dim UNION ALL SELECT 'c', w * 2, (w + 3) // 4, 0.0, w / 4.0::DOUBLE / (w * 2) FROM dim),
+        {_taps('greatest(1 - abs(x), 0)', 1)}
+        SELECT out_row, out_col, round(coalesce(grey, 0), 6) AS grey FROM (SELECT (i // (w * 2))::INT AS out_row, (i % (w * 2))::INT AS out_col FROM dim, range(400000) t(i) WHERE i < w * h * 4)
+        LEFT JOIN (SELECT r.out AS out_row, c.out AS out_col, sum(before * r.weight * c.weight) AS grey FROM ov JOIN tp r ON r.a = 'r' AND r.src = block_row JOIN tp c ON c.a = 'c' AND c.src = block_col GROUP BY 1, 2) USING (out_row, out_col)"""
+    out["q59_tile_background"] = f"""WITH {_OBS}, sz AS (SELECT w, h FROM dim), {tiles('64')}, ax AS (SELECT 'r' AS a, 32 AS n_out, (y2 - y1 + 1) * 256 AS n_in, (t * pow(2, zoom) - y1) * 256 AS start, dy * pow(2, zoom) * 256 / 32 AS step, y1 AS first FROM best UNION ALL SELECT 'c', 64, (x2 - x1 + 1) * 256, (l * pow(2, zoom) - x1) * 256, dx * pow(2, zoom) * 256 / 64, x1 FROM best),
+        {_taps('CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * (sin(pi() * x / 3) / (pi() * x / 3)) ELSE 0 END', 3)},
+        pr AS (SELECT out, src + first * 256 AS src, weight, tp.a FROM tp JOIN ax USING (a))
+        SELECT out_row, out_col, round(greatest(least(r, 255), 0), 6) AS r, round(greatest(least(g, 255), 0), 6) AS g, round(greatest(least(b, 255), 0), 6) AS b FROM (SELECT y.out AS out_row, x.out AS out_col, sum(x.weight * y.weight * (x.src % 256)) AS r, sum(x.weight * y.weight * (y.src % 256)) AS g, sum(x.weight * y.weight * ((x.src // 256 + y.src // 256) % 256)) AS b FROM pr x JOIN pr y ON x.a = 'c' AND y.a = 'r' GROUP BY 1, 2)"""
+    metres = f"({_SC} * cos(radians(({_LAT}::DOUBLE + degrees(2 * atan(exp(({_Y0} - h * {_SC}) / 6378137)) - pi() / 2)) / 2)) / 2)"
+    marked = lambda name, up: f"{name} AS (SELECT *, (SELECT count(*) FROM m x WHERE x.increased = m.increased AND abs(x.r - m.r) + abs(x.c - m.c) = 1) < 4 AS rim FROM m WHERE increased = {up})"
+    shade = lambda under, t, colour: f"CASE WHEN {t}.rim THEN {colour} * 0.6::DOUBLE WHEN {t}.r IS NOT NULL THEN {under} * 0.25::DOUBLE + {colour} * 0.75::DOUBLE ELSE {under} END"
+    rows = out["q58_radar_background"].replace(f"WITH RECURSIVE {_OBS}, ov AS ({level})", f"{ch(3)}, ov AS ({level[len(ch(3)):]})")
+    cut = rows.index("SELECT out_row, out_col, round(coalesce(grey, 0), 6) AS grey")
+    sides = ", ".join(f"({', '.join(map(str, e))})" for e in ((0, -1, -0.6, 0.6), (-0.6, 0.6, 0, 0.2), (0, 0.2, 0.6, 0.6), (0.6, 0.6, 0, -1)))
+    out["q66_picture"] = f"""{rows[:cut].replace('sum(before', 'sum(after').rstrip()},
+        bg AS ({rows[cut:].replace('sum(before', 'sum(after')}), {_detected(BALANCED)},
+        m AS (SELECT DISTINCT increased, row * 2 + a AS r, col * 2 + b AS c FROM det, range(2) x(a), range(2) y(b)), {marked('dn', 'false')}, {marked('up', 'true')},
+        pt AS (SELECT out_row, out_col, {', '.join(f"{shade(shade('floor(grey + 0.5::DOUBLE)', 'dn', d), 'up', u)} AS {n}" for n, d, u in (('r', 255, 0), ('g', 59, 200), ('b', 48, 255)))} FROM bg LEFT JOIN dn ON dn.r = out_row AND dn.c = out_col LEFT JOIN up ON up.r = out_row AND up.c = out_col),
+        sz AS (SELECT w * 2 AS ow, h * 2 AS oh, w * 2 / 60.0::DOUBLE AS s, greatest(1, w * 2 // 140) AS u, w * 2 * 3 // 5 AS lft, {metres} AS mpp FROM dim),
+        ed AS (SELECT (ow - 2 * s) + a * s AS x, 1.6::DOUBLE * s + b * s AS y, (ow - 2 * s) + c * s AS u, 1.6::DOUBLE * s + d * s AS v FROM sz, (VALUES {sides}) t(a, b, c, d)),
+        ar AS (SELECT p.out_row, p.out_col FROM bg p JOIN ed ON (y > out_row + 0.5::DOUBLE) <> (v > out_row + 0.5::DOUBLE) AND out_col + 0.5::DOUBLE < (u - x) * (out_row + 0.5::DOUBLE - y) / (v - y) + x GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+        ac AS (SELECT *, (SELECT count(*) FROM ar x WHERE abs(x.out_row - ar.out_row) + abs(x.out_col - ar.out_col) = 1) < 4 AS rim FROM ar),
+        bar AS (SELECT *, least(floor(coalesce((SELECT min(v) FROM (SELECT unnest({list(labels.NICE)}) AS v) WHERE v >= ow * 0.15::DOUBLE * mpp), {labels.LONGEST}) / mpp), ow - lft) AS len FROM sz),
+        pn AS (SELECT (oh + i // ow)::INT AS out_row, (i % ow)::INT AS out_col, i // ow AS r, i % ow AS c, u, lft, len FROM bar, range(1000000) t(i) WHERE i < ow * 12 * u),
+        pk AS (SELECT out_row, out_col, CASE WHEN c >= lft AND c < lft + 2 * u AND r >= u AND r < 3 * u THEN [255, 59, 48] WHEN c >= lft AND c < lft + 2 * u AND r >= 4 * u AND r < 6 * u THEN [0, 200, 255] WHEN c >= lft AND c < lft + len AND r >= 8 * u AND r < 9 * u THEN [0, 0, 0] ELSE [255, 255, 255] END AS k FROM pn)
+        SELECT out_row, out_col, {', '.join(f'CASE WHEN ac.rim THEN 0 WHEN ac.out_row IS NOT NULL THEN 255 ELSE floor({n}) END::INT AS {n}' for n in 'rgb')} FROM pt LEFT JOIN ac USING (out_row, out_col) UNION ALL SELECT out_row, out_col, k[1], k[2], k[3] FROM pk"""
     out["q60_polygon_cover"] = f"WITH {_AREAS}, {_COVER}, k AS (SELECT orbit, sum(wide * high) FILTER (n > 0) / 10000 AS c FROM wd GROUP BY 1) SELECT orbit, round(coalesce(c, 0), 8) AS coverage FROM (SELECT DISTINCT orbit FROM sup) LEFT JOIN k USING (orbit)"
     out["q61_polygon_windows"] = f"""WITH {_AREAS}, wn AS (SELECT i AS tile_id, (i % 20) * 5 AS p, (i // 20) * 5 AS q FROM range(400) t(i)),
         s AS (SELECT *, [(u - x) * (q - y) - (v - y) * (p - x), (u - x) * (q - y) - (v - y) * (p + 4 - x), (u - x) * (q + 4 - y) - (v - y) * (p - x), (u - x) * (q + 4 - y) - (v - y) * (p + 4 - x)] AS s FROM ed, wn),
