@@ -2,9 +2,9 @@
 
 A line (trimmed of blanks, at least `min_chars` long) that stands on `min_sites` or more distinct sites is
 boilerplate and goes. Spread is measured by HyperLogLog: each line hash gets a sketch of its sites, built per task and
-merged by aggregation. Where the estimate is within `band` of the threshold, the distinct sites are counted exactly,
-so the result is exact unless a sketch is off by more than the band. Lines of one site only, known from the least and
-greatest site hash, need no sketch.
+merged by aggregation. Only lines whose estimate is within `band` of the threshold have their distinct sites counted
+exactly, so the result is exact unless a sketch is off by more than the band. Lines of one site only, known from the
+least and greatest site hash, need no sketch.
 
 A document that would lose more than `max_share` of its characters is left whole: it is a copy rather than a text with
 boilerplate in it, and document deduplication judges copies.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, private, sized
+from .common import drop_table, hash128, materialize, private, sized
 
 #: Sketch size: 2^12 registers, a standard error of 1.6 %.
 LG_K = 12
@@ -46,13 +46,19 @@ def boilerplate(docs: DataFrame, min_sites: int = 6, min_chars: int = 2, band: f
     lines = _lines(docs, min_chars).where("site is not null")
     site = F.xxhash64("site")
     spread = lines.groupBy("h1", "h2").agg(F.min(site).alias("a"), F.max(site).alias("b")).where("a <> b" if min_sites > 1 else "true").select("h1", "h2")
-    spread = sized(materialize(spread, "lines-spread"))
-    cells = materialize(lines.join(spread, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")), "lines-cells")
-    estimate = materialize(cells.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")), "lines-estimate")
-    sure = estimate.where(F.col("sites") > min_sites * (1 + band))
-    near = estimate.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band)))
-    exact = cells.join(sized(near.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return materialize(sure.select("h1", "h2").unionByName(exact.select("h1", "h2")), "lines-boilerplate")
+    spread = materialize(spread, "lines-spread")
+    shared = lines.join(sized(spread), ["h1", "h2"], "left_semi")
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K))  # of each task's lines first: no row a line and site is shuffled
+    estimate = materialize(shared.groupBy("h1", "h2").agg(sketch.alias("sites")), "lines-estimate")
+    drop_table(spread)
+    found = estimate.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
+    near = materialize(estimate.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2"), "lines-near")
+    if not near.isEmpty():
+        exact = lines.join(sized(near), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+        found = found.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
+    found = materialize(found, "lines-boilerplate")
+    drop_table(estimate, near)
+    return found
 
 
 def remove_lines(docs: DataFrame, min_sites: int = 6, min_chars: int = 2, band: float = 0.15, max_share: float = 0.5, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

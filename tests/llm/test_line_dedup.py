@@ -52,3 +52,17 @@ def test_awkward_rows(spark):
     got = line_dedup.remove_lines(docs).collect()
     assert len(got) == 10 and all(r.n_removed == 0 for r in got) and "piece" in got[0].asDict()
     assert line_dedup.remove_lines(awkward(spark).limit(0)).count() == 0
+
+
+def test_sites_are_counted_exactly_only_near_the_threshold(spark, monkeypatch):
+    """Lines on far fewer or far more sites than the threshold are settled by their sketches."""
+    rows = [(i, f"on {n} sites", "en", f"s{k}", 0) for i, (n, k) in enumerate((n, k) for n in (1, 2, 5, 6, 7, 30) for k in range(n))]
+    asked = []
+    own = line_dedup.sized
+    monkeypatch.setattr(line_dedup, "sized", lambda df: (asked.append((df.columns, df.count())), own(df))[1])
+    docs = spark.createDataFrame(rows, DOCS)
+    found = line_dedup.boilerplate(docs).collect()
+    assert len(found) == 3  # on 6, 7 and 30
+    assert asked == [(["h1", "h2"], 5), (["h1", "h2"], 1)]  # shared lines; of these, near the threshold
+    asked.clear()
+    assert line_dedup.boilerplate(docs.where("text != 'on 6 sites'")).count() == 2 and len(asked) == 1
