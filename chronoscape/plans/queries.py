@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,15 +219,22 @@ def q30_pass_history(spark, sf_dir):
 
 
 def q31_threshold_table(spark, sf_dir):
-    """The presets with their thresholds and least patch sizes."""
+    """The presets with their thresholds, least patch sizes, and the pixels that pass each."""
     rows = [(n, round(stats.chi2_threshold(d.alpha, 2), 9), d.min_db, d.min_pixels) for n, d in detect.PRESETS.items()]
-    return spark.createDataFrame(rows, "name string, threshold double, min_db double, min_pixels long")
+    table = spark.createDataFrame(rows, "name string, threshold double, min_db double, min_pixels long")
+    compared = _compared(spark, sf_dir, 3)[1]["change"]
+    stat, _, valid = stats.decode(F.col("signed"))
+    passing = [F.sum((valid & (stat > stats.chi2_threshold(d.alpha, 2)) & (F.abs(F.col("change_db") / 100.0) >= d.min_db)).cast("long")).alias(n) for n, d in detect.PRESETS.items()]
+    counts = compared.agg(*passing).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, detect.PRESETS)), F.array(*detect.PRESETS))).alias("name", "pixels"))
+    return table.join(counts, "name")
 
 
 def q32_areas(spark, sf_dir):
-    """The named areas with size and grid."""
+    """The named areas with size and grid, and what the passes chosen for each orbit would take to download there."""
     rows = [(n, *b, round(grids.area_km2(b), 6), grids.Grid.over(b).pixels) for n, b in grids.AREAS.items()]
-    return spark.createDataFrame(rows, "name string, west double, south double, east double, north double, km2 double, pixels long")
+    areas = spark.createDataFrame(rows, "name string, west double, south double, east double, north double, km2 double, pixels long")
+    days = q20_selected_days(spark, sf_dir).groupBy("orbit").agg(F.count("*").alias("reads"))
+    return days.crossJoin(F.broadcast(areas)).select("name", "west", "south", "east", "north", "km2", "pixels", "orbit", F.round(F.col("pixels") * 2 * F.col("reads") * catalog.PIXEL_BYTES / 1e6, 3).alias("mb"))  # three areas
 
 
 def q33_drawn_bounds(spark, sf_dir):
@@ -285,10 +294,16 @@ def q40_finite_samples(spark, sf_dir):
 
 
 def q41_looks_table(spark, sf_dir):
-    """The scatter of log ratios that so many looks have, and the looks told from that scatter."""
-    spread = [stats.log_ratio_iqr(float(n)) for n in range(1, 9)]
-    rows = [(n, round(x, 8), round(stats.looks_from_iqr(x), 5)) for n, x in enumerate(spread, 1)]
-    return spark.createDataFrame(rows, "n long, iqr double, looks double")
+    """The scatter of log ratios that so many looks have, and the looks told from that scatter: as many looks as orders have lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("orders"))
+
+    def spread(batches):
+        for batch in batches:
+            n = batch.column(0).to_pylist()
+            iqr = [stats.log_ratio_iqr(float(x)) for x in n]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([round(x, 8) for x in iqr]), pa.array([round(stats.looks_from_iqr(x), 5) for x in iqr])], names=["n", "orders", "iqr", "looks"])
+
+    return lines.mapInArrow(spread, "n long, orders long, iqr double, looks double")
 
 
 def q42_sample_windows(spark, sf_dir):
@@ -303,12 +318,20 @@ def q43_measured_looks(spark, sf_dir):
     return spark.createDataFrame([(change.measure_looks(before, 1, grid.height, grid.width, B),)], "looks double")
 
 
-_FIT = {"point": (30.0, 50.0, 30.0, 50.0), "fits": (30.0, 50.0, 30.2, 50.2), "wide": (20.0, 40.0, 40.0, 60.0), "thin": (30.0, 50.0, 31.0, 50.01)}
+def q44_fitted_areas(spark, sf_dir):
+    """Areas about the suppliers, from points to whole countries, each enlarged or trimmed until it can be analysed."""
+    k = F.col("s_suppkey")
+    lon, lat = (k * 37) % 120 - 60.0, (k * 53) % 100 - 50.0
+    wide, high = (k % 7) * (k % 5) * 0.125, (k % 11) * 0.0625
+    boxes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("seq"), (lon - wide).alias("west"), (lat - high).alias("south"), (lon + wide).alias("east"), (lat + high).alias("north"))
 
+    def fit(batches):
+        for batch in batches:
+            got = [grids.fit_area(b) for b in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            sides = [pa.array([b[i] for b, _ in got], pa.float64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides, pa.array([note for _, note in got], pa.string())], names=["seq", "west", "south", "east", "north", "note"])
 
-def q44_fitted_areas(spark, sf_dir):
-    rows = [(n, *fitted, note) for n, b in _FIT.items() for fitted, note in [grids.fit_area(b)]]
-    return spark.createDataFrame(rows, "name string, west double, south double, east double, north double, note string")
+    return boxes.mapInArrow(fit, "seq long, west double, south double, east double, north double, note string")
 
 
 def q45_web_tiles(spark, sf_dir):
@@ -334,20 +357,36 @@ def q46_result_round_trip(spark, sf_dir):
 
 
 def q47_saved_results(spark, sf_dir):
-    """Saved results, newest first; one of another version is left out."""
-    store = _store(spark)
-    for label in ("first", "second"):
-        store.save(_saved_params(label), {}, {})
+    """Comparisons saved under two names, listed newest first with the pixels they hold; one of another version is left out."""
+    store, found = _store(spark), materialize(q01_pixel_change(spark, sf_dir), "compared")
+    for label, tables in (("first", {"pixel_change": found}), ("second", {"pixel_change": found.where("change_db > 0")})):
+        store.save(_saved_params(label), {}, tables)
     old = spark.createDataFrame([(0, "old", "{}", "{}")], "version int, label string, params string, header string")
     old.coalesce(1).write.parquet(f"{store.root}/old/header")
+    pixels = None
+    for label in ("first", "second"):
+        one = store.load(_saved_params(label))[1]["pixel_change"].agg(F.lit(label).alias("label"), F.count("*").alias("pixels"))
+        pixels = one if pixels is None else pixels.unionByName(one)
     place = F.row_number().over(Window.orderBy(F.desc("modified")))  # a row for each saved result
-    return store.saved().select(place.alias("place"), "key", "label")
+    return store.saved().select(place.alias("place"), "key", "label").join(pixels, "label")
 
 
 def q48_request_problems(spark, sf_dir):
-    asked = {"good": {}, "backwards": {"start": "2026-09-01"}, "early": {"start": "2014-01-01"}, "no band": {"bands": ()}, "late": {"end": "2030-01-01"}, "many": {"images": 21}, "filter": {"smooth": 2}}
-    rows = [(n, text) for n, more in asked.items() for text in analysis.problems(replace(_saved_params(n), **more), dt.date(2026, 11, 1)) or [None]]
-    return spark.createDataFrame(rows, "name string, problem string")
+    """What is wrong with requests made of orders: their dates, images a side and filters; a row without text where nothing is."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    start = F.date_add(F.to_date("o_orderdate"), 7200)
+    asked = o.select("o_orderkey", start.cast("string").alias("start"), F.date_add(start, (F.col("o_custkey") % 90 - 10).cast("int")).cast("string").alias("end"), (F.col("o_orderkey") % 23).alias("images"), (F.col("o_custkey") % 6).alias("smooth"))
+
+    def check(batches):
+        for batch in batches:
+            keys, texts = [], []
+            for key, start, end, images, smooth in zip(*(c.to_pylist() for c in batch.columns)):
+                found = analysis.problems(replace(_saved_params("x"), start=start, end=end, images=images, smooth=smooth), dt.date(2016, 11, 1))
+                keys += [key] * max(1, len(found))
+                texts += found or [None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["o_orderkey", "problem"])
+
+    return asked.mapInArrow(check, "o_orderkey long, problem string")
 
 
 class _Offline(catalogue.CatalogueSource):
@@ -359,26 +398,49 @@ class _Offline(catalogue.CatalogueSource):
 
 
 def q49_catalogue_search(spark, sf_dir):
-    """A paged catalogue read in parts, the days narrowed by the filter."""
+    """A paged catalogue of the orders' features, read in parts, the days narrowed by the filter."""
     catalogue.register(spark, _Offline)
-    options = {"url": "http://offline/search", "bbox": "[0, 0, 1, 1]", "start": "2026-01-01", "end": "2026-03-01", "partitions": "3"}
-    got = spark.read.format("offline_catalogue").options(**options).load().where("day >= '2026-01-10' and day < '2026-02-20'")
+    folder = adapters.catalogue_files(spark, sf_dir, f"{shared_dir(spark)}/chronoscape/catalogue-{uuid.uuid4().hex}")
+    options = {"url": folder, "bbox": "[0, 0, 1, 1]", "start": "1995-01-01", "end": "1995-05-01", "partitions": "3"}
+    got = spark.read.format("offline_catalogue").options(**options).load().where("day >= '1995-01-20' and day < '1995-03-01'")
     return got.select(F.col("day").cast("string").alias("day"), F.get_json_object("item", "$.id").alias("id"))
 
 
 def q50_signed_links(spark, sf_dir):
-    """Links with a token that has to be renewed, and links of other kinds."""
-    clock = iter(dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m) for m in (0, 30, 54, 56, 60))
-    tokens = iter([{"token": f"sig={k}", "msft:expiry": f"2026-01-01T0{k}:00:00Z"} for k in (1, 2)])
-    signer = catalogue.Signer("http://token", lambda *_: next(tokens), lambda: next(clock))
-    links = ["http://h/a", "https://h/b?x=1", "/local/c.tif", "file:///d.tif", "http://h/e", "http://h/f?", "s3://bucket/g", "http://h/i"]
-    return spark.createDataFrame([(x, signer.sign(x)) for x in links], "link string, signed string")
+    """Links to the orders' images, signed with a token where they lead to the web; the token is renewed when it runs out."""
+    k = F.col("seq")
+    link = F.when(k % 5 == 0, F.concat(F.lit("/local/"), k)).when(k % 5 == 1, F.concat(F.lit("https://h/"), k, F.lit("?x=1"))).when(k % 5 == 2, F.concat(F.lit("s3://bucket/"), k)).otherwise(F.concat(F.lit("http://h/"), k))
+
+    def sign(batches):
+        for batch in batches:
+            signed = []
+            for key, href in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                clock = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=key % 70)
+                tokens = iter([{"token": f"sig={n}", "msft:expiry": f"2026-01-01T0{n}:00:00Z"} for n in (1, 2)])
+                times = iter([dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc), clock])
+                signer = catalogue.Signer("http://token", lambda *_: next(tokens), lambda: next(times))
+                signer.sign("http://h/first")  # asks for the first token at midnight
+                signed.append(signer.sign(href))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.string())], names=["seq", "link", "signed"])
+
+    return _scenes(spark, sf_dir).select(k, link.alias("link")).mapInArrow(sign, "seq long, link string, signed string")
 
 
 def q51_places(spark, sf_dir):
-    reply = [{"display_name": n, "boundingbox": [str(50.0 + k), str(50.5 + k), str(30.0 + k), str(30.25 + k)]} for k, n in enumerate(("Here", "There"))]
-    rows = [(n, *box) for n, box in catalogue.search_places("here", "http://places", lambda *_: reply)]
-    return spark.createDataFrame(rows, "name string, west double, south double, east double, north double")
+    """Places in replies of a place service, here the nations of each region, with bounds in the service's order."""
+    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    south, west = F.col("n_nationkey") * 2.5 - 30, F.col("n_nationkey") * 5.25 - 60
+    box = F.array(*[v.cast("string") for v in (south, south + 2, west, west + 4.5)])
+    place = F.struct(F.col("n_name").alias("display_name"), box.alias("boundingbox"))
+    replies = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.to_json(F.collect_list(place)).alias("reply"))
+
+    def ask(batches):
+        for batch in batches:
+            rows = [(region, name, *box) for region, reply in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for name, box in catalogue.search_places(region, "http://places", lambda *_, text=reply: json.loads(text))]
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(cols)], names=["query", "name", "west", "south", "east", "north"])
+
+    return replies.mapInArrow(ask, "query string, name string, west double, south double, east double, north double")
 
 
 def q52_plan_gaps(spark, sf_dir):
@@ -408,12 +470,21 @@ def q54_unusable_pixels(spark, sf_dir):
 
 
 def q55_legend(spark, sf_dir):
-    rows = []
-    for width in (800, 1400, 2400):
-        for metres in (1.0, 10.0, 37.0, 900.0):
-            got = present.legend("Area", "2026-07-04", "2026-08-04", "Balanced", BALANCED, width // 800, metres, width)
-            rows.append((width, metres, got["title"], got["dates"], got["scale"], got["detection"], got["spots"]))
-    return spark.createDataFrame(rows, "width long, metres double, title string, dates string, scale string, detection string, spots string")
+    """Legends of a picture for each nation: as many spots as it has suppliers, pictures and pixels of several sizes."""
+    n, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    counted = n.join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("n_spots"))
+    asked = counted.select("n_name", "n_spots", (F.col("n_nationkey") * 64 + 800).alias("width"), F.element_at(F.array(*map(F.lit, (1.0, 10.0, 37.0, 900.0))), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("metres"))
+
+    def draw(batches):
+        for batch in batches:
+            rows = []
+            for name, spots, width, metres in zip(*(c.to_pylist() for c in batch.columns)):
+                got = present.legend(name, "2026-07-04", "2026-08-04", "Balanced", BALANCED, spots, metres, width)
+                rows.append((width, metres, got["title"], got["dates"], got["scale"], got["detection"], got["spots"]))
+            cols, kinds = list(zip(*rows)) or [()] * 7, [pa.int64(), pa.float64()] + [pa.string()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["width", "metres", "title", "dates", "scale", "detection", "spots"])
+
+    return asked.mapInArrow(draw, "width long, metres double, title string, dates string, scale string, detection string, spots string")
 
 
 def q56_badges(spark, sf_dir):
@@ -713,13 +784,13 @@ def oracle_sql() -> dict[str, str]:
         "q28_date_labels": "WITH u AS (SELECT user_id, min(ts)::DATE AS f, max(ts)::DATE AS l, count(DISTINCT ts::DATE) AS n FROM events GROUP BY 1) SELECT user_id, CASE WHEN f = l THEN strftime(f, '%-d %b %Y') ELSE CASE WHEN year(f) = year(l) THEN strftime(f, '%-d %b') ELSE strftime(f, '%-d %b %Y') END || ' – ' || strftime(l, '%-d %b %Y') END AS span, strftime(f, '%-d %b %Y') AS first_day, l - f AS gap, greatest(90, 30 + n * 12) AS lookback FROM u",
         "q29_sizes": f"WITH x AS (SELECT o_orderkey, coalesce((SELECT min(v) FROM (SELECT unnest({list(labels.NICE)}) AS v) WHERE v >= floor(o_totalprice) / 7), {labels.LONGEST}) AS bar, o_orderpriority AS p FROM orders) SELECT o_orderkey, bar, CASE WHEN bar >= 1000 THEN (bar // 1000) || ' km' ELSE bar || ' m' END AS bar_label, 59 AS green, '&lt;a &amp; &#x27;' || p || '&quot;&gt;' AS escaped FROM x",
         "q30_pass_history": f"WITH {_OBS} SELECT a.pass_idx, a.r AS row, a.c AS col, round_even(10 * log10((b.vv + b.vh) / (a.vv + a.vh)) * 100, 0)::INT AS step_db FROM obs a JOIN obs b ON b.pass_idx = a.pass_idx + 1 AND a.r = b.r AND a.c = b.c",
-        "q31_threshold_table": "SELECT name, round(-2 * ln(alpha), 9) AS threshold, min_db, greatest(1, ceil(m / 100))::BIGINT AS min_pixels FROM (VALUES ('Sensitive', 1e-3::DOUBLE, 1.5::DOUBLE, 100.0), ('Balanced', 1e-5::DOUBLE, 3.0::DOUBLE, 400.0), ('Strict', 1e-7::DOUBLE, 6.0::DOUBLE, 2000.0)) t(name, alpha, min_db, m)",
+        "q31_threshold_table": f"{ch(3)} SELECT name, round(-2 * ln(alpha), 9) AS threshold, min_db, greatest(1, ceil(m / 100))::BIGINT AS min_pixels, (SELECT count(*) FROM ch WHERE signed <> -32768 AND abs(signed::INT) / 100.0::DOUBLE > -2 * ln(alpha) AND abs(change_db::INT) / 100.0::DOUBLE >= min_db) AS pixels FROM (VALUES ('Sensitive', 1e-3::DOUBLE, 1.5::DOUBLE, 100.0), ('Balanced', 1e-5::DOUBLE, 3.0::DOUBLE, 400.0), ('Strict', 1e-7::DOUBLE, 6.0::DOUBLE, 2000.0)) t(name, alpha, min_db, m)",
         "q33_drawn_bounds": f"WITH {_ITEMS} SELECT seq, west, south, west + 40 AS east, south + 40 AS north FROM it",
         "q35_download": f"WITH {_ITEMS}, {_SIDES}, k AS (SELECT orbit, side, day, dense_rank() OVER (PARTITION BY orbit, side ORDER BY day DESC) AS n FROM sd WHERE side IS NOT NULL AND orbit % 2 = 0), d AS (SELECT DISTINCT orbit, side, day FROM k WHERE n <= 3) SELECT orbit, count(*) AS reads, round(2e6::DOUBLE * 2 * count(*) * 3.2::DOUBLE / 1e6::DOUBLE, 3) AS mb FROM d GROUP BY 1",
     }
     out["q32_areas"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {b[0]}::DOUBLE, {b[1]}::DOUBLE, {b[2]}::DOUBLE, {b[3]}::DOUBLE)" for n, b in grids.AREAS.items()) + ") t(name, west, south, east, north)"
     out["q32_areas"] = f"SELECT *, round((east - west) * 111.32::DOUBLE * cos(radians((south + north) / 2)) * (north - south) * 110.57::DOUBLE, 6) AS km2, (ceil((radians(east) - radians(west)) * 6378137 / s) * ceil(6378137 * (ln(tan(pi() / 4 + radians(north) / 2)) - ln(tan(pi() / 4 + radians(south) / 2))) / s))::BIGINT AS pixels FROM (SELECT *, 10 / cos(radians((south + north) / 2)) AS s FROM ({out['q32_areas']}))"
-    out["q32_areas"] = f"SELECT * EXCLUDE (s) FROM ({out['q32_areas']})"
+    out["q32_areas"] = f"WITH dl AS ({out['q35_download']}) SELECT * EXCLUDE (s, reads), round(pixels * 2 * reads * 3.2::DOUBLE / 1e6::DOUBLE, 3) AS mb FROM ({out['q32_areas']}), (SELECT orbit, reads FROM dl)"
     out["q34_stream_events"] = out["q30_pass_history"]
     km2_spots = f"{sens}, sp AS (SELECT label, count(*) AS n_pixels, sum({_km2('row')} * 1e6::DOUBLE) AS area, avg(row) AS r, avg(col) AS c FROM det GROUP BY 1)"
     out["q27_label_places"] = f"""{km2_spots}, o AS (SELECT label, (c + 0.5::DOUBLE) * 20 + 6 AS x, (r + 0.5::DOUBLE) * 20 AS y, row_number() OVER (ORDER BY round(area, 3) DESC, label) AS n FROM sp QUALIFY n <= 150),
@@ -740,17 +811,18 @@ def oracle_sql() -> dict[str, str]:
         x AS (SELECT ln(v1 / v2) AS q FROM p UNION ALL SELECT ln(h1 / h2) FROM p) SELECT count(*) AS n, round(quantile_cont(q, 0.25), 9) AS q25, round(quantile_cont(q, 0.75), 9) AS q75 FROM x"""
     out["q40_finite_samples"] = "WITH x AS (SELECT ln(o_totalprice / 1e5::DOUBLE) AS q FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0) SELECT count(*) AS n, round(quantile_cont(q, 0.25), 9) AS q25, round(quantile_cont(q, 0.75), 9) AS q75 FROM x"
     beta = "list_sum(list_transform(range(n, 2 * n), lambda j: factorial((2 * n - 1)::INT)::DOUBLE / (factorial(j::INT)::DOUBLE * factorial((2 * n - 1 - j)::INT)::DOUBLE) * pow(x, j) * pow(1 - x, 2 * n - 1 - j)))"
-    out["q41_looks_table"] = f"""WITH RECURSIVE b(n, k, lo, hi) AS (SELECT n, 0, 0.0::DOUBLE, 60.0::DOUBLE FROM range(1, 9) t(n) UNION ALL
+    out["q41_looks_table"] = f"""WITH RECURSIVE ln AS (SELECT n, count(*) AS orders FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1),
+        b(n, k, lo, hi) AS (SELECT n, 0, 0.0::DOUBLE, 60.0::DOUBLE FROM ln UNION ALL
         SELECT n, k + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (SELECT n, k, lo, hi, mid, {beta} < 0.75 AS below FROM (SELECT *, (lo + hi) / 2 AS mid, 1 / (1 + exp(-(lo + hi) / 2)) AS x FROM b WHERE k < 80)))
-        SELECT n, round(lo + hi, 8) AS iqr, n::DOUBLE AS looks FROM b WHERE k = 80"""
+        SELECT n, orders, round(lo + hi, 8) AS iqr, n::DOUBLE AS looks FROM b JOIN ln USING (n) WHERE k = 80"""
     out["q42_sample_windows"] = f"WITH {_OBS}, s AS (SELECT w, h, least(256, h, w) AS side FROM dim), a AS (SELECT DISTINCT greatest(0, floor(f * h)::INT - side // 2) AS r FROM s, (VALUES (0.3::DOUBLE), (0.7::DOUBLE)) t(f)), b AS (SELECT DISTINCT greatest(0, floor(f * w)::INT - side // 2) AS c FROM s, (VALUES (0.3::DOUBLE), (0.7::DOUBLE)) t(f)) SELECT r AS row, c AS col, least(side, h - r) AS height, least(side, w - c) AS width FROM a, b, s"
     merc = lambda v: f"(6378137 * ln(tan(pi() / 4 + radians({v}) / 2)))"
-    boxes = ", ".join(f"('{n}', {', '.join(f'{v}::DOUBLE' for v in b)})" for n, b in _FIT.items())
-    out["q44_fitted_areas"] = f"""WITH a AS (SELECT *, (west + east) / 2 AS x, (south + north) / 2 AS y, (east - west) AS sx, (north - south) AS sy FROM (VALUES {boxes}) t(name, west, south, east, north)),
+    out["q44_fitted_areas"] = f"""WITH bx AS (SELECT s_suppkey AS seq, ((s_suppkey * 37) % 120 - 60)::DOUBLE AS lon, ((s_suppkey * 53) % 100 - 50)::DOUBLE AS lat, (s_suppkey % 7) * (s_suppkey % 5) * 0.125::DOUBLE AS dx, (s_suppkey % 11) * 0.0625::DOUBLE AS dy FROM supplier),
+        a AS (SELECT *, (west + east) / 2 AS x, (south + north) / 2 AS y, (east - west) AS sx, (north - south) AS sy FROM (SELECT seq, lon - dx AS west, lat - dy AS south, lon + dx AS east, lat + dy AS north FROM bx)),
         g AS (SELECT *, greatest(sx, 4 / (111.32::DOUBLE * cos(radians(y)))) AS gx, greatest(sy, 4 / 110.57::DOUBLE) AS gy, 10 / cos(radians(y)) AS s FROM a),
         p AS (SELECT *, 3e7::DOUBLE / (ceil((radians(x + gx / 2) - radians(x - gx / 2)) * 6378137 / s) * ceil(({merc('y + gy / 2')} - {merc('y - gy / 2')}) / s)) AS room FROM g),
         f AS (SELECT *, CASE WHEN room < 1 THEN 0.99::DOUBLE * sqrt(room) ELSE 1 END AS k FROM p)
-        SELECT name, round(x - gx * k / 2, 5) AS west, round(y - gy * k / 2, 5) AS south, round(x + gx * k / 2, 5) AS east, round(y + gy * k / 2, 5) AS north,
+        SELECT seq, round(x - gx * k / 2, 5) AS west, round(y - gy * k / 2, 5) AS south, round(x + gx * k / 2, 5) AS east, round(y + gy * k / 2, 5) AS north,
             CASE WHEN room < 1 THEN 'Too big for a 10 m analysis, so trimmed to the central area.' WHEN gx > sx OR gy > sy THEN 'Enlarged to at least 4 km across.' END AS note FROM f"""
     tiles = lambda out_width: f"""m AS (SELECT *, {out_width} AS ow, 2 * pi() * 6378137 AS world FROM sz),
         n AS (SELECT *, 0.5::DOUBLE + {_X0} / world AS l, 0.5::DOUBLE - {_Y0} / world AS t, w * {_SC} / world AS dx, h * {_SC} / world AS dy FROM m),
@@ -761,17 +833,18 @@ def oracle_sql() -> dict[str, str]:
     out["q45_web_tiles"] = f"WITH {_OBS}, {size}, {tiles('width')}, ux AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM best) SELECT width, height, zoom, x, unnest(range(y1, y2 + 1)) AS y FROM ux"
     out["q46_result_round_trip"] = out["q01_pixel_change"]
     blob = '[1, {"bands": ["vv", "vh"], "bounds": [30.2, 50.5, 30.3, 50.6], "end": "2026-08-04", "images": 3, "label": "%s", "looks": 4.4, "orbit": null, "orbit_pass": null, "smooth": 3, "start": "2026-07-04"}]'
-    out["q47_saved_results"] = "SELECT place, substr(sha1(replace('" + blob + "', '%s', label)), 1, 16) AS key, label FROM (VALUES (1, 'second'), (2, 'first')) t(place, label)"
-    out["q48_request_problems"] = "SELECT * FROM (VALUES ('good', NULL), ('backwards', 'The start must lie before the end.'), ('early', 'There are no images before October 2014.'), ('no band', 'Choose a band.'), ('late', 'The end lies in the future.'), ('many', 'Between 1 and 20 images a side.'), ('filter', 'The filter is 1, 3 or 5 pixels wide.')) t(name, problem)"
-    out["q49_catalogue_search"] = "SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d, '%Y-%m-%d') || '-' || k AS id FROM (SELECT unnest(generate_series(DATE '2026-01-10', DATE '2026-02-19', INTERVAL 1 DAY)) AS d), range(2) t(k)"
-    out["q50_signed_links"] = "SELECT * FROM (VALUES ('http://h/a', 'http://h/a?sig=1'), ('https://h/b?x=1', 'https://h/b?x=1&sig=1'), ('/local/c.tif', '/local/c.tif'), ('file:///d.tif', 'file:///d.tif'), ('http://h/e', 'http://h/e?sig=1'), ('http://h/f?', 'http://h/f?sig=2'), ('s3://bucket/g', 's3://bucket/g'), ('http://h/i', 'http://h/i?sig=2')) t(link, signed)"
-    out["q51_places"] = "SELECT * FROM (VALUES ('Here', 30.0::DOUBLE, 50.0::DOUBLE, 30.25::DOUBLE, 50.5::DOUBLE), ('There', 31.0::DOUBLE, 51.0::DOUBLE, 31.25::DOUBLE, 51.5::DOUBLE)) t(name, west, south, east, north)"
+    out["q47_saved_results"] = f"{ch(1)} SELECT place, substr(sha1(replace('" + blob + "', '%s', label)), 1, 16) AS key, label, CASE label WHEN 'first' THEN (SELECT count(*) FROM ch) ELSE (SELECT count(*) FROM ch WHERE change_db > 0) END AS pixels FROM (VALUES (1, 'second'), (2, 'first')) t(place, label)"
+    texts = "[CASE WHEN s >= e THEN 'The start must lie before the end.' END, CASE WHEN e > DATE '2016-11-01' THEN 'The end lies in the future.' END, CASE WHEN s < DATE '2014-10-01' THEN 'There are no images before October 2014.' END, CASE WHEN o_custkey % 6 NOT IN (1, 3, 5) THEN 'The filter is 1, 3 or 5 pixels wide.' END, CASE WHEN o_orderkey % 23 NOT BETWEEN 1 AND 20 THEN 'Between 1 and 20 images a side.' END]"
+    out["q48_request_problems"] = f"WITH a AS (SELECT o_orderkey, o_custkey, s, s + (o_custkey % 90 - 10)::INT AS e FROM (SELECT *, o_orderdate::DATE + 7200 AS s FROM orders)), p AS (SELECT o_orderkey, list_filter({texts}, lambda x: x IS NOT NULL) AS ps FROM a) SELECT o_orderkey, unnest(CASE WHEN len(ps) = 0 THEN [NULL] ELSE ps END) AS problem FROM p"
+    out["q49_catalogue_search"] = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, 'S' || o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= DATE '1995-01-20' AND o_orderdate < DATE '1995-03-01'"
+    out["q50_signed_links"] = f"WITH {_ITEMS}, l AS (SELECT seq, CASE seq % 5 WHEN 0 THEN '/local/' || seq WHEN 1 THEN 'https://h/' || seq || '?x=1' WHEN 2 THEN 's3://bucket/' || seq ELSE 'http://h/' || seq END AS link FROM it) SELECT seq, link, CASE WHEN seq % 5 IN (0, 2) THEN link ELSE link || CASE WHEN seq % 5 = 1 THEN '&' ELSE '?' END || CASE WHEN seq % 70 > 55 THEN 'sig=2' ELSE 'sig=1' END END AS signed FROM l"
+    out["q51_places"] = "SELECT r_name AS query, n_name AS name, n_nationkey * 5.25::DOUBLE - 60 AS west, n_nationkey * 2.5::DOUBLE - 30 AS south, n_nationkey * 5.25::DOUBLE - 55.5::DOUBLE AS east, n_nationkey * 2.5::DOUBLE - 28 AS north FROM nation JOIN region ON n_regionkey = r_regionkey"
     listed = "string_agg(strftime(day, '%-d %b'), ', ' ORDER BY day) FILTER (side = '{0}') || strftime(max(day) FILTER (side = '{0}'), ' %Y') AS {0}"
     out["q52_plan_gaps"] = f"WITH {_ITEMS}, {_SIDES}, k AS (SELECT DISTINCT orbit, side, day, dense_rank() OVER (PARTITION BY orbit, side ORDER BY day DESC) AS n FROM sd WHERE side IS NOT NULL) SELECT orbit, greatest(DATE '1998-06-01' - max(day) FILTER (side = 'before'), DATE '1998-09-01' - max(day) FILTER (side = 'after'))::BIGINT AS gap, {listed.format('before')}, {listed.format('after')} FROM k WHERE n <= 3 GROUP BY 1"
     out["q53_newest_drawing"] = f"WITH {_ITEMS}, n AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY orbit ORDER BY day DESC, seq DESC) = 1) SELECT orbit, CASE WHEN seq % 5 <> 0 THEN west END AS west, CASE WHEN seq % 5 <> 0 THEN south END AS south, CASE WHEN seq % 5 <> 0 THEN west + 40 END AS east, CASE WHEN seq % 5 <> 0 THEN south + 40 END AS north FROM n"
     out["q54_unusable_pixels"] = out["q16_mosaic"].replace("WHERE vv > 0 AND vh > 0", "WHERE vv > 0 AND vh > 0 AND " + " AND ".join(f"(row * 3 + col + s) % {k} <> 0" for k in (5, 7, 11, 13, 17)))
     scale = f"coalesce((SELECT min(v) FROM (SELECT unnest({list(labels.NICE)}) AS v) WHERE v >= width * 0.15::DOUBLE * metres), {labels.LONGEST})"
-    out["q55_legend"] = f"SELECT width, metres, 'Area' AS title, '2026-07-04 → 2026-08-04' AS dates, CASE WHEN bar >= 1000 THEN (bar // 1000) || ' km' ELSE bar || ' m' END AS scale, 'Balanced (≥3 dB, ≥400 m², noise chance < 1 in 100,000)' AS detection, (width // 800) || CASE WHEN width // 800 = 1 THEN ' changed spot' ELSE ' changed spots' END AS spots FROM (SELECT *, {scale} AS bar FROM (VALUES (800), (1400), (2400)) a(width), (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (37.0::DOUBLE), (900.0::DOUBLE)) b(metres))"
+    out["q55_legend"] = f"SELECT width, metres, n_name AS title, '2026-07-04 → 2026-08-04' AS dates, CASE WHEN bar >= 1000 THEN (bar // 1000) || ' km' ELSE bar || ' m' END AS scale, 'Balanced (≥3 dB, ≥400 m², noise chance < 1 in 100,000)' AS detection, n_spots || CASE WHEN n_spots = 1 THEN ' changed spot' ELSE ' changed spots' END AS spots FROM (SELECT *, {scale} AS bar FROM (SELECT n_name, n_nationkey * 64 + 800 AS width, [1.0::DOUBLE, 10.0::DOUBLE, 37.0::DOUBLE, 900.0::DOUBLE][n_nationkey % 4 + 1] AS metres, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_spots FROM nation))"
     out["q56_badges"] = out["q13_captions"].replace("SELECT label AS spot_id, ", "SELECT label AS spot_id, round(col * 2, 4) AS x, round(row * 2, 4) AS y, times_changed AS times, ") + " ORDER BY round(area_m2, 3) DESC, label LIMIT 300"
     level = out["q06_overview"]
     out["q57_backscatter"] = f"SELECT block_row AS row, block_col AS col, after AS r, after AS g, after AS b, CASE WHEN after > 0 THEN 255 ELSE 0 END AS a FROM ({level})"
