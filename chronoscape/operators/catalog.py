@@ -160,11 +160,11 @@ def make_plan(found: DataFrame, request: Request, grid: Grid | None = None, band
 
 def notes(plan: Plan, request: Request, big_mb: float = 500) -> list[str]:
     """What a user should know before running: old images, too few images, a large download."""
-    gap = max((pd.Timestamp(end) - pd.Timestamp(days[-1])).days for end, days in ((request.start, plan.before), (request.end, plan.after)))
-    out = [f"The nearest images are up to {gap} days before your dates."] if gap > 14 else []
-    few = next(((s, len(d)) for s, d in (("after", plan.after), ("before", plan.before)) if len(d) < request.images), None)
-    if few:
-        out.append(f"Only {few[1]} image{'s' * (few[1] != 1)} {few[0]} the start date (you asked for {request.images}).")
+    latest = {"start": (request.start, plan.before), "end": (request.end, plan.after)}
+    age, date = max(((pd.Timestamp(day) - pd.Timestamp(days[-1])).days, which) for which, (day, days) in latest.items())
+    out = [f"The newest image for the {date} date was taken {age} days earlier."] if age > 14 else []
+    windows = {"before": f"up to {request.start}", "after": f"between {request.start} and {request.end}"}
+    out += [f"{len(days)} of the {request.images} images wanted were found {windows[side]}." for side, days in (("before", plan.before), ("after", plan.after)) if len(days) < request.images]
     if plan.download_mb > big_mb:
-        out.append("That is a big download. A smaller area or fewer images is faster.")
+        out.append(f"About {plan.download_mb:,.0f} MB have to be read; a smaller area or fewer images need less.")
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as grids
 from ..functions import labels, projection, stats
+from ..functions import sql as sql_functions
 from ..functions.grid import Grid
 from ..functions.projection import Raster
 from ..operators import catalog, change, detect, mosaic, neighbourhood, picture, present, resample
@@ -587,6 +588,24 @@ def q66_picture(spark, sf_dir):
     return picture.picture(flagged, drawn, grid, 2 * grid.height, 2 * grid.width)[0]
 
 
+def q67_sql_functions(spark, sf_dir):
+    """Significant pixels and their patches in plain SQL, with the statistics as its functions."""
+    grid, obs = _obs(spark, sf_dir)
+    sql_functions.register(spark)
+    name = uuid.uuid4().hex
+    change.group_sums(obs, adapters.N_BEFORE, B).createOrReplaceTempView(f"sums_{name}")
+    pixels = spark.sql(f"""
+        SELECT row, col, encode_statistic(stat, db) AS signed, encode_db(db) AS change_db FROM (
+            SELECT *, likelihood_ratio(vv1, vv2, l1, l2) + likelihood_ratio(vh1, vh2, l1, l2) AS stat, decibels(vv1 + vh1, vv2 + vh2) AS db FROM (
+                SELECT row, col, (vv_0 + vv_1) / (n_0 + n_1) AS vv1, (vh_0 + vh_1) / (n_0 + n_1) AS vh1, vv_2 / n_2 AS vv2, vh_2 / n_2 AS vh2,
+                       CAST((n_0 + n_1) * {stats.NOMINAL_LOOKS} AS DOUBLE) AS l1, CAST(n_2 * {stats.NOMINAL_LOOKS} AS DOUBLE) AS l2
+                FROM sums_{name} WHERE n_0 + n_1 > 0 AND n_2 > 0))""")
+    materialize(pixels, "sql-pixels").createOrReplaceTempView(f"pixels_{name}")
+    spark.sql(f"SELECT row, col, signed FROM pixels_{name} WHERE decode_statistic(signed) > {stats.chi2_threshold(1e-3, 2)}D").createOrReplaceTempView(f"over_{name}")
+    sql_functions.create_patches(spark, f"over_{name}", f"patches_{name}")
+    return spark.sql(f"SELECT label, count(*) AS n_pixels, min(signed) AS lowest, max(signed) AS highest FROM patches_{name} GROUP BY label")
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("q") and n[1:3].isdigit()}
 
@@ -874,6 +893,7 @@ def oracle_sql() -> dict[str, str]:
         pn AS (SELECT (oh + i // ow)::INT AS out_row, (i % ow)::INT AS out_col, i // ow AS r, i % ow AS c, u, lft, len FROM bar, range(1000000) t(i) WHERE i < ow * 12 * u),
         pk AS (SELECT out_row, out_col, CASE WHEN c >= lft AND c < lft + 2 * u AND r >= u AND r < 3 * u THEN [255, 59, 48] WHEN c >= lft AND c < lft + 2 * u AND r >= 4 * u AND r < 6 * u THEN [0, 200, 255] WHEN c >= lft AND c < lft + len AND r >= 8 * u AND r < 9 * u THEN [0, 0, 0] ELSE [255, 255, 255] END AS k FROM pn)
         SELECT out_row, out_col, {', '.join(f'CASE WHEN ac.rim THEN 0 WHEN ac.out_row IS NOT NULL THEN 255 ELSE floor({n}) END::INT AS {n}' for n in 'rgb')} FROM pt LEFT JOIN ac USING (out_row, out_col) UNION ALL SELECT out_row, out_col, k[1], k[2], k[3] FROM pk"""
+    out["q67_sql_functions"] = f"{ch(1)}, {_detected(detect.Detection(1e-3, 0.0, 0.0))} SELECT label, count(*) AS n_pixels, min(signed) AS lowest, max(signed) AS highest FROM det GROUP BY 1"
     out["q60_polygon_cover"] = f"WITH {_AREAS}, {_COVER}, k AS (SELECT orbit, sum(wide * high) FILTER (n > 0) / 10000 AS c FROM wd GROUP BY 1) SELECT orbit, round(coalesce(c, 0), 8) AS coverage FROM (SELECT DISTINCT orbit FROM sup) LEFT JOIN k USING (orbit)"
     out["q61_polygon_windows"] = f"""WITH {_AREAS}, wn AS (SELECT i AS tile_id, (i % 20) * 5 AS p, (i // 20) * 5 AS q FROM range(400) t(i)),
         s AS (SELECT *, [(u - x) * (q - y) - (v - y) * (p - x), (u - x) * (q - y) - (v - y) * (p + 4 - x), (u - x) * (q + 4 - y) - (v - y) * (p - x), (u - x) * (q + 4 - y) - (v - y) * (p + 4 - x)] AS s FROM ed, wn),

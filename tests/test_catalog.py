@@ -45,7 +45,7 @@ def test_plan(spark):
     assert rows[36].coverage == pytest.approx(1) and rows[109].coverage == pytest.approx(0.3)
     assert catalog.make_plan(found, catalog.Request(AOI, "2026-07-04", "2026-08-04", orbit_pass="ASCENDING")).orbit == 109
     few = catalog.make_plan(found, catalog.Request(AOI, "2026-07-04", "2026-07-12", images=20))
-    assert len(few.before) == 7 and any("after" in n for n in catalog.notes(few, catalog.Request(AOI, "2026-07-04", "2026-07-12", images=20)))
+    assert len(few.before) == 7 and any("images wanted" in n for n in catalog.notes(few, catalog.Request(AOI, "2026-07-04", "2026-07-12", images=20)))
     with pytest.raises(ValueError):
         catalog.make_plan(found, catalog.Request(AOI, "2026-07-04", "2026-08-04", orbit=7))
 
