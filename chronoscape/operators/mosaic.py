@@ -78,11 +78,12 @@ def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     meet = (F.col("s.west") <= F.col("w.east")) & (F.col("s.east") >= F.col("w.west")) & (F.col("s.south") <= F.col("w.north")) & (F.col("s.north") >= F.col("w.south"))
     own = (F.col("s._x") == F.floor(F.greatest("s.west", "w.west"))) & (F.col("s._y") == F.floor(F.greatest("s.south", "w.south")))
     keep = [F.col(f"s.{c}") for c in scenes.columns if c not in windows.columns] + [F.col(f"w.{c}") for c in windows.columns if c not in ("west", "south", "east", "north")]
+    meet = meet & own  # before the dear part, and so once a pair
     if "ring" in scenes.columns:
         meet = meet & ring_meets(F.col("s.ring"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
     if "polygons" in scenes.columns:
         meet = meet & polygons_meet(F.col("s.polygons"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
-    return s.join(w, (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet & own).select(*keep)
+    return s.join(w, (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet).select(*keep)
 
 
 def tile_windows(grid: Grid, tiles: DataFrame) -> DataFrame:
