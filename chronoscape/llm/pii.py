@@ -155,17 +155,27 @@ def extract(docs: DataFrame, reach: int = 60, window: int = 6) -> DataFrame:
 
 def disclosure(docs: DataFrame, found: DataFrame, contexts: int = 3, least: float = 0.0) -> DataFrame:
     """entity, term, disclosure of at least `least` (mutual information as a share of the entity's information content)."""
+    found = found if "row" in found.columns else materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     total = found.count()
     held = found.where(F.size("entities") > 0)
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = materialize(entities, "pii-entities")
-    beside = held.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term", "p.context").agg(F.count("*").alias("n"))
+    count = lambda rows: rows.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_both"))
+    beside = materialize(count(held.select(F.explode("near").alias("p")).select("p.*")), "pii-beside")
     # A text is one context of a term and an entity, so entities in fewer texts cannot have enough.
-    often = sized(entities.where(F.col("n_entity") >= contexts).select("entity"))
-    word = F.array_distinct(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["context"].alias("context"))))
-    whole = held.select(F.explode("entities").alias("entity"), word.alias("words")).join(often, "entity", "left_semi").select("entity", F.explode("words").alias("p")).groupBy("entity", "p.term", "p.context").agg(F.count("*").alias("n"))
-    count = lambda rows: rows.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_both"))
-    pairs = count(beside).unionByName(count(whole)).groupBy("entity", "term").agg(F.max("n_contexts").alias("n_contexts"), F.max("n_both").alias("n_both")).where(F.col("n_contexts") >= contexts)
+    often = entities.where(F.col("n_entity") >= contexts)
+    most = often.agg(F.max("n_entity")).first()[0] or 1
+    # Nor can terms that stand in fewer contexts, whatever the entity, unless they have enough of them beside mentions;
+    # and a term in so many texts that no entity's share of it can reach `least` is not telling. What is left of a text's
+    # entities is then paired with what is left of its terms.
+    each = held.select("row", F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["context"].alias("context"))))).alias("p")).select("row", "p.term", "p.context")
+    spread = each.groupBy("term", "context").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_near"))
+    near = beside.where(F.col("n_contexts") >= contexts).select("term").distinct().withColumn("beside", F.lit(True))
+    enough = spread.join(near, "term", "left").where((F.col("n_contexts") >= contexts) | F.col("beside"))
+    enough = sized(materialize(enough.where(F.col("n_near") <= total * (most / max(1, total)) ** least * (1 + 1e-9)).select("term"), "pii-spread"))
+    mentions = held.select("row", F.explode("entities").alias("entity")).join(sized(materialize(often.select("entity"), "pii-often")), "entity", "left_semi")
+    whole = count(mentions.join(each.join(enough, "term", "left_semi"), "row").select("entity", "term", "context"))
+    pairs = beside.unionByName(whole).groupBy("entity", "term").agg(F.max("n_contexts").alias("n_contexts"), F.max("n_both").alias("n_both")).where(F.col("n_contexts") >= contexts)
     # A term stands in at least as many documents as it stands with entities in: a bound that spares counting terms
     # which cannot reach `least`, such as common words.
     seen = held.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
@@ -183,16 +193,19 @@ def disclosure(docs: DataFrame, found: DataFrame, contexts: int = 3, least: floa
 
 def find(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, contexts: int = 3, **options) -> DataFrame:
     """doc_id, text_hash, base and telling spans of every row of docs (doc_id, text)."""
-    found = materialize(extract(docs, **options), "pii-found")
+    found = materialize(extract(docs, **options).withColumn("row", F.monotonically_increasing_id()), "pii-found")
     telling = materialize(disclosure(docs, found, contexts, generalise).where(F.col("disclosure") >= generalise), "pii-telling")
     key = ["doc_id", "text_hash"]
-    # every place of a telling term in the texts that hold the entity
-    places = found.where(F.size("entities") > 0).dropDuplicates(key).select(*key, "entities", F.explode("terms").alias("x")).select(*key, "entities", "x.term", "x.start", "x.end")
-    places = places.join(sized(telling.select("term").distinct()), "term", "left_semi").select(*key, F.explode("entities").alias("entity"), "term", "start", "end")
-    hits = places.join(sized(telling), ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("d"))
+    # every place of a telling term in the texts that hold the entity: a text's entities meet their own terms only
+    held = found.where(F.size("entities") > 0)
+    told = held.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.explode("entities").alias("entity")).join(sized(telling), "entity")
+    told = told.groupBy("_doc", "_text", F.col("term").alias("_term")).agg(F.max("disclosure").alias("d"))
+    places = held.dropDuplicates(key).select(*key, F.explode("terms").alias("x")).select(*key, "x.term", "x.start", "x.end")
+    places = places.join(sized(materialize(telling.select("term").distinct(), "pii-told")), "term", "left_semi")
+    hits = places.join(told, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")) & (F.col("term") == F.col("_term"))).groupBy(*key, "start", "end").agg(F.max("d").alias("d"))
     spans = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("d") >= remove, 5).otherwise(4).alias("kind"), "end"))).cast(SPAN).alias("telling"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "telling")
-    rows = found.drop("entities", "near", "terms")
+    rows = found.drop("entities", "near", "terms", "row")
     return rows.join(spans, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash")), "left").drop("_id", "_hash").withColumn("telling", F.coalesce("telling", F.array().cast(SPAN)))
 
 
