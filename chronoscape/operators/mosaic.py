@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid, polygons_meet, ring_meets
 from ..storage import drop_table, materialize
 
+#: Sides of the cells, in degrees, that boxes are dealt to; pairs of footprints and windows that may be broadcast.
+CELLS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+FEW_PAIRS = 100_000
+
 
 def valid(value: Column, nodata: Column | None = None) -> Column:
     """A usable intensity: finite, above zero, not the no-data value."""
@@ -67,23 +71,45 @@ def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     """Pairs of scenes and windows (west, south, east, north each) whose boxes meet; touching counts. Scenes with a column
     ring (array<array<double>>) or polygons (arrays of rings, holes after the outer one) meet a window only if these do.
 
-    Boxes are dealt to one-degree cells, so the join is on cells; a pair found in several cells is reported once,
-    from the cell that holds the south-west corner of what the boxes share. The scene side is narrow metadata.
+    A scene's box is dealt to the at most four cells that it meets of a size not below its own, windows to their cells of
+    every size, so the join is on cells; a pair found in several cells is reported once, from the cell that holds the
+    south-west corner of what the boxes share. Edges are looked at once a footprint and window: scenes that share a
+    footprint, as those of later passes do, take over its windows.
     """
+    sides = ("west", "south", "east", "north")
+    shape = [c for c in ("ring", "polygons") if c in scenes.columns]
+    keep = [c for c in scenes.columns if c not in windows.columns]
+    others = [c for c in windows.columns if c not in sides]
+    if not shape:
+        return _boxes_meet(scenes, windows).select(*[f"s.{c}" for c in keep], *[f"w.{c}" for c in others])
+    scenes = materialize(scenes, "footprints")
+    meet = F.lit(True)
+    for column, test in (("ring", ring_meets), ("polygons", polygons_meet)):
+        if column in shape:
+            meet = meet & test(F.col(f"s.{column}"), *[F.col(f"w.{c}") for c in sides])
+    pairs = _boxes_meet(scenes.select(*sides, *shape).distinct(), windows).where(meet)
+    pairs = materialize(pairs.select(*[F.col(f"s.{c}").alias(f"_{c}") for c in (*sides, *shape)], *[f"w.{c}" for c in others]), "footprints-met")
+    if pairs.count() <= FEW_PAIRS:
+        pairs = F.broadcast(pairs)
+    same = [F.col(f"s.{c}") == F.col(f"p._{c}") for c in (*sides, *shape)]
+    return scenes.alias("s").join(pairs.alias("p"), same).select(*[f"s.{c}" for c in keep], *[f"p.{c}" for c in others])
+
+
+def _boxes_meet(scenes: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pairs of rows s and w whose boxes meet."""
     def cells(df: DataFrame) -> DataFrame:
-        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a)), F.floor(F.col(b))))
+        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_size")), F.floor(F.col(b) / F.col("_size"))))
         return df.withColumn("_x", span("west", "east")).withColumn("_y", span("south", "north"))
 
-    s, w = cells(scenes).alias("s"), cells(windows).alias("w")
+    longer = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    fit = F.lit(CELLS[-1])
+    for size in reversed(CELLS[:-1]):
+        fit = F.when(longer <= size, size).otherwise(fit)
+    s = cells(scenes.withColumn("_size", fit)).alias("s")
+    w = cells(windows.withColumn("_size", F.explode(F.array(*map(F.lit, CELLS))))).alias("w")
     meet = (F.col("s.west") <= F.col("w.east")) & (F.col("s.east") >= F.col("w.west")) & (F.col("s.south") <= F.col("w.north")) & (F.col("s.north") >= F.col("w.south"))
-    own = (F.col("s._x") == F.floor(F.greatest("s.west", "w.west"))) & (F.col("s._y") == F.floor(F.greatest("s.south", "w.south")))
-    keep = [F.col(f"s.{c}") for c in scenes.columns if c not in windows.columns] + [F.col(f"w.{c}") for c in windows.columns if c not in ("west", "south", "east", "north")]
-    meet = meet & own  # before the dear part, and so once a pair
-    if "ring" in scenes.columns:
-        meet = meet & ring_meets(F.col("s.ring"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
-    if "polygons" in scenes.columns:
-        meet = meet & polygons_meet(F.col("s.polygons"), *[F.col(f"w.{c}") for c in ("west", "south", "east", "north")])
-    return s.join(w, (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet).select(*keep)
+    own = (F.col("s._x") == F.floor(F.greatest("s.west", "w.west") / F.col("s._size"))) & (F.col("s._y") == F.floor(F.greatest("s.south", "w.south") / F.col("s._size")))
+    return s.join(w, (F.col("s._size") == F.col("w._size")) & (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet & own)
 
 
 def tile_windows(grid: Grid, tiles: DataFrame) -> DataFrame:

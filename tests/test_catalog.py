@@ -162,6 +162,30 @@ def test_touching_boxes_equal_brute_force(spark):
     assert got == sorted((i, j) for i, w, s, e, n in a for j, x, y, u, v in b if w <= u and e >= x and s <= v and n >= y)
 
 
+def test_wide_boxes_are_dealt_to_few_cells(spark):
+    rng = random.Random(8)
+    box = lambda most: (x := rng.uniform(-180, 100), y := rng.uniform(-90, 20), x + rng.uniform(0, most), y + rng.uniform(0, most))
+    a, b = [(i, *box((0.5, 7, 40, 700)[i % 4])) for i in range(60)], [(i, *box((1, 30, 90)[i % 3])) for i in range(40)]
+    a.append((88, -64.0, -64.0, 0.0, 0.0))
+    columns = "west double, south double, east double, north double"
+    scenes, tiles = spark.createDataFrame(a, f"seq long, {columns}"), spark.createDataFrame(b, f"tile_id long, {columns}")
+    want = sorted((i, j) for i, w, s, e, n in a for j, x, y, u, v in b if w <= u and e >= x and s <= v and n >= y)
+    assert sorted((r.seq, r.tile_id) for r in mosaic.touching(scenes, tiles).collect()) == want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_footprints_are_looked_at_once(spark, monkeypatch, few):
+    """Ten passes over each of two tilted footprints, in boxes that are the same."""
+    monkeypatch.setattr(mosaic, "FEW_PAIRS", few)
+    seen, meets = [], mosaic._boxes_meet
+    monkeypatch.setattr(mosaic, "_boxes_meet", lambda s, w: (seen.append(s.count()), meets(s, w))[1])
+    tilted, other = [[10.0, 0.0], [40.0, 10.0], [30.0, 40.0], [0.0, 30.0]], [[0.0, 0.0], [40.0, 40.0], [0.0, 40.0]]
+    scenes = spark.createDataFrame([(k, 0.0, 0.0, 40.0, 40.0, other if k % 2 else tilted) for k in range(20)], "seq long, west double, south double, east double, north double, ring array<array<double>>")
+    tiles = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0), (2, 30.0, 1.0, 33.0, 3.0), (3, 18.0, 18.0, 19.0, 19.0)], "tile_id long, west double, south double, east double, north double")
+    got = sorted((r.seq, r.tile_id) for r in mosaic.touching(scenes, tiles).select("seq", "tile_id").collect())
+    assert got == sorted((k, t) for k in range(20) for t in ((1, 3) if k % 2 else (3,))) and seen == [2]
+
+
 def pages(method, url, body):
     if method == "POST" and "token" not in body:
         assert body["datetime"] == "2026-06-01T00:00:00Z/2026-06-30T23:59:59Z"
