@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoscape.functions import grid
 from chronoscape.operators import catalog, cover, mosaic
-from chronoscape.sources import catalogue
+from chronoscape.sources import adapters, catalogue
 
 AOI = (0.0, 0.0, 10.0, 10.0)
 
@@ -214,6 +214,46 @@ def test_paged_search_and_signing():
     assert places == [("P", (30.1, 50.1, 30.2, 50.2))]
 
 
+def test_offline_catalogue_reads_a_page_for_a_page(tmp_path, monkeypatch):
+    """The bytes read grow with the items, not with their square; pages, files and days are met whole."""
+    import builtins
+
+    want, read = [], []
+    for d in range(1, 6):
+        (tmp_path / f"day=2026-06-0{d}").mkdir()
+        for n, size in enumerate((80, 0, 37, 3 * d) if d != 3 else ()):
+            lines = [json.dumps(item(1000 * d + 100 * n + k, f"2026-06-0{d}", 1)) for k in range(size)]
+            (tmp_path / f"day=2026-06-0{d}" / f"part-{n}").write_text("".join(f"{x}\n" for x in lines))
+            want += [json.loads(x)["id"] for x in lines if 1 < d < 5]
+
+    real_open, methods = builtins.open, []
+
+    def counted(file, *args, **kw):
+        f = real_open(file, *args, **kw)
+        if "part-" not in str(file):
+            return f
+
+        class Counted:
+            seek, tell = f.seek, f.tell
+            __enter__ = lambda self: self
+            __exit__ = lambda self, *_: f.close()
+
+            def readline(self):
+                read.append(1)
+                return f.readline()
+
+            def __iter__(self):
+                return iter(self.readline, type(f.read(0))())
+
+        return Counted()
+
+    monkeypatch.setattr(builtins, "open", counted)
+    ask = lambda *a: (methods.append(a[0]), adapters.offline_catalogue(*a))[1]
+    got = [x["id"] for x in catalogue.search_pages(f"file://{tmp_path}", "c", AOI, "2026-06-02", "2026-06-05", ask)]
+    assert got == want and {"GET", "POST"} == set(methods)
+    assert len(want) <= len(read) <= len(want) + len(methods) + 20
+
+
 def test_data_source(spark):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
