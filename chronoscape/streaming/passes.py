@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import stats
-from ..storage import shared_dir
+from ..storage import drop_table, materialize, shared_dir
 
 STEPS = "pass_idx int, row int, col int, step_db int"
 
@@ -42,12 +42,18 @@ def steps(stream: DataFrame, tile: int = 64) -> DataFrame:
 
 
 def replay(obs: DataFrame, n_passes: int) -> DataFrame:
-    """Write obs pass by pass as files, stream them in that order, and return the sink's table."""
+    """Write obs pass by pass as files, stream them in that order, and return the sink's table.
+
+    obs is worked out once. A pass is written by several tasks; files of a pass are older than those of the next, and a
+    batch takes as many as a pass has at most, so that no pixel's passes change places, wherever a batch ends."""
     spark = obs.sparkSession
     root = f"{shared_dir(spark)}/chronoscape/stream-{uuid.uuid4().hex}"
+    worked_out = materialize(obs, "passes")
+    files = max(1, min(spark.sparkContext.defaultParallelism, worked_out.rdd.getNumPartitions()))
     for i in range(n_passes):
-        obs.where(F.col("pass_idx") == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        worked_out.where(F.col("pass_idx") == i).coalesce(files).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     query = steps(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    drop_table(worked_out)
     return spark.read.schema(STEPS).parquet(f"{root}/out")

@@ -240,3 +240,22 @@ def test_streamed_passes(spark, data):
     x = np.nansum(data[0], 1)
     want = {(i, r, c): round(1000 * math.log10(x[i + 1, r, c] / x[i, r, c])) for i in range(N - 1) for r in range(4) for c in range(W) if x[i, r, c] > 0 and x[i + 1, r, c] > 0}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+
+
+def test_replayed_passes_are_worked_out_once(spark):
+    """Passes in several files each: every pixel's passes still come in order, and obs is not worked out for each pass."""
+    n_passes, side = 5, 70
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            worked_out.add(len(batch))
+            yield batch.assign(vv=10.0 ** (batch["pass_idx"] * batch["col"] % 7), vh=0.0)
+
+    cells = spark.range(n_passes * side * side, numPartitions=7).selectExpr(f"int(id % {n_passes}) AS pass_idx", f"int(id / {n_passes * side}) AS row", f"int(id / {n_passes} % {side}) AS col").where("(row + col + pass_idx) % 11 > 0")
+    obs = cells.mapInPandas(counted, "pass_idx int, row int, col int, vv double, vh double")
+    got = {(r.pass_idx, r.row, r.col): r.step_db for r in passes.replay(obs, n_passes).collect()}
+    seen = {(r.pass_idx, r.row, r.col) for r in cells.collect()}
+    level = lambda p, c: p * c % 7
+    assert got == {(p, r, c): 1000 * (level(p + 1, c) - level(p, c)) for p, r, c in seen if (p + 1, r, c) in seen}
+    assert worked_out.value == len(seen)
