@@ -95,18 +95,24 @@ def touching(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     return scenes.alias("s").join(pairs.alias("p"), same).select(*[f"s.{c}" for c in keep], *[f"p.{c}" for c in others])
 
 
-def _boxes_meet(scenes: DataFrame, windows: DataFrame) -> DataFrame:
-    """Pairs of rows s and w whose boxes meet."""
-    def cells(df: DataFrame) -> DataFrame:
-        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_size")), F.floor(F.col(b) / F.col("_size"))))
-        return df.withColumn("_x", span("west", "east")).withColumn("_y", span("south", "north"))
+def _cells(df: DataFrame) -> DataFrame:
+    """A row for each cell (_x, _y) of side _size that a row's box meets."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_size")), F.floor(F.col(b) / F.col("_size"))))
+    return df.withColumn("_x", span("west", "east")).withColumn("_y", span("south", "north"))
 
+
+def _own_cells(scenes: DataFrame) -> DataFrame:
+    """The cells of the least size that a box fits in: four at most."""
     longer = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     fit = F.lit(CELLS[-1])
     for size in reversed(CELLS[:-1]):
         fit = F.when(longer <= size, size).otherwise(fit)
-    s = cells(scenes.withColumn("_size", fit)).alias("s")
-    w = cells(windows.withColumn("_size", F.explode(F.array(*map(F.lit, CELLS))))).alias("w")
+    return _cells(scenes.withColumn("_size", fit))
+
+
+def _boxes_meet(scenes: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pairs of rows s and w whose boxes meet."""
+    s, w = _own_cells(scenes).alias("s"), _cells(windows.withColumn("_size", F.explode(F.array(*map(F.lit, CELLS))))).alias("w")
     meet = (F.col("s.west") <= F.col("w.east")) & (F.col("s.east") >= F.col("w.west")) & (F.col("s.south") <= F.col("w.north")) & (F.col("s.north") >= F.col("w.south"))
     own = (F.col("s._x") == F.floor(F.greatest("s.west", "w.west") / F.col("s._size"))) & (F.col("s._y") == F.floor(F.greatest("s.south", "w.south") / F.col("s._size")))
     return s.join(w, (F.col("s._size") == F.col("w._size")) & (F.col("s._x") == F.col("w._x")) & (F.col("s._y") == F.col("w._y")) & meet & own)

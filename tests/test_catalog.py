@@ -171,6 +171,8 @@ def test_wide_boxes_are_dealt_to_few_cells(spark):
     scenes, tiles = spark.createDataFrame(a, f"seq long, {columns}"), spark.createDataFrame(b, f"tile_id long, {columns}")
     want = sorted((i, j) for i, w, s, e, n in a for j, x, y, u, v in b if w <= u and e >= x and s <= v and n >= y)
     assert sorted((r.seq, r.tile_id) for r in mosaic.touching(scenes, tiles).collect()) == want
+    cells = mosaic._own_cells(scenes.where("seq % 4 < 3 or seq = 88")).groupBy("seq").count()  # the others may be wider than the world
+    assert {r["count"] for r in cells.collect()} <= {1, 2, 3, 4}
 
 
 @pytest.mark.parametrize("few", [0, 100_000])
