@@ -226,10 +226,13 @@ def shared_lists(signed: DataFrame) -> DataFrame:
     sums = {"n": F.count("*"), "s": F.sum(F.hash("gid").cast("long")), "t": F.sum(F.hash("gid", F.lit(1)).cast("long")), "one": F.min(F.struct("gid", "pos")), "hi": F.max("gid")}
     own = Window.partitionBy("token")
     few = entries.where("pos < rare").select("token", "gid", "pos").withColumns({"lo": F.min("gid").over(own), "hi": F.max("gid").over(own)}).where("lo <> hi").drop("lo", "hi")
-    few = materialize(few.withColumns({k: v.over(own) for k, v in sums.items() if k != "hi"}), "near-shared")  # in the same partitions
+    # in the same partitions; what tells of a list as a whole is written in its first row only
+    first = (F.col("gid") == F.col("one.gid")) & (F.col("pos") == F.col("one.pos"))
+    few = few.withColumns({k: v.over(own) for k, v in sums.items() if k != "hi"})
+    few = materialize(few.select("token", "gid", "pos", *[F.when(first, F.col(c)).alias(c) for c in ("n", "s", "t")]), "near-shared")
     often = materialize(entries.where("pos >= rare").select("token", "gid", "pos"), "near-often")
     known = often.groupBy("token").agg(*[v.alias(k) for k, v in sums.items()]).where("one.gid <> hi")
-    sign = few.where("gid = one.gid and pos = one.pos").select("token", "n", "s", "t", "one").unionByName(known.select("token", "n", "s", "t", "one"))
+    sign = few.where("n is not null").select("token", "n", "s", "t", F.struct("gid", "pos").alias("one")).unionByName(known.select("token", "n", "s", "t", "one"))
     # all groups see the shingles in the same order, so places in any one of them tell which is first
     first = sign.groupBy("n", "s", "t").agg(F.min_by("token", F.struct("one.pos", "token")).alias("token")).select("token")
     first = materialize(first, "near-first")

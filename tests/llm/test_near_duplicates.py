@@ -92,3 +92,18 @@ def test_keep_first_and_awkward_rows(spark):
     kept = {r.doc_id for r in near.keep_first(frame(spark, texts)).collect()}
     assert kept == {c for *_, c in brute(texts)}
     assert near.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_what_tells_of_a_list_is_written_once(spark, monkeypatch):
+    """In the first row of each list only: a list's sums in all of its rows took most of that table."""
+    rng, kept = random.Random(91), {}
+    base = [prose(rng, 60, 5000) for _ in range(20)]
+    texts = [f"{b} end{i}" for b in base for i in range(6)]
+    write = near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df, name: kept.setdefault(name, write(df, name)) if name == "near-shared" else write(df, name))
+    monkeypatch.setattr(near, "drop_table", lambda *tables: None)
+    got = near.near_duplicates(frame(spark, texts), local_df=1000).collect()  # no shingle is known as frequent
+    assert all(r.component_id == r.doc_id // 6 * 6 for r in got)
+    rows = kept["near-shared"].collect()
+    assert len(rows) > len({r.token for r in rows}) > 0
+    assert sum(r.n is not None for r in rows) == len({r.token for r in rows})
