@@ -14,7 +14,8 @@ a corpus is out of reach of one machine, and most suffixes are unique, so the wo
    difference cover. Neighbours that agree on `length` bytes are repeats. Memory is that of one block.
 4. A bucket of more than `bucket_rows` contexts is split by longer prefixes before it is sorted: the windows of half as
    many places share more bytes, and only contexts that agree on these can repeat in them. Halving goes on for buckets
-   still too large, down to single places, where the shared bytes are the whole window and equal rows are repeats.
+   still too large, down to single places, where the shared bytes are the whole window. Contexts that are equal in all
+   that the windows of a run of places cover repeat there and go on as one, which others may repeat.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; repeated rows repeat each other; texts
 are judged as bytes, and bytes that are left are joined even inside a character; empty tables give empty results;
@@ -165,14 +166,15 @@ _FIELDS = [c.split()[0] for c in DEALT.split(", ")]
 
 
 def split(contexts: DataFrame, width: int) -> DataFrame:
-    """Contexts (DEALT) dealt anew by runs of `width` places and the bytes that all windows of a run share.
+    """Contexts (DEALT) dealt anew by runs of `width` places and the bytes that all windows of a run share, with reach: a
+    hash of all bytes that its windows cover, or null where the context lacks some of them.
 
     A window that starts at a place of [f, f + width) holds the bytes from place f + width - 1 to f + LENGTH; a context
     without all of them has no window there.
     """
 
     def run(batches):
-        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
             out = []
             for row in zip(*[batch.column(c).to_pylist() for c in _FIELDS], strict=True):
@@ -182,11 +184,14 @@ def split(contexts: DataFrame, width: int) -> DataFrame:
                     g = min(f + width, hi)
                     a, b = g - 1 - shift, f + LENGTH - shift
                     if a >= 0 and b <= len(raw):
-                        out.append((*row[:7], signed(xxh3_64_intdigest(raw[a:b], (anchor ^ (f << 20)) & (2**64 - 1))), f, g))
+                        key = (anchor ^ (f << 20)) & (2**64 - 1)
+                        c, d = f - shift, g - 1 + LENGTH - shift
+                        reach = signed(xxh3_64_intdigest(raw[c:d], key)) if c >= 0 and d <= len(raw) else None
+                        out.append((*row[:7], signed(xxh3_64_intdigest(raw[a:b], key)), f, g, reach))
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*_FIELDS, "reach"])
 
-    return contexts.select(*_FIELDS).mapInArrow(run, DEALT)
+    return contexts.select(*_FIELDS).mapInArrow(run, f"{DEALT}, reach long")
 
 
 def settle(contexts: DataFrame, block_rows: int = 4096) -> DataFrame:
@@ -217,24 +222,42 @@ def settle(contexts: DataFrame, block_rows: int = 4096) -> DataFrame:
     return contexts.select(*_FIELDS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
 
 
+def settle_equal(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans (SPANS) of the runs (of split) that others equal in all that their windows cover, and the runs (DEALT) that are
+    left: one for each that differs, which stands for its equals and is settled if it has any."""
+    same = ["bucket", "reach"]
+    cells = dealt.where("reach is not null").groupBy(*same).agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("one"))
+    cells = materialize(cells.where("rows > 1"), "suffix-equal")
+    marked = dealt.join(sized(cells), same, "left")
+    start, end = F.col("pos") - REACH + F.col("lo"), F.col("pos") - REACH + F.col("hi") - 1 + LENGTH
+    spans = marked.where("rows > 1 and n = 1").select("doc_id", "text_hash", start.alias("start"), end.alias("end"))
+    stands = F.col("rows").isNull() | F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("one"))
+    n = F.when(F.col("rows").isNull(), F.col("n")).otherwise(F.greatest(F.col("n"), F.lit(2).cast("long")))
+    return spans, marked.where(stands).withColumn("n", n).select(*_FIELDS)
+
+
 def settle_buckets(contexts: DataFrame, bucket_rows: int) -> DataFrame:
-    """Spans (SPANS) that repeat, of contexts (DEALT, a bucket an anchor): buckets that are too large are split."""
+    """Spans (SPANS) that repeat, of contexts (DEALT, a bucket an anchor): buckets that are too large are split.
+
+    Of a common passage's contexts, only the runs that the passage's end lies in are split further: the others share all
+    that their windows cover, or nothing. So a halving leaves about one run a context, whatever its width."""
     spans, width = None, REACH + 1
     while True:
         # a bucket of one context has nothing to repeat it
         rows = contexts.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
         rows = materialize(rows, "suffix-buckets")
-        small = settle(contexts.join(rows.where(F.col("rows") <= bucket_rows), "bucket", "left_semi"))
+        small = settle(contexts.join(sized(rows.where(F.col("rows") <= bucket_rows)), "bucket", "left_semi"))
         spans = small if spans is None else spans.unionByName(small)
         large = rows.where(F.col("rows") > bucket_rows)
         if large.isEmpty():
             return spans
-        large = contexts.join(sized(materialize(large, "suffix-large")), "bucket", "left_semi")
-        if width == 1:  # equal windows
-            start = F.col("pos") - REACH + F.col("lo")
-            return spans.unionByName(large.where("n = 1").select("doc_id", "text_hash", start.alias("start"), (start + LENGTH).alias("end")))
         width = -(-width // 2)
-        contexts = materialize(split(large, width), "suffix-split")
+        large = contexts.join(sized(materialize(large, "suffix-large")), "bucket", "left_semi")
+        dealt = materialize(split(large, width), "suffix-split")
+        equal, contexts = settle_equal(dealt)
+        contexts = materialize(contexts, "suffix-left")
+        spans = spans.unionByName(materialize(equal, "suffix-settled"))
+        drop_table(dealt)
 
 
 def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:

@@ -78,3 +78,22 @@ def test_awkward_rows(spark):
     assert len(got) == 10 and all(r.n_removed == r.n_bytes for r in got if r.doc_id in (4, 7)) and all(r.n_removed == 0 for r in got if r.doc_id not in (4, 7))
     none = docs.limit(0)
     assert suffix_dedup.remove_repeats(none, suffix_dedup.repeated_spans(none)).count() == 0
+
+
+def test_a_common_passage_is_not_split_to_single_places(spark, monkeypatch):
+    """Runs of places that all contexts of a bucket share are settled whole, so rows stay few at every width."""
+    rng = random.Random(46)
+    common = text(rng, 500)
+    texts = [text(rng, rng.randrange(160, 300)) + common + text(rng, rng.randrange(160, 300)) for _ in range(60)]
+    rows, split = [], suffix_dedup.split
+
+    def counted(contexts, width):
+        got = split(contexts, width)
+        rows.append((contexts.count(), got.count()))
+        return got
+
+    monkeypatch.setattr(suffix_dedup, "split", counted)
+    docs = frame(spark, texts)
+    got = suffix_dedup.remove_repeats(docs, suffix_dedup.repeated_spans(docs, bucket_rows=10)).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute(texts)
+    assert len(rows) > 4 and max(made for _, made in rows) <= 3 * rows[0][0]
