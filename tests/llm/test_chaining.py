@@ -175,3 +175,16 @@ def test_recall_at_random_edits():
             hits += bool(passages(np.concatenate((draw(200), p, draw(150))), np.concatenate((draw(100), q, draw(200)))))
         assert hits / 100 >= least, (n, hits)
     assert not any(passages(draw(600), draw(600)) for _ in range(30))
+
+
+def test_texts_are_linked_however_many_others_hold_parts_of_the_passage(spark):
+    """Two texts share a passage, and each of its seeds stands in some forty texts that share no more with them; rounds that
+    ended after two silent ones with lists left missed the pair."""
+    rng = random.Random(58)
+    passage = prose(rng, 60, 9000).split()
+    texts = [f"{prose(rng, 40, 9000)} {' '.join(passage)} {prose(rng, 40, 9000)}" for _ in range(2)]
+    for _ in range(240):
+        a = rng.randrange(0, 49)
+        texts.append(f"{prose(rng, 40, 9000)} {' '.join(passage[a : a + 12])} {prose(rng, 40, 9000)}")
+    pairs = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(frame(spark, texts)).collect()}
+    assert pairs == {(0, 1), (1, 0)}
