@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks, words
+from .common import give_back, materialize, text_chunks, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, block int"
@@ -71,11 +71,11 @@ class WordTokenizer:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. A
     word of plain Latin letters, digits and punctuation goes to the BPE model piece by piece; any other word goes
     through the whole tokenizer. What is known lies in flat arrays, about 24 bytes a word: a small part that new words
-    are merged into, and a large one.
+    are merged into, and a large one. A merge holds both parts several times over, so it is what the bounds are for.
     """
 
     #: Words kept, new words until they are merged into the others, and parts of words kept; beyond, each starts anew.
-    KEEP, RECENT, PARTS = 1_000_000, 50_000, 100_000
+    KEEP, RECENT, PARTS = 250_000, 25_000, 50_000
     PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     NONE = Words.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
@@ -142,6 +142,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
     def run(batches):
         encode = WordTokenizer(path)
+        try:
+            yield from pieces(batches, encode)
+        finally:
+            del encode
+            give_back()
+
+    def pieces(batches, encode):
         for batch in batches:
             doc = batch.column(0).to_pylist()
             for at, offs, data in text_chunks(batch.column(1)):

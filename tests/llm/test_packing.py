@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -71,3 +74,34 @@ def test_awkward_rows(spark):
     assert sum(r.doc_id == 1 for r in rows) == 1 and next(r for r in rows if r.doc_id == 2).length == 1
     assert len([r for r in rows if r.doc_id == 4]) == 2 * len({r.piece for r in rows if r.doc_id == 4})
     assert packing.pack_documents(awkward(spark).limit(0)).count() == 0
+
+
+def test_what_a_task_freed_goes_back_to_the_system():
+    code = """
+import re
+import numpy as np
+from chronoscape.llm.common import give_back
+
+def held():
+    return sum(map(int, re.findall("Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+before = held()
+parts = [np.ones(12_000, np.uint8) for _ in range(8_000)]
+pin = np.ones(12_000, np.uint8)  # lies on top of the heap, so that freeing alone returns nothing
+del parts
+give_back()
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(out.stdout) < 30
+
+
+def test_known_words_stay_few(monkeypatch):
+    monkeypatch.setattr(packing.WordTokenizer, "KEEP", 300)
+    monkeypatch.setattr(packing.WordTokenizer, "RECENT", 100)
+    encode = packing.WordTokenizer(packing.default_tokenizer())
+    for k in range(20):
+        text = " ".join(f"w{k * 40 + i}" for i in range(60))
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encode(np.array([0, len(data)]), data)[0].tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+        assert len(encode.known.key) <= 300 and len(encode.recent.key) <= 160
