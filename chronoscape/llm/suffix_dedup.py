@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import CHUNK, drop_table, materialize, mix, powers, prefix_hashes, sized, text_chunks
+from .common import BROADCAST_BYTES, CHUNK, drop_table, materialize, may_hold, mix, powers, prefix_hashes, sized, text_chunks
 
 LENGTH, KMER = 200, 50
 REACH = LENGTH - KMER
@@ -260,7 +260,7 @@ def settle_buckets(contexts: DataFrame, bucket_rows: int) -> DataFrame:
         drop_table(dealt)
 
 
-def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:
+def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text_hash, runs: the maximal runs of bytes covered by repeated windows, for texts that have any."""
     all_anchors = materialize(anchors(docs), "suffix-anchors")
     often = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:
     # The contexts that differ.
     wanted = cells.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("pos", "anchor", "n")).alias("at"))
     wanted = materialize(wanted, "suffix-wanted")
-    wanted = sized(wanted)
+    near = sized(wanted, most_bytes=most_bytes)
 
     def fetch(batches):
         kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
@@ -289,7 +289,9 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FIELDS)
 
     base = docs.select(*text_key())
-    contexts = base.join(wanted, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash"))).select("doc_id", "text_hash", "text", "at").mapInArrow(fetch, DEALT)
+    if near is wanted:  # a shuffle: texts of which nothing is wanted stay where they are
+        base = may_hold(base, "text_hash", wanted, "_hash").where("may_hold")
+    contexts = base.join(near, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash"))).select("doc_id", "text_hash", "text", "at").mapInArrow(fetch, DEALT)
     # a repeated row is fetched with its twin; its anchors have n > 1, and equal contexts say nothing new
     contexts = materialize(contexts.dropDuplicates(["doc_id", "text_hash", "pos", "anchor"]), "suffix-contexts")
     spans = whole.unionByName(settle_buckets(contexts, bucket_rows))
@@ -311,7 +313,7 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 4_096) -> DataFrame:
     return materialize(by_text.mapInArrow(merge, f"doc_id long, text_hash long, runs {RUNS}"), "suffix-runs")
 
 
-def remove_repeats(docs: DataFrame, found: DataFrame, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, found: DataFrame, keep_text: bool = True, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every row of docs."""
 
     def run(batches):
@@ -332,6 +334,12 @@ def remove_repeats(docs: DataFrame, found: DataFrame, keep_text: bool = True) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays) + 1])
 
     base = docs.select(*text_key())
-    runs = sized(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs"))
-    joined = base.join(runs, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash")), "left").select("doc_id", "text", "runs")
+    runs = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
+    near, rest = sized(runs, most_bytes=most_bytes), None
+    if near is runs:  # a shuffle: texts without runs stay where they are
+        base = may_hold(base, "text_hash", runs, "_hash")
+        rest = base.where("not may_hold").select("doc_id", "text", F.lit(None).cast(RUNS).alias("runs"))
+        base = base.where("may_hold")
+    joined = base.join(near, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_hash == F.col("_hash")), "left").select("doc_id", "text", "runs")
+    joined = joined if rest is None else joined.unionByName(rest)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))

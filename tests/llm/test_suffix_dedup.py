@@ -97,3 +97,26 @@ def test_a_common_passage_is_not_split_to_single_places(spark, monkeypatch):
     got = suffix_dedup.remove_repeats(docs, suffix_dedup.repeated_spans(docs, bucket_rows=10)).drop("kept").collect()
     assert sorted(map(tuple, got)) == brute(texts)
     assert len(rows) > 4 and max(made for _, made in rows) <= 3 * rows[0][0]
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rng = random.Random(46)
+    alone = [text(rng, 600) for _ in range(300)]
+    both = alone[0][:450] + alone[1][:450]
+    texts = [*alone, both, both + "!", None, ""]
+    docs = frame(spark, texts).repartition(3)
+    found = suffix_dedup.repeated_spans(docs, most_bytes=0)
+    base = docs.select(*suffix_dedup.text_key())
+    kept = suffix_dedup.may_hold(base, "text_hash", found, "text_hash").where("may_hold")
+    assert found.count() <= kept.count() < 100
+    got = suffix_dedup.remove_repeats(docs, found, most_bytes=0).drop("kept")
+    assert "_bits#" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == brute(texts)
+
+
+@pytest.mark.parametrize("most", [15, 26])
+def test_no_key_is_missed(spark, most):
+    ids = spark.range(60_000).selectExpr("xxhash64(id) as h", "id")
+    marked = suffix_dedup.may_hold(ids, "h", ids.where("id % 20 = 0"), "h", most)
+    assert marked.where("id % 20 = 0 and not may_hold").isEmpty() and marked.count() == 60_000
+    assert marked.where("id % 20 > 0 and may_hold").count() < (10_000 if most == 26 else 57_000)
