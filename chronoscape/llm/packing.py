@@ -76,7 +76,7 @@ class WordTokenizer:
 
     #: Words kept, new words until they are merged into the others, and parts of words kept; beyond, each starts anew.
     KEEP, RECENT, PARTS = 250_000, 25_000, 50_000
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+    PLAIN = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-ÿ]*")
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     NONE = Words.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
@@ -87,35 +87,44 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.known, self.recent = self.NONE, self.NONE
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         shown = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
         self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(33, 256)}
 
-    def word(self, word: str) -> bytes:
-        if "<|" in word or not self.PLAIN.fullmatch(word):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in self.SPLIT.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.shown))])
-                if len(self.parts) >= self.PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def look_up(self, key: np.ndarray, word) -> Words:
-        """The words of these sorted hashes; word(i) is the i-th as text."""
+    def part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.shown))]
+            if len(self.parts) >= self.PARTS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+    def encode(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of these words, one after another."""
+        plain = lambda t: "<|" not in t and self.PLAIN.fullmatch(t)
+        size, flat, all_plain = [], [], plain(" ".join(raw))
+        for word in raw:
+            if not all_plain and not plain(word):
+                ids = self.whole.encode(word, add_special_tokens=False).ids
+            elif (word := word.lower()).isalpha():
+                ids = self.part(word)
+            else:
+                ids = [i for part in self.SPLIT.findall(word) for i in self.part(part)]
+            size.append(len(ids))
+            flat += ids
+        return np.array(size, np.int64), np.array(flat, "<u4")
+
+    def look_up(self, key: np.ndarray, read) -> Words:
+        """The words of these sorted hashes; read(i) gives those at places i as text."""
         found, left = [], np.ones(len(key), bool)
         for part in (self.known, self.recent):
             there, i = part.find(key)
             found.append(Words.of(key[there], *part.take(i[there])))
             left &= ~there
-        raw = [self.word(word(i)) for i in np.flatnonzero(left).tolist()]
-        new = Words.of(key[left], np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.frombuffer(b"".join(raw), "<u4"))
-        if len(raw):
+        new = Words.of(key[left], *self.encode(read(np.flatnonzero(left))))
+        if len(new.key):
             self.recent = self.recent.with_(new)
             if len(self.recent.key) > self.RECENT:
                 whole = len(self.known.key) + len(self.recent.key) > self.KEEP
@@ -129,8 +138,8 @@ class WordTokenizer:
         if not len(h):
             return [np.zeros(0, "<u4")] * n
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = memoryview(data)
-        got = self.look_up(key, lambda i: bytes(raw[start[first[i]] : end[first[i]]]).decode())
+        raw = data.tobytes()
+        got = self.look_up(key, lambda i: [str(raw[s:e], "utf-8") for s, e in zip(start[first[i]].tolist(), end[first[i]].tolist(), strict=True)])
         size, ids = got.take(back)
         cut = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(row, np.arange(n + 1))]
         return [ids[cut[i] : cut[i + 1]] for i in range(n)]

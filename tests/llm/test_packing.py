@@ -105,3 +105,20 @@ def test_known_words_stay_few(monkeypatch):
         data = np.frombuffer(text.encode(), np.uint8)
         assert encode(np.array([0, len(data)]), data)[0].tolist() == encode.whole.encode(text, add_special_tokens=False).ids
         assert len(encode.known.key) <= 300 and len(encode.recent.key) <= 160
+
+
+def test_plain_words_are_judged_together(monkeypatch):
+    """A word at a time was matched, decoded and joined; a batch of new words is now matched once, and any other word alone."""
+    encode, calls, pattern = packing.WordTokenizer(packing.default_tokenizer()), [], packing.WordTokenizer.PLAIN
+
+    class Counted:
+        def fullmatch(self, text):
+            calls.append(text)
+            return pattern.fullmatch(text)
+
+    monkeypatch.setattr(packing.WordTokenizer, "PLAIN", Counted())
+    for text, most in ((" ".join(f"Word{i},it's été{i}" for i in range(300)), 1), ("ΟΔΟΣ Ärger x<|endoftext|> <| I'll ª ﬁ don't 12.5€ a", 10), ("", 0)):
+        calls.clear()
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encode(np.array([0, len(data)]), data)[0].tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+        assert len(calls) <= most
