@@ -135,3 +135,17 @@ def test_awkward_rows(spark):
     assert len(rows) == 10 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in rows)
     assert pii.sanitise(docs, pii.find(docs)).count() == 10
     assert pii.find(awkward(spark).limit(0)).count() == 0
+
+
+def test_a_long_text_costs_no_more_than_its_words(spark):
+    """A text's terms were told apart by comparing each pair of them; and the corpus was matched term by term."""
+    rng = random.Random(10)
+    texts = [f"{prose(rng, 40)} at zed@example.org" for _ in range(5)] + [f"Éa zed@example.org ÉA éa {' '.join(f'word{i}' for i in range(300))} word7"]
+    every = pii.terms_of(texts[-1], pii.base_spans(texts[-1]), 60, 6)[1]
+    told = [w for w, context, *_ in every if context is not None]
+    assert len(told) == len(set(told)) == 300 and [context for w, context, *_ in every if w == "word7"][1:] == [None]
+    found = pii.extract(frame(spark, texts)).selectExpr("*", "monotonically_increasing_id() AS row")
+    plan = pii.disclosure(frame(spark, texts), found)._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
+    each = frame(spark, ["É, x9\U0001f600y--a.b ", "", None]).selectExpr("doc_id", f"split(text, r'{pii.GAP_CLASS}') AS parts").collect()
+    assert {r.doc_id: [x for x in r.parts or () if x] for r in each} == {0: ["É", "x9\U0001f600y", "a", "b"], 1: [], 2: []}
