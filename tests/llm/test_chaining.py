@@ -188,3 +188,18 @@ def test_texts_are_linked_however_many_others_hold_parts_of_the_passage(spark):
         texts.append(f"{prose(rng, 40, 9000)} {' '.join(passage[a : a + 12])} {prose(rng, 40, 9000)}")
     pairs = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(frame(spark, texts)).collect()}
     assert pairs == {(0, 1), (1, 0)}
+
+
+def test_pairs_without_a_link_are_left_out_and_ends_are_read_as_far_as_needed():
+    """All pairs of texts went through the tree, and all ends of chains were read whole."""
+    rng = random.Random(59)
+    for _ in range(400):
+        n = rng.randrange(2, 11)
+        a, b = (np.array([rng.randrange(500) for _ in range(n)]) for _ in range(2))
+        keep = chaining.linked(a, b, np.array([0]), np.array([n]))[0]
+        edge = any(abs(a[i] - a[j]) + abs(b[i] - b[j]) == chaining.K / chaining.GAP for i in range(n) for j in range(i))
+        assert keep == (n > 8 or any(len(run) > 1 for run in chaining.chain(a, b))) or keep and edge
+    for _ in range(400):
+        x = [rng.randrange(rng.choice((3, 50, 5000))) for _ in range(rng.randrange(130))]
+        y = [w if rng.random() < 0.85 else -1 for w in x if rng.random() < 0.95] + [rng.randrange(50) for _ in range(rng.randrange(30))]
+        assert chaining.extend(np.array(x), np.array(y), 0.2, 1.5) == chaining.walk(x, y, 0.2, 1.5)[0]
