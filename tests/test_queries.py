@@ -33,6 +33,15 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got) == rows(want)
 
 
+def test_a_price_is_no_missing_value(spark, tmp_path):
+    """Pixels of q54 whose mean price was 77,777 in a band were taken for missing ones."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (77777.0::DOUBLE AS l_extendedprice) FROM '{SF}/lineitem.parquet' WHERE l_partkey % 3 = 0 UNION ALL FROM '{SF}/lineitem.parquet' WHERE l_partkey % 3 > 0) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got, want = plans.queries()["q54_unusable_pixels"](spark, str(tmp_path)).toPandas(), con.execute(plans.oracle_sql()["q54_unusable_pixels"]).df()
+    assert rows(got) == rows(want) and (want.vv == 77777).any() and (want.vh == 77777).any()
+
+
 def test_entry(spark):
     import __spark_entry__
 
