@@ -205,6 +205,20 @@ def test_pairs_without_a_link_are_left_out_and_ends_are_read_as_far_as_needed():
         assert chaining.extend(np.array(x), np.array(y), 0.2, 1.5) == chaining.walk(x, y, 0.2, 1.5)[0]
 
 
+@pytest.mark.parametrize("part, others", [(12, 1000), (40, 300)])
+def test_rounds_go_on_until_no_list_is_left(spark, part, others):
+    """Two texts share a passage of whose every part over 64 other texts hold as much, but none of them enough: lists of
+    over 64 were left after two silent rounds, and the pair with them."""
+    rng = random.Random(61)
+    passage = prose(rng, 60, 9000).split()
+    texts = [f"{prose(rng, 40, 9000)} {' '.join(passage)} {prose(rng, 40, 9000)}" for _ in range(2)]
+    for i in range(others):
+        a = (0, 60 - part, rng.randrange(61 - part), rng.randrange(61 - part))[i % 4]
+        texts.append(f"{prose(rng, 40, 9000)} {' '.join(passage[a : a + part])} {prose(rng, 40, 9000)}")
+    pairs = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(frame(spark, texts)).collect()}
+    assert pairs == {(0, 1), (1, 0)}
+
+
 def test_all_texts_of_a_list_meet_in_a_few_rounds():
     """The first round makes a match an occurrence, and rounds without a passage bring all pairs together, each once."""
     rng = np.random.default_rng(62)
