@@ -250,3 +250,27 @@ def test_a_word_said_over_and_over_is_a_passage(spark):
     texts = [f"{prose(rng, 40, 9000)} {' '.join([w] * (55 + i))} {prose(rng, 40, 9000)}" for w in ("to", "with", "of", "at", "is", "as", "en", "der") for i in range(2)]
     pairs = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(frame(spark, texts)).collect()}
     assert pairs == {(i, i ^ 1) for i in range(len(texts))}
+
+
+def test_chains_of_few_drawn_seeds_are_looked_at_again():
+    """With a fifth of 80 words replaced at random, 0.96 of pairs were found by drawn seeds alone, and 0.91 at 60 words."""
+    rng, own = random.Random(7), np.random.default_rng(1).integers(0, 2**31, 3000).astype(np.int32)
+
+    def found(x, y):
+        keys = [chaining.keys_of(chaining.strings(h)) for h in (x, y)]
+        node = np.concatenate([np.full(len(k[0]), i) for i, k in enumerate(keys)])
+        for _, _, a, p, u, _, q, v in chaining.meetings(node, *[np.concatenate(c) for c in zip(*keys)], 0, 1):
+            p, q = np.array(sorted(set(zip([*p, *(p + u)], [*q, *(q + v)])))).T
+            x, y = (x, y) if a[0] == 0 else (y, x)
+            return any(chaining.agreeing(x, y, [(int(p[i]), int(q[i])) for i in run], 0.8, 50) for run in chaining.chain(p, q) if len(run) > 1)
+
+    draw = lambda n: own[[rng.randrange(2000) for _ in range(n)]]
+    for n in (60, 80):
+        hits = 0
+        for _ in range(200):
+            p = draw(n)
+            q = p.copy()
+            for i in rng.sample(range(n), n // 5):
+                q[i] = own[2000 + rng.randrange(1000)]
+            hits += bool(found(np.concatenate((draw(200), p, draw(150))), np.concatenate((draw(100), q, draw(200)))))
+        assert hits / 200 >= 0.97, (n, hits)
